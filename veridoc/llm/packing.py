@@ -11,6 +11,7 @@ buckets.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from veridoc.llm.common import as_bytes, cut, texts
 
-#: Tokens that a worker keeps ids of; beyond that it starts afresh.
-CACHED_WORDS = 400_000
+#: Words of which a worker keeps the ids; beyond that it keeps those and starts a new table, into which used words move.
+CACHED_WORDS = 300_000
+#: A character that the tokenizer makes one token of; it stands between words that are encoded together.
+MARK = b"\x01"
 
 
 class WordIds:
@@ -40,19 +43,73 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids, joined."""
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        self.older: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, joined. What is new goes to the library in one call for all texts."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known, found, gaps = self.known, [], []
+        for text in texts:
+            words = text.split()
+            found.append(ids := list(map(known.get, words)))
+            gaps.append([(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else [])
+        self._learn({w for gap in gaps for _, w in gap})
+        for ids, gap in zip(found, gaps, strict=True):
+            for i, w in gap:
+                ids[i] = known[w]
+            yield b"".join(ids)
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, older, ends = self.known, self.older, {}
+        new: set[bytes] = set()
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                ends[w] = pair = _stem(w)
+                new.update(pair)
+        new.discard(b"")
+        for w in [w for w in new if w in older]:
+            known[w] = older[w]
+        missing = [w for w in new if w not in known]
+        for w, ids in zip(missing, self._encode(missing), strict=True):
+            known[w] = ids
+        for w, (base, tail) in ends.items():
+            known[w] = known[base] + known[tail] if tail else known[base]
+
+    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
+        """Words in strings of many, as a call has a cost of its own; a word that holds the mark goes alone."""
+        strings, block = [], []
+        for w in words:
+            if MARK in w or len(block) == 400:
+                strings.append(block)
+                block = []
+            block.append(w)
+            if MARK in w:
+                strings.append(block)
+                block = []
+        strings = [x for x in [*strings, block] if x]
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        between = b" " + MARK + b" "
+        for block, e in zip(strings, self.tokenizer.encode_batch_fast([between.join(x).decode() for x in strings], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, start = ids.tobytes(), 0
+            if len(block) > 1:
+                for at in np.flatnonzero(ids == mark[0]).tolist():
+                    yield data[4 * start : 4 * at]
+                    start = at + 1
+            yield data[4 * start :]
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the one mark that ends it, as far as the tokenizer splits there in any case; ASCII words in lower case."""
+    base, tail = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+    if base.isalpha():
+        return base.lower(), tail
+    if tail and base and unicodedata.normalize("NFC", base.decode()).lower()[-1].isalpha():
+        return base, tail
+    return word, b""
 
 
 _encoders: dict[str, WordIds] = {}
@@ -71,8 +128,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         encode, end, most = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, ids = [], [], [], [], []
-            for d, text in zip(b["doc_id"].to_pylist(), as_bytes(b["text"]), strict=True):
-                whole = encode(text) + end
+            for d, whole in zip(b["doc_id"].to_pylist(), encode(as_bytes(b["text"])), strict=True):
+                whole += end
                 for k in range(0, len(whole), most):
                     part = whole[k : k + most]
                     doc.append(d)

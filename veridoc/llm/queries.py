@@ -24,6 +24,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veridoc.llm.bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.sharding import shard_by_bytes
 
@@ -46,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_histogram_shards, op9_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_prefix_bpe, op5_histogram_shards, op9_exact_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
