@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import as_bytes, cut, texts
+from veridoc.llm.words import slices
 
 #: Words of which a worker keeps the ids; beyond that it keeps those and starts a new table, into which used words move.
 CACHED_WORDS = 300_000
@@ -128,7 +129,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         encode, end, most = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, ids = [], [], [], [], []
-            for d, whole in zip(b["doc_id"].to_pylist(), encode(as_bytes(b["text"])), strict=True):
+            for d, whole in zip(b["doc_id"].to_pylist(), _by_slice(encode, b["text"]), strict=True):
                 whole += end
                 for k in range(0, len(whole), most):
                     part = whole[k : k + most]
@@ -142,6 +143,12 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     return texts(df, id_col, text_col).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
 
 
+def _by_slice(encode: WordIds, column: pa.Array) -> Iterator[bytes]:
+    """A few MB of text at a time, however large the batch is."""
+    for row, stop, _, _ in slices(column):
+        yield from encode(as_bytes(column.slice(row, stop - row)))
+
+
 class Tightest:
     """A segment tree over remaining capacities: which is the smallest one, at least so large, that an open bin has."""
 

@@ -18,12 +18,26 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.language_id import fit, held_out, identify
+
+    documents = table(spark, sf_dir, "documents")
+    found = identify(documents, fit(documents))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +53,13 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.html_extract import main_texts
+
+    found = main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.exact_dedup import exact_duplicates
 
@@ -54,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_prefix_bpe, op5_histogram_shards, op9_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_crf_language, op2_best_fit_packing, op3_likelihood_ratio, op4_prefix_bpe, op5_histogram_shards, op6_block_tree, op9_exact_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
