@@ -186,6 +186,10 @@ LABELLED = (
     (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (80, 0.1, 60, 0.0, 70, 0.05, 1, 0, 1), (30, 0.3, 40, 0.0, 50, 0.0, 1, 0, 1), (12, 0.0, 6, 1.0, 8, 0.0, 1, 1, 1),
     (4, 0.0, 8, 0.0, 0, 0.0, 1, 0, 1), (5, 0.0, 0, 0.0, 9, 0.0, 1, 0, 1), (3, 0.0, 3, 0.0, 12, 0.0, 1, 1, 1), (500, 0.0, 9, 0.0, 5, 0.0, 1, 0, 1),
     (9, 0.4, 70, 0.0, 60, 0.0, 1, 0, 1), (20, 0.6, 50, 0.0, 40, 0.0, 1, 0, 1), (3, 1.0, 70, 0.0, 60, 0.0, 1, 0, 1), (10, 0.0, 2, 0.5, 15, 0.1, 1, 0, 1),
+    (3, 0.0, 2, 0.0, 2, 0.0, 1, 0, 1), (5, 0.0, 60, 0.0, 2, 0.0, 1, 0, 1), (4, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1), (7, 0.0, 4, 0.0, 5, 0.0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 2, 0.0, 1, 0, 1), (6, 0.0, 70, 0.0, 4, 0.0, 1, 0, 1), (9, 0.0, 5, 0.0, 6, 0.0, 1, 0, 1), (2, 0.0, 100, 0.0, 5, 0.0, 1, 0, 1),
+    (14, 0.0, 40, 0.0, 6, 0.0, 1, 0, 1), (11, 0.0, 13, 0.0, 3, 0.0, 1, 0, 1), (8, 0.0, 2, 0.0, 1, 0.0, 1, 0, 1), (15, 0.0, 1, 0.0, 4, 0.0, 1, 0, 1),
+    (6, 0.2, 3, 0.5, 0, 0.0, 1, 0, 1), (5, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1), (2, 0.0, 7, 0.0, 6, 0.0, 1, 1, 1), (4, 0.0, 0, 0.0, 1, 0.0, 1, 1, 1),
     # lists of links, in the article too: no
     (3, 1.0, 4, 1.0, 5, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0), (6, 1.0, 5, 1.0, 40, 0.0, 1, 0, 0), (4, 1.0, 3, 1.0, 0, 0.0, 1, 0, 0),
     (3, 1.0, 4, 1.0, 5, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (5, 1.0, 5, 1.0, 40, 0.0, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 0.0, 0, 0, 0),
@@ -195,6 +199,8 @@ LABELLED = (
     (40, 0.0, 2, 1.0, 5, 0.2, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (16, 0.0, 8, 0.0, 22, 0.0, 0, 0, 1), (30, 0.2, 45, 0.0, 35, 0.1, 0, 0, 1),
     (4, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (2, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1), (6, 0.0, 80, 0.0, 50, 0.0, 0, 1, 1), (8, 0.0, 3, 1.0, 70, 0.0, 0, 1, 1),
     (5, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1), (7, 0.0, 2, 0.0, 40, 0.0, 0, 1, 1), (3, 0.0, 30, 0.0, 45, 0.0, 0, 0, 1), (10, 0.0, 20, 0.0, 25, 0.0, 0, 0, 1),
+    (30, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1), (24, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1), (22, 0.0, 5, 0.0, 4, 0.5, 0, 0, 1), (28, 0.05, 30, 0.0, 8, 0.0, 0, 0, 1),
+    (20, 0.0, 2, 1.0, 3, 0.0, 0, 0, 1), (17, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1), (32, 0.0, 0, 0.0, 6, 1.0, 0, 0, 1), (19, 0.1, 20, 0.0, 9, 0.0, 0, 0, 1),
     # containers that say nothing: short lines among short lines or links
     (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0), (6, 0.2, 3, 0.5, 0, 0.0, 0, 0, 0),
     (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 0), (3, 0.0, 2, 0.0, 3, 1.0, 0, 1, 0), (7, 0.0, 4, 1.0, 5, 0.0, 0, 0, 0), (5, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0),
