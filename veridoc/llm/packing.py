@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridoc.llm.common import as_bytes, cut, texts
 from veridoc.llm.words import slices
 
 #: Words of which a worker keeps the ids; beyond that it keeps those and starts a new table, into which used words move.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: A character that the tokenizer makes one token of; it stands between words that are encoded together.
 MARK = b"\x01"
 
@@ -245,7 +246,7 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
             at = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(row[:, 3] + at // row[:, 4]), pa.array(row[:, 5] + length * (at % row[:, 4]))], [*names, "sequence_id", "offset"])
 
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.select(*names, "rank").mapInArrow(places, schema)
 
 
