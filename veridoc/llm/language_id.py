@@ -261,13 +261,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """df without texts in no learned language: those without a letter, and those whose best language scores below `least`."""
     known = df.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions))
-    (text,) = fresh(df, "lang_text")
+    (text,), names = fresh(df, "lang_text"), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*known.value)
         for b in batches:
             langs, scores = _predict(model, b[text])
             keep = pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
-            yield b.select(df.columns).filter(keep)
+            yield b.select(names).filter(keep)
 
     return df.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, df.schema)

@@ -60,6 +60,18 @@ def op6_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.window_dedup import repeated_windows
+
+    return repeated_windows(table(spark, sf_dir, "documents"))
+
+
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.exact_dedup import exact_duplicates
 
@@ -75,7 +87,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_language, op2_best_fit_packing, op3_likelihood_ratio, op4_prefix_bpe, op5_histogram_shards, op6_block_tree, op9_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_crf_language, op2_best_fit_packing, op3_likelihood_ratio, op4_prefix_bpe, op5_histogram_shards, op6_block_tree, op7_radix_windows, op8_bloom_lm, op9_exact_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

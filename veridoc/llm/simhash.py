@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridoc.llm.common import as_bytes, components, cut, first_runs, fresh, join_skewed, local_roots, over_batches, staged, texts
 
@@ -159,16 +160,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
     """df with one row of each component: that of the smallest id, the first of repeated rows; all columns as they are."""
-    fp, row, low = fresh(df, "sim_fp", "sim_row", "sim_text")
+    (fp, row, low), names = fresh(df, "sim_fp", "sim_row", "sim_text"), df.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = _signed([fingerprint(t, words) for t in as_bytes(b[low])])
-        return pa.RecordBatch.from_arrays([*(b[c] for c in df.columns), got], names=[*df.columns, fp])
+        return pa.RecordBatch.from_arrays([*(b[c] for c in names), got], names=[*names, fp])
 
     wide = df.withColumn(low, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = staged(over_batches(wide, run, df.schema.add(fp, "long")).withColumn(row, F.monotonically_increasing_id()))
+    rows = staged(over_batches(wide, run, T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])).withColumn(row, F.monotonically_increasing_id()))
     narrow = rows.select(F.col(id_col).alias("own_id"), F.col(fp).alias("fp"), F.col(row).alias("own_row"))
     joined = cut(join_skewed(narrow, _components_of(narrow, "own_id", "fp", distance), "fp", "copies", ["component_id"]))
     firsts = joined.where(F.col("own_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("own_row").alias("own_row"))
     kept = firsts.select(F.col("own_row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*df.columns)
+    return rows.join(kept, row, "left_semi").select(*names)
