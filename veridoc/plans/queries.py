@@ -1,19 +1,155 @@
-"""Registered queries of the schema engine."""
+"""Registered queries of the schema engine: a keyword each, over whole tables, with the relational predicate as SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veridoc.functions.calc import F64, VEC2, VEC3, cross2, cross3
+from veridoc.plans.schema import Validator
+
+
+class Case(NamedTuple):
+    table: str
+    key: str
+    document: str
+    schema: Any
+    sql: str
+
+
+#: JSON documents built from rows, as Spark SQL.
+ORDER = "to_json(named_struct('key', o_orderkey, 'status', o_orderstatus, 'price', o_totalprice, 'day', date_format(o_orderdate, 'yyyy-MM-dd'), 'priority', o_orderpriority, 'late', if(o_orderkey % 3 = 0, true, null)))"
+LINE = "to_json(named_struct('quantity', l_quantity, 'discount', l_discount, 'flag', l_returnflag, 'number', l_linenumber))"
+PART = "to_json(named_struct('name', p_name, 'brand', p_brand, 'size', p_size, 'type', p_type))"
+VEC = "to_json(slice(transform(embedding, x -> cast(x as double)), 1, 1 + vec_id % 6))"
+V_SQL = "list_transform(embedding[1:1 + vec_id % 6], lambda x: x::double)"
+
+
+def _order(schema: Any, sql: str) -> Case:
+    return Case("orders", "o_orderkey", ORDER, schema, sql)
+
+
+def _line(schema: Any, sql: str) -> Case:
+    return Case("lineitem", "l_orderkey, l_linenumber, l_partkey", LINE, {"properties": schema}, sql)
+
+
+def _part(schema: Any, sql: str) -> Case:
+    return Case("part", "p_partkey", PART, schema, sql)
+
+
+def _vec(schema: Any, sql: str) -> Case:
+    return Case("embeddings", "vec_id", VEC, schema, sql)
+
+
+def _event(schema: Any, sql: str) -> Case:
+    return Case("events", "event_id", "props", schema, sql)
+
+
+POSITIVE = {"type": "number", "exclusiveMinimum": 0}
+LATE = "o_orderkey % 3 = 0"
+K = "(props->>'$.k')::double"
+CASES: dict[str, Case] = {
+    "kw_type_object": _event({"type": "object"}, "json_type(props) = 'OBJECT'"),
+    "kw_type_integer": _event({"properties": {"k": {"type": "integer"}}}, f"{K} = floor({K})"),
+    "kw_type_union": _line({"quantity": {"type": ["string", "integer"]}}, "l_quantity = floor(l_quantity)"),
+    "kw_nullable": _order({"properties": {"late": {"type": "string", "nullable": True}}}, f"NOT ({LATE})"),
+    "kw_const": _order({"properties": {"status": {"const": "F"}}}, "o_orderstatus = 'F'"),
+    "kw_enum": _order({"properties": {"priority": {"enum": ["1-URGENT", "2-HIGH", None, 5]}}}, "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "kw_minimum": _line({"quantity": {"minimum": 25}}, "l_quantity >= 25"),
+    "kw_maximum": _line({"quantity": {"maximum": 25}}, "l_quantity <= 25"),
+    "kw_exclusive": _line({"quantity": {"exclusiveMinimum": 10, "minimum": 30, "exclusiveMaximum": 20}}, "l_quantity > 10 AND l_quantity < 20"),
+    "kw_multiple_of": _line({"quantity": {"multipleOf": 3}}, "l_quantity % 3 = 0"),
+    "kw_min_length": _part({"properties": {"name": {"minLength": 10}}}, "length(p_name) >= 10"),
+    "kw_max_length": _part({"properties": {"name": {"maxLength": 10}}}, "length(p_name) <= 10"),
+    "kw_length_not_string": _part({"properties": {"size": {"minLength": 1}}}, "false"),
+    "kw_pattern": _part({"properties": {"brand": {"pattern": "^Brand#1[0-9]$"}}}, "regexp_matches(p_brand, '^Brand#1[0-9]$')"),
+    "kw_required": _order({"required": ["key", "late"]}, LATE),
+    "kw_properties": _order({"properties": {"price": {"maximum": 100000}, "status": {"enum": ["O", "P"]}}}, "o_totalprice <= 100000 AND o_orderstatus IN ('O', 'P')"),
+    "kw_pattern_properties": _order({"patternProperties": {"^p": {"type": "string"}}}, "false"),
+    "kw_additional_false": _order({"properties": dict.fromkeys(("key", "status", "price", "day", "priority"), True), "additionalProperties": False}, f"NOT ({LATE})"),
+    "kw_additional_schema": _order({"properties": {"key": True, "price": True}, "patternProperties": {"^l": True}, "additionalProperties": {"type": "string", "minLength": 1}}, "length(o_orderstatus) >= 1"),
+    "kw_property_names": _order({"propertyNames": {"pattern": "^[a-km-z]"}}, f"NOT ({LATE})"),
+    "kw_min_max_properties": _order({"minProperties": 6, "maxProperties": 9}, LATE),
+    "kw_dependent_required": _order({"dependentRequired": {"late": ["key", "missing"]}}, f"NOT ({LATE})"),
+    "kw_dependent_schemas": _order({"dependentSchemas": {"late": {"properties": {"status": {"const": "F"}}}}}, f"NOT ({LATE}) OR o_orderstatus = 'F'"),
+    "kw_dependencies": _order({"dependencies": {"late": {"properties": {"price": {"minimum": 50000}}}, "key": ["price"]}}, f"NOT ({LATE}) OR o_totalprice >= 50000"),
+    "kw_items": _vec({"items": {"type": "number", "minimum": -1.5}}, f"len(list_filter({V_SQL}, lambda x: x < -1.5)) = 0"),
+    "kw_tuple": _vec({"items": [POSITIVE, POSITIVE], "additionalItems": {"maximum": 1}}, f"coalesce({V_SQL}[1] > 0, true) AND coalesce({V_SQL}[2] > 0, true) AND len(list_filter(({V_SQL})[3:], lambda x: x > 1)) = 0"),
+    "kw_prefix_items": _vec({"prefixItems": [POSITIVE]}, f"({V_SQL})[1] > 0"),
+    "kw_contains": _vec({"contains": {"exclusiveMinimum": 0.5}}, f"len(list_filter({V_SQL}, lambda x: x > 0.5)) >= 1"),
+    "kw_min_max_contains": _vec({"contains": POSITIVE, "minContains": 1, "maxContains": 2}, f"len(list_filter({V_SQL}, lambda x: x > 0)) BETWEEN 1 AND 2"),
+    "kw_min_max_items": _vec({"minItems": 2, "maxItems": 4}, "1 + vec_id % 6 BETWEEN 2 AND 4"),
+    "kw_unique_items": Case("lineitem", "l_orderkey, l_linenumber, l_partkey", "to_json(array(l_quantity, cast(l_linenumber as double), l_tax * 100))", {"uniqueItems": True}, "len(list_distinct([l_quantity, l_linenumber::double, l_tax * 100])) = 3"),
+    "kw_all_of": _order({"allOf": [{"properties": {"price": {"minimum": 1000}}}, {"properties": {"status": {"const": "O"}}}]}, "o_totalprice >= 1000 AND o_orderstatus = 'O'"),
+    "kw_any_of": _order({"anyOf": [{"properties": {"price": {"minimum": 300000}}}, {"properties": {"status": {"const": "O"}}}]}, "o_totalprice >= 300000 OR o_orderstatus = 'O'"),
+    "kw_one_of": _order({"oneOf": [{"properties": {"price": {"minimum": 100000}}}, {"properties": {"status": {"const": "O"}}}]}, "(o_totalprice >= 100000) <> (o_orderstatus = 'O')"),
+    "kw_not": _order({"not": {"properties": {"status": {"const": "O"}}}}, "o_orderstatus <> 'O'"),
+    "kw_if_then_else": _order({"if": {"required": ["late"]}, "then": {"properties": {"price": {"minimum": 90000}}}, "else": {"properties": {"status": {"const": "F"}}}}, f"CASE WHEN {LATE} THEN o_totalprice >= 90000 ELSE o_orderstatus = 'F' END"),
+    "kw_ref_local": _order({"properties": {"price": {"$ref": "#/definitions/big"}}, "definitions": {"big": {"minimum": 200000}}}, "o_totalprice >= 200000"),
+    "kw_ref_chain": _order({"properties": {"price": {"$ref": "#/$defs/a"}}, "$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"maximum": 200000}}}, "o_totalprice <= 200000"),
+    "kw_ref_anchor": _order({"properties": {"status": {"$ref": "#st"}}, "$defs": {"x": {"$anchor": "st", "enum": ["P"]}}}, "o_orderstatus = 'P'"),
+    "fmt_date": _order({"properties": {"day": {"format": "date"}}}, "true"),
+    "fmt_date_bounds": _order({"properties": {"day": {"format": "date", "formatMinimum": "1995-06-01", "formatExclusiveMaximum": "1997-01-01"}}}, "o_orderdate >= TIMESTAMP '1995-06-01' AND o_orderdate < TIMESTAMP '1997-01-01'"),
+    "fmt_alpha": _part({"properties": {"name": {"format": "alpha"}}}, "regexp_full_match(p_name, '[a-zA-Z]+')"),
+    "fmt_uppercase": _part({"properties": {"type": {"format": "uppercase"}}}, "p_type = upper(p_type)"),
+    "fmt_int8": _order({"properties": {"price": {"format": "int8"}, "key": {"format": "uint8"}}}, "o_orderkey BETWEEN 0 AND 255 AND o_totalprice = floor(o_totalprice) AND o_totalprice BETWEEN -128 AND 127"),
+    "fmt_uint16": _order({"properties": {"key": {"format": "uint16"}}}, "o_orderkey BETWEEN 0 AND 65535"),
+}
+TABLE_FORMATS = {"url": r"(?i)[(http(s)?):/(www\.)?\w\-/=#%&.]{2,}\.[a-z]{2,}[\w\-/=#%&.?]*", "uri": r"(?i)[a-z][a-z0-9+-.]*:(?:/?/)?[^\s]*", "uri-reference": r"(?i)(?:(?:[a-z][a-z0-9+-.]*:)?/?/)?(?:[^\\\s#][^\s#]*)?(?:#[^\\\s]*)?"}
+for _name, _pattern in TABLE_FORMATS.items():
+    CASES[f"fmt_{_name.replace('-', '_')}"] = Case("pages", "page_id", "to_json(named_struct('u', url))", {"properties": {"u": {"format": _name}}}, f"regexp_full_match(url, '{_pattern.replace(chr(39), chr(39) * 2)}')")
+
+
+def _run(case: Case) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/{case.table}.parquet")
+        keys = [k.strip() for k in case.key.split(",")]
+        return df.select(*keys, Validator(case.schema).valid(F.expr(case.document)).alias("valid"))
+
+    return query
+
+
+EVENT = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 49}}}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Events and valid events of each type: parse, validate and count in one pass."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return Validator(EVENT).report(events, "props", "event_type")
+
+
+def f64_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = (F.col(c) for c in ("l_quantity", "l_discount", "l_tax"))
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", F64.cross(q, d, t, q).alias("cross"), F64.mag2(q, t).alias("mag2"), F64.norm(q, F.lit(1.0), F.lit(50.0)).alias("norm"), F64.clamp(q, F.lit(30.0), F.lit(10.0)).alias("clamp"), F64.in_range(q, F.lit(5.0), F.lit(9.0)).alias("inside"))
+
+
+def vec_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = lambda k: F.col("embedding")[k].cast("double")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    a, b = VEC2.new(e(0), e(1)), VEC2.new(e(2), e(3))
+    c, d = VEC3.new(e(0), e(1), e(2)), VEC3.new(e(3), e(4), e(5))
+    return vectors.select("vec_id", VEC2.dot(a, b).alias("dot2"), cross2(a, b).alias("cross2"), VEC3.dot(c, d).alias("dot3"), cross3(c, d)["z"].alias("cross_z"), VEC2.add(a, b)["x"].alias("sum_x"))
+
+
+def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the quarantine: those that the flagship schema rejects."""
+    return Validator(EVENT).split(spark.read.parquet(f"{sf_dir}/events.parquet"), "props")[1].select("event_id", "event_type")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"quality_by_group": flagship, "quarantine_split": quarantine_split, "f64_scalars": f64_scalars, "vec_products": vec_products} | {name: _run(case) for name, case in CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    good = f"{K} = floor({K}) AND {K} BETWEEN 0 AND 49"
+    e = [f"embedding[{k + 1}]::double" for k in range(6)]
+    return {
+        "quality_by_group": f"SELECT event_type, count(*) AS n, count(*) FILTER ({good}) AS n_valid FROM events GROUP BY event_type",
+        "quarantine_split": f"SELECT event_id, event_type FROM events WHERE NOT coalesce({good}, false)",
+        "f64_scalars": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * l_quantity - l_tax * l_discount AS \"cross\", l_quantity * l_quantity + l_tax * l_tax AS mag2, (l_quantity - 1) / 49 AS norm, greatest(10.0, least(l_quantity, 30.0)) AS clamp, l_quantity BETWEEN 5 AND 9 AS inside FROM lineitem",
+        "vec_products": f"SELECT vec_id, 0.0::double + {e[0]} * {e[2]} + {e[1]} * {e[3]} AS dot2, {e[0]} * {e[3]} - {e[1]} * {e[2]} AS cross2, 0.0::double + {e[0]} * {e[3]} + {e[1]} * {e[4]} + {e[2]} * {e[5]} AS dot3, {e[0]} * {e[4]} - {e[1]} * {e[3]} AS cross_z, {e[0]} + {e[2]} AS sum_x FROM embeddings",
+    } | {name: f"SELECT {case.key}, coalesce({case.sql}, true) AS valid FROM {case.table}" for name, case in CASES.items()}
