@@ -215,8 +215,8 @@ def _predict(model: Model, batch: pa.Array) -> tuple[list[str], list[float]]:
         t = Texts(data, offsets, lower=True)
         inked = np.concatenate(([0], np.cumsum(_ASCII_LETTER[t.data] | (t.data >= 128))))
         counts = (inked[t.end] > inked[t.start]) if len(t.doc) else np.zeros(0, bool)
-        p = model.word_labels(t) * counts[:, None]
-        total = np.stack([np.bincount(t.doc, p[:, k], t.n) for k in range(len(model.labels))], axis=1) if model.labels else np.zeros((t.n, 0))
+        p = model.word_labels(t) * counts[:, None] if model.labels else np.zeros((len(t.doc), 0))
+        total = np.stack([np.bincount(t.doc, p[:, k], t.n) for k in range(len(model.labels))], axis=1) if model.labels else p
         n = np.bincount(t.doc, counts, t.n)
         ascii_letters = t.per_text(_ASCII_LETTER[t.data])
         for k in range(t.n):
