@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Heaviest keys that a skewed join broadcasts. After them, no key holds more than 1/1000 of the rows.
 HOT_KEYS = 1000
 
+#: Tables that this driver has staged, in order.
+STAGED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; set here only where unset, as in tests."""
@@ -38,9 +41,17 @@ def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: columnar, so that later passes read only what they need."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing will read again."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that the table doesn't have yet, in any case."""
     have, out = {c.lower() for c in df.columns}, []
