@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import as_bytes, fresh, join_skewed
-from veridoc.llm.words import BASE, INVERSE, columns, mix, powers, slices
+from veridoc.llm.words import BASE, INVERSE, mix, powers, slices
 
 WINDOW, GRAM = 50, 16
 #: Windows that can share an anchor, and the bytes around an anchor that they cover.
@@ -29,6 +29,8 @@ REACH = WINDOW - GRAM + 1
 AROUND = 2 * WINDOW - GRAM
 #: Bytes of text in a chunk, about.
 CHUNK = 8 << 20
+#: Bytes of text that are hashed at once, and rows of surroundings that are built or grouped at once, about.
+SLICE, ROWS = 1 << 18, 4_000
 #: Bits of a position within a slice.
 PLACE = np.uint64(30)
 
@@ -79,7 +81,7 @@ class _Chunk:
         self.notes = [x for k in range(2) for x in notes[("one", "two")[k]].filter(pa.array(kind == 1)).to_pylist()]
 
     def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, tuple[np.ndarray, ...]]]:
-        for row, _, data, offsets in slices(self.texts, 1 << 20):
+        for row, _, data, offsets in slices(self.texts, SLICE):
             yield data, offsets, row, _anchored(data, offsets)
 
 
@@ -104,8 +106,8 @@ def _first_digit(chunk: _Chunk, number: int, shards: int) -> pa.Table:
     key, row = np.concatenate(keys), np.concatenate(rows)
     order = np.lexsort((row, key))
     key, row = key[order], row[order]
-    distinct, first, counts = np.unique(key, return_index=True, return_counts=True)
-    many = row[first] != row[first + counts - 1]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    distinct, many = key[first], row[first] != row[np.append(first[1:], len(key)) - 1] if len(key) else np.zeros(0, bool)
     out = [(s, number, distinct[r].tobytes(), np.packbits(many[r]).tobytes()) for s, r in _by_shard(_shard(distinct, shards))]
     return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "chunk", "one", "two"])
 
@@ -134,14 +136,25 @@ def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
 
 
+def _blocks(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in blocks of about `ROWS`, all rows of a key in one."""
+    order = np.argsort(key, kind="stable")
+    ends = np.append(np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, len(key))
+    low = 0
+    while low < len(key):
+        high = int(ends[min(np.searchsorted(ends, low + ROWS), len(ends) - 1)])
+        yield order[low:high]
+        low = high
+
+
 def _surroundings(chunk: _Chunk, number: int, shards: int) -> pa.Table:
     """For each shard the surviving anchors with their surroundings; under shard -1 the spans already known to be repeated."""
     alive = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in chunk.notes if x)]))
     parts = []
     for data, offsets, row, (key, place, first, last, text) in chunk.runs():
         at = np.flatnonzero(_among(key, alive))
-        for low in range(0, len(at), 20_000):
-            r = at[low : low + 20_000]
+        for low in range(0, len(at), ROWS):
+            r = at[low : low + ROWS]
             left = place[r] - (REACH - 1)
             index = left[:, None] + np.arange(AROUND)
             used = (index >= first[r, None]) & (index < last[r, None] + WINDOW)
@@ -151,10 +164,13 @@ def _surroundings(chunk: _Chunk, number: int, shards: int) -> pa.Table:
     if not parts:
         return _sent([])
     key, doc, text, start, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
-    group = np.unique(np.ascontiguousarray(rows).view([("", f"V{rows.shape[1]}")]).ravel(), return_inverse=True)[1].ravel()
-    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, doc)
-    own = doc == least[group]
+    del parts
+    own = np.zeros(len(key), bool)
+    for r in _blocks(key):
+        group = np.unique(rows[r].view([("", f"V{rows.shape[1]}")]).ravel(), return_inverse=True)[1].ravel()
+        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, doc[r])
+        own[r] = doc[r] == least[group]
     far = np.flatnonzero(~own)
     length = rows[:, AROUND + 1].astype(np.int64) - rows[:, AROUND] + WINDOW
     out = [(-1, number, _span_bytes(text[far], start[far], start[far] + length[far]), b"")] if len(far) else []
@@ -227,22 +243,24 @@ def _matched(table: pa.Table) -> pa.Table:
 
 def _applied(chunk: _Chunk) -> pa.Table:
     """Each text of the chunk with what is left of it."""
-    data, offsets = columns(chunk.texts)
-    marks = np.zeros(len(data) + 1, np.int32)
-    for x in chunk.notes:
-        if x:
-            text, start, end = np.frombuffer(x, np.int64).reshape(3, -1)
-            np.add.at(marks, offsets[text] + start, 1)
-            np.add.at(marks, offsets[text] + end, -1)
-    gone = np.cumsum(marks[:-1]) > 0
-    total = np.concatenate(([0], np.cumsum(gone)))
-    begins = gone.copy()
-    begins[1:] &= ~gone[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(gone)]
-    begins[inner] = gone[inner]
-    spans = np.concatenate(([0], np.cumsum(begins)))
-    kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return pa.Table.from_arrays([pa.array(chunk.sha, pa.binary()), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array(kept, pa.binary())], ["sha", "n_removed", "n_spans", "kept"])
+    noted = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(3, -1) for x in chunk.notes if x)], axis=1)
+    noted = noted[:, np.argsort(noted[0], kind="stable")]
+    removed, runs, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for row, end, data, offsets in slices(chunk.texts, SLICE):
+        text, start, stop = noted[:, slice(*np.searchsorted(noted[0], [row, end]))]
+        marks = np.zeros(len(data) + 1, np.int32)
+        np.add.at(marks, offsets[text - row] + start, 1)
+        np.add.at(marks, offsets[text - row] + stop, -1)
+        gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        inner = offsets[:-1][offsets[:-1] < len(gone)]
+        begins[inner] = gone[inner]
+        for flags, out in ((gone, removed), (begins, runs)):
+            total = np.concatenate(([0], np.cumsum(flags)))
+            out.append(total[offsets[1:]] - total[offsets[:-1]])
+        kept += [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.Table.from_arrays([pa.array(chunk.sha, pa.binary()), pa.array(np.concatenate(removed)), pa.array(np.concatenate(runs)), pa.array(kept, pa.binary())], ["sha", "n_removed", "n_spans", "kept"])
 
 
 def _distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -274,7 +292,13 @@ def _left_of(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
         side = ids
         if notes is not None:
             side = ids.union(notes.select("chunk", F.lit(1), F.lit(None).cast("binary"), F.lit(None).cast("long"), "one", "two"))
-        return whole.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(lambda key, a, b: fn(_Chunk(a, b), key[0].as_py()), schema)
+
+        def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+            out = fn(_Chunk(texts, notes), key[0].as_py())
+            pa.default_memory_pool().release_unused()
+            return out
+
+        return whole.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(run, schema)
 
     sent = "shard long, chunk long, one binary, two binary"
     noted = "chunk long, one binary, two binary"
