@@ -148,7 +148,7 @@ def _blocks(key: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _surroundings(chunk: _Chunk, number: int, shards: int) -> pa.Table:
-    """For each shard the surviving anchors with their surroundings; under shard -1 the spans already known to be repeated."""
+    """For each shard the surviving anchors with their surroundings; with no second part the spans already known to be repeated."""
     alive = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in chunk.notes if x)]))
     parts = []
     for data, offsets, row, (key, place, first, last, text) in chunk.runs():
@@ -173,7 +173,7 @@ def _surroundings(chunk: _Chunk, number: int, shards: int) -> pa.Table:
         own[r] = doc[r] == least[group]
     far = np.flatnonzero(~own)
     length = rows[:, AROUND + 1].astype(np.int64) - rows[:, AROUND] + WINDOW
-    out = [(-1, number, _span_bytes(text[far], start[far], start[far] + length[far]), b"")] if len(far) else []
+    out = [(number % shards, number, _span_bytes(text[far], start[far], start[far] + length[far]), b"")] if len(far) else []
     own = np.flatnonzero(own)
     for s, r in _by_shard(_shard(key[own], shards)):
         r = own[r]
@@ -214,13 +214,18 @@ def equal_windows(windows: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tu
 
 
 def _matched(table: pa.Table) -> pa.Table:
-    """For each chunk the spans whose windows also start in a document with a smaller id."""
-    heads, rows, chunk = [], [], []
+    """For each chunk the spans whose windows also start in a document with a smaller id; known spans pass."""
+    known, heads, rows, chunk = [], [], [], []
     for c, head, packed in zip(table["chunk"].to_pylist(), table["one"].to_pylist(), table["two"].to_pylist(), strict=True):
+        if not packed:
+            known.append((c, head, b""))
+            continue
         h = np.frombuffer(head, np.int64).reshape(4, -1)
         heads.append(h)
         rows.append(np.frombuffer(pa.decompress(packed, h.shape[1] * (AROUND + 2), codec="zstd", asbytes=True), np.uint8).reshape(-1, AROUND + 2))
         chunk.append(np.full(h.shape[1], c))
+    if not heads:
+        return _notes(known)
     key, doc, text, start = np.concatenate(heads, axis=1)
     rows, chunk = np.concatenate(rows), np.concatenate(chunk)
     group = np.unique(key, return_inverse=True)[1]
@@ -238,7 +243,7 @@ def _matched(table: pa.Table) -> pa.Table:
     (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
     begin = start[row] + first - low[row]
     end = start[row] + last - 1 - low[row] + WINDOW
-    return _notes([(int(chunk[row[r[0]]]), _span_bytes(text[row[r]], begin[r], end[r]), b"") for _, r in _by_shard(chunk[row])] if len(row) else [])
+    return _notes(known + ([(int(chunk[row[r[0]]]), _span_bytes(text[row[r]], begin[r], end[r]), b"") for _, r in _by_shard(chunk[row])] if len(row) else []))
 
 
 def _applied(chunk: _Chunk) -> pa.Table:
@@ -304,7 +309,7 @@ def _left_of(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     noted = "chunk long, one binary, two binary"
     survivors = over_chunks(None, lambda c, k: _first_digit(c, k, shards), sent).groupBy("shard").applyInArrow(_surviving, noted)
     around = over_chunks(survivors, lambda c, k: _surroundings(c, k, shards), sent)
-    spans = around.where("shard >= 0").groupBy("shard").applyInArrow(_matched, noted).union(around.where("shard < 0").select("chunk", "one", "two"))
+    spans = around.groupBy("shard").applyInArrow(_matched, noted)
     return lows, over_chunks(spans, lambda c, k: _applied(c), "sha binary, n_removed long, n_spans long, kept binary")
 
 
