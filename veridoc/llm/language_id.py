@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import fresh, texts
+from veridoc.llm.common import fresh, release, texts
 from veridoc.llm.words import Texts, mix, slices
 
 #: Rows of each language that the model is fitted on, at most, by order of a hash of the id; and characters of each: a window
 #: of the text at a place that the hash gives.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 2000
+#: Bytes of text that are labelled at once, about.
+SLICE = 1 << 18
 #: Languages, at most: the most frequent ones.
 MOST_LABELS = 64
 #: Rows of the weight table; lengths of affixes and n-grams in bytes.
@@ -211,7 +213,7 @@ def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, traini
 def _predict(model: Model, batch: pa.Array) -> tuple[list[str], list[float]]:
     langs: list[str] = []
     scores: list[float] = []
-    for row, end, data, offsets in slices(batch, 1 << 20):
+    for row, end, data, offsets in slices(batch, SLICE):
         t = Texts(data, offsets, lower=True)
         inked = np.concatenate(([0], np.cumsum(_ASCII_LETTER[t.data] | (t.data >= 128))))
         counts = (inked[t.end] > inked[t.start]) if len(t.doc) else np.zeros(0, bool)
@@ -254,6 +256,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for b in batches:
             langs, scores = _predict(model, b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+        release()
 
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -269,5 +272,6 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
             langs, scores = _predict(model, b[text])
             keep = pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
             yield b.select(names).filter(keep)
+        release()
 
     return df.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, df.schema)

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.common import as_bytes, cut, texts
+from veridoc.llm.common import as_bytes, cut, release, texts
 from veridoc.llm.words import slices
 
-#: Words of which a worker keeps the ids; beyond that it keeps those and starts a new table, into which used words move.
+#: Words of which a worker keeps the ids (some 200 bytes each); beyond that it keeps those and starts a new table, into which used words move.
 CACHED_WORDS = 600_000
 #: A character that the tokenizer makes one token of; it stands between words that are encoded together.
 MARK = b"\x01"
@@ -36,7 +36,7 @@ class WordIds:
     Each distinct word is encoded once by the tokenizers library and kept; the ids of a text are its words' ids in a row.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,12 +44,13 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cached = cached
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, joined. What is new goes to the library in one call for all texts."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached:
             self.known, self.older = {}, self.known
         known, found, gaps = self.known, [], []
         for text in texts:
@@ -114,20 +115,20 @@ def _stem(word: bytes) -> tuple[bytes, bytes]:
     return word, b""
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
+    if (path, cached) not in _encoders:
+        _encoders[path, cached] = WordIds(path, cached)
+    return _encoders[path, cached]
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian 32-bit, binary): documents as token ids with an end, cut only where longer than a sequence."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, most = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, most = word_ids(tokenizer, cached), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, ids = [], [], [], [], []
             for d, whole in zip(b["doc_id"].to_pylist(), _by_slice(encode, b["text"]), strict=True):
@@ -140,6 +141,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
                     length.append(len(part) // 4)
                     ids.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+        release()
 
     return texts(df, id_col, text_col).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -250,12 +252,13 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(places, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached: int = CACHED_WORDS) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and its ids on wish.
 
     A null or empty text is one piece that holds the end alone. Extra columns of df are ignored. The pieces are stored in the
-    shared folder between tokenising and packing, without their ids unless these are asked for.
+    shared folder between tokenising and packing, without their ids unless these are asked for. cached: words of which a worker
+    keeps the ids; the rows are the same at any number.
     """
 
-    parts = pieces(df, tokenizer, capacity, end_id, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
+    parts = pieces(df, tokenizer, capacity, end_id, id_col, text_col, cached).withColumn("ids_crc32", F.crc32("ids"))
     return pack(cut(parts if with_ids else parts.drop("ids")), capacity)

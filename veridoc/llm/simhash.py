@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.common import as_bytes, components, cut, first_runs, fresh, join_skewed, local_roots, over_batches, staged, texts
+from veridoc.llm.common import as_bytes, components, cut, first_runs, fresh, join_skewed, local_roots, over_batches, release, staged, texts
 
 SEED = 42
 #: Lists up to this length are compared outright.
@@ -134,6 +134,8 @@ def link_fingerprints(distinct: DataFrame, k: int = 4) -> DataFrame:
         if held:
             a, b = _links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), k)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        del held
+        release()
 
     return dealt.mapInArrow(run, "a long, b long")
 

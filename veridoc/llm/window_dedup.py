@@ -13,14 +13,14 @@ texts equal surroundings are merged before they are sent, so that a passage in a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import as_bytes, fresh, join_skewed
+from veridoc.llm.common import as_bytes, fresh, join_skewed, release
 from veridoc.llm.words import BASE, INVERSE, mix, powers, slices
 
 WINDOW, GRAM = 50, 16
@@ -112,6 +112,15 @@ def _first_digit(chunk: _Chunk, number: int, shards: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "chunk", "one", "two"])
 
 
+def _trimmed(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        release()
+        return out
+
+    return run
+
+
 def _surviving(table: pa.Table) -> pa.Table:
     """For each chunk those of its anchors that another text has too."""
     keys = [np.frombuffer(x, np.uint64) for x in table["one"].to_pylist()]
@@ -279,6 +288,7 @@ def _distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keep.append(s not in seen)
                 seen.add(s)
             yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), b["text"]], ["sha", "text"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "sha binary, text string")
 
@@ -300,16 +310,16 @@ def _left_of(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
         def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
             out = fn(_Chunk(texts, notes), key[0].as_py())
-            pa.default_memory_pool().release_unused()
+            release()
             return out
 
         return whole.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(run, schema)
 
     sent = "shard long, chunk long, one binary, two binary"
     noted = "chunk long, one binary, two binary"
-    survivors = over_chunks(None, lambda c, k: _first_digit(c, k, shards), sent).groupBy("shard").applyInArrow(_surviving, noted)
+    survivors = over_chunks(None, lambda c, k: _first_digit(c, k, shards), sent).groupBy("shard").applyInArrow(_trimmed(_surviving), noted)
     around = over_chunks(survivors, lambda c, k: _surroundings(c, k, shards), sent)
-    spans = around.groupBy("shard").applyInArrow(_matched, noted)
+    spans = around.groupBy("shard").applyInArrow(_trimmed(_matched), noted)
     return lows, over_chunks(spans, lambda c, k: _applied(c), "sha binary, n_removed long, n_spans long, kept binary")
 
 
