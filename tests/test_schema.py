@@ -49,6 +49,11 @@ VERDICTS = [
     ({"format": "date-time"}, ["2024-01-01T10:00:00Z", "2024-01-01 23:59:60Z"], ["2024-01-01T10:00:60Z", "2024-01-01"]),
     ({"format": "json-pointer"}, ["/a/~0b", ""], ["a", "/~2"]),
     ({"format": "email"}, ["a@b.c"], ["a@", "@b"]),
+    ({"format": "regex"}, ["a(b|c)*", "", 5], ["a(b", "[a"]),
+    ({"format": "idn-hostname"}, ["a.example", "\u5b9f\u4f8b.example"], ["example", "-a.example", "a..b.c"]),
+    ({"format": "country2"}, ["NL", "nlx", "XK"], ["XX", ""]),
+    ({"format": "iban"}, ["NL91ABNA0417164300$"], ["NL91ABNA0417164300", "x"]),
+    ({"items": {"format": "regex"}}, [["a"]], [["("]]),
 ]
 
 
@@ -58,6 +63,20 @@ def test_verdicts(spark, schema, good, bad):
     df = spark.createDataFrame(rows, "k int, doc string, expected boolean")
     out = df.select("doc", "expected", Validator(schema).valid(F.col("doc")).alias("valid")).collect()
     assert [(r.doc, r.valid) for r in out] == [(r.doc, r.expected) for r in out]
+    errors = df.select("doc", "expected", F.size(Validator(schema).errors(F.col("doc"))).alias("n")).collect()
+    assert [(r.doc, r.n == 0) for r in errors] == [(r.doc, r.expected) for r in errors]
+
+
+def test_errors_name_keyword_and_path(spark):
+    v = Validator({"required": ["a", "z"], "properties": {"a": {"$ref": "#/$defs/n"}, "b": {"maxLength": 1}}, "$defs": {"n": {"type": "integer", "minimum": 3}}})
+    df = spark.createDataFrame([('{"a": 1.5, "b": "xy"}',)], "doc string")
+    found = df.select(F.inline(v.errors(F.col("doc")))).collect()
+    assert sorted((r.keyword, r.expected, r.schema_path, r.value) for r in found) == [
+        ("maxLength", "1", "#/properties/b/maxLength", '"xy"'),
+        ("minimum", "3", "#/properties/a/$ref/minimum", "1.5"),
+        ("required", '["a", "z"]', "#/required", '{"a":1.5,"b":"xy"}'),
+        ("type", '"integer"', "#/properties/a/$ref/type", "1.5"),
+    ]
 
 
 def test_spec_mode_passes_other_types(spark):
@@ -84,6 +103,14 @@ def test_every_format_is_total(spark):
     assert not any(row)
 
 
+def test_formats_through_java_are_total_and_can_be_reported(spark):
+    df = spark.createDataFrame([(None,), ("",), ("x" * 20_000,), ("(",)], "s string")
+    rows = df.select(*(p(F.col("s")).alias(n) for n, p in formats.REFLECTED.items())).collect()
+    assert None not in {x for r in rows for x in r}
+    docs = spark.createDataFrame([('"a*"',), ('"("',)], "doc string")
+    assert [tuple(r) for r in Validator({"format": "regex"}).report(docs, "doc").collect()] == [(2, 1)]
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([('{"k": 1}',), ('{"k": 99}',)], "props string").write.parquet(str(tmp_path / "in"))
     stream = mark(spark.readStream.schema("props string").parquet(str(tmp_path / "in")), "props", Validator(registered.EVENT))
@@ -91,7 +118,7 @@ def test_stream(spark, tmp_path):
     assert sorted(r.valid for r in spark.table("verdicts").collect()) == [False, True]
 
 
-@pytest.mark.parametrize("name", ["quality_by_group", "kw_additional_schema", "kw_if_then_else", "fmt_date_bounds", "vec_products"])
+@pytest.mark.parametrize("name", ["quality_by_group", "error_records", "kw_additional_schema", "kw_if_then_else", "fmt_date_bounds", "vec_products"])
 def test_registered_query_matches_sql(spark, name):
     got = registered.queries()[name](spark, SF).toPandas()
     con = duckdb.connect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +70,10 @@ PATTERNS: dict[str, str] = {
     "isbn13": r"(?i)ISBN(?:-13)?:? *97[89]([ -]?)(?=\d{1,5}\1?\d{1,7}\1?\d{1,6}\1?\d)(?:\d\1*){9}\d",
     "base64": r"(?:[a-zA-Z0-9+/]{4})*+(?:|[a-zA-Z0-9+/]{3}=|[a-zA-Z0-9+/]{2}==|[a-zA-Z0-9+/]===)",
 }
+#: Found anywhere from the start on, not over the whole string; an IBAN has to be followed by a dollar sign.
+IBAN = r"(?i)\A[A-Z]{2}[ '+\\-]?[0-9]{2}(?=(?:[ '+\\-]?[A-Z0-9]){9,30}\$)(?:[ '+\\-]?[A-Z0-9]{3,5}){2,7}(?:[ '+\\-]?[A-Z0-9]{1,3})?\$"
+#: A host name in its ASCII form; at least one dot.
+ACE_HOST = r"(?!-)(?:xn--)?[a-zA-Z0-9][a-zA-Z0-9-_]{0,61}[a-zA-Z0-9]?\.(?!-)(?:xn--)?(?:[a-zA-Z0-9-]{1,50}|[a-zA-Z0-9-]{1,30}\.[a-zA-Z]{2,})"
 PATTERNS |= {"url--full": PATTERNS["url"], "byte": PATTERNS["base64"]}
 INTEGERS: dict[str, tuple[int, int]] = {
     "int8": (-(1 << 7), (1 << 7) - 1),
@@ -89,6 +94,31 @@ def whole(s: Column, pattern: str) -> Column:
     return F.coalesce(s.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
 
 
+def _java(owner: str, method: str, *args: Column) -> Column:
+    """What a static Java method returns, as text; null where it throws."""
+    return F.call_function("try_reflect", F.lit(owner), F.lit(method), *args)
+
+
+def is_regex(s: Column) -> Column:
+    """Whether the text compiles as a pattern, by Java's syntax; false for null."""
+    return F.coalesce(_java("java.util.regex.Pattern", "matches", s, F.lit("")).isNotNull(), F.lit(False))
+
+
+def is_idn_hostname(s: Column) -> Column:
+    """A host name whose ASCII form, by IDNA, has at least one dot."""
+    ascii_form = F.when(s.rlike(r"\A[\x00-\x7F]*\z"), s).otherwise(_java("java.net.IDN", "toASCII", s))
+    return whole(ascii_form, ACE_HOST)
+
+
+def is_country(s: Column) -> Column:
+    """Starts with a two-letter country code of ISO 3166, by the platform's list, or with XK; in any case."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("country2 needs a running session")
+    codes = sorted({"XK", *context._jvm.java.util.Locale.getISOCountries()})
+    return F.coalesce(F.upper(F.substring(s, 1, 2)).isin(*codes), F.lit(False))
+
+
 def is_date(s: Column) -> Column:
     """Full date by RFC 3339, with an optional trailing z."""
     part = lambda k: F.regexp_extract(s, rf"\A{DATE}\z", k).try_cast("int")
@@ -130,12 +160,18 @@ def strings() -> dict[str, Callable[[Column], Column]]:
     found = {name: by(pattern) for name, pattern in PATTERNS.items()}
     found["uri"] = lambda s: whole(s, PATTERNS["uri"]) & F.coalesce(s.rlike("[/:]"), F.lit(False))
     found["uri--full"] = lambda s: whole(s, PATTERNS["uri--full"]) & F.coalesce(s.rlike("[/:]"), F.lit(False))
+    found["country2"] = is_country
+    found["iban"] = lambda s: F.coalesce(s.rlike(IBAN), F.lit(False))
     found["hostname"] = lambda s: whole(s, PATTERNS["hostname"]) & (F.length(s) <= 255)
     found["uppercase"] = lambda s: F.coalesce(s == F.upper(s), F.lit(False))
     found["lowercase"] = lambda s: F.coalesce(s == F.lower(s), F.lit(False))
     return found
 
 
+#: Formats that call into Java. Spark takes such calls for non-deterministic, so they stand in projections and filters only.
+REFLECTED: dict[str, Callable[[Column], Column]] = {"regex": is_regex, "idn-hostname": is_idn_hostname}
+
+
 def in_range(number: Column, name: str) -> Column:
     """Whether a number lies within a number format."""
     if name in INTEGERS:
@@ -146,4 +182,4 @@ def in_range(number: Column, name: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-NAMES = frozenset({*strings(), *INTEGERS, *FLOATS, *DATES})
+NAMES = frozenset({*PATTERNS, "uppercase", "lowercase", "country2", "iban", *REFLECTED, *INTEGERS, *FLOATS, *DATES})

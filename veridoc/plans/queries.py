@@ -140,14 +140,24 @@ def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Validator(EVENT).split(spark.read.parquet(f"{sf_dir}/events.parquet"), "props")[1].select("event_id", "event_type")
 
 
+def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each keyword that an event fails."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", F.inline(Validator(EVENT).errors(F.col("props"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"quality_by_group": flagship, "quarantine_split": quarantine_split, "f64_scalars": f64_scalars, "vec_products": vec_products} | {name: _run(case) for name, case in CASES.items()}
+    return {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "f64_scalars": f64_scalars, "vec_products": vec_products} | {name: _run(case) for name, case in CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     good = f"{K} = floor({K}) AND {K} BETWEEN 0 AND 49"
     e = [f"embedding[{k + 1}]::double" for k in range(6)]
+    tests = (("type", '"integer"', f"{K} <> floor({K})"), ("minimum", "0", f"{K} < 0"), ("maximum", "49", f"{K} > 49"))
+    failed = (f"SELECT event_id, '{key}' AS keyword, '{expected}' AS expected, '#/properties/k/{key}' AS schema_path, props->>'$.k' AS value FROM events WHERE {test}" for key, expected, test in tests)
+    missing = "SELECT event_id, 'required', '[\"k\"]', '#/required', props FROM events WHERE json_extract(props, '$.k') IS NULL"
     return {
+        "error_records": " UNION ALL ".join((*failed, missing)),
         "quality_by_group": f"SELECT event_type, count(*) AS n, count(*) FILTER ({good}) AS n_valid FROM events GROUP BY event_type",
         "quarantine_split": f"SELECT event_id, event_type FROM events WHERE NOT coalesce({good}, false)",
         "f64_scalars": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * l_quantity - l_tax * l_discount AS \"cross\", l_quantity * l_quantity + l_tax * l_tax AS mag2, (l_quantity - 1) / 49 AS norm, greatest(10.0, least(l_quantity, 30.0)) AS clamp, l_quantity BETWEEN 5 AND 9 AS inside FROM lineitem",

@@ -7,6 +7,7 @@ is SQL NULL, a JSON null is a variant null.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from typing import Any
@@ -17,6 +18,15 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import formats
 
+#: Keywords that are judged together; an error names the first one that the schema has.
+GROUPS = [
+    *(("type", "nullable"), ("nullable", "type"), ("const",), ("enum",), ("minimum", "exclusiveMinimum"), ("exclusiveMinimum", "minimum"), ("maximum", "exclusiveMaximum"), ("exclusiveMaximum", "maximum"), ("multipleOf",)),
+    *(("minLength",), ("maxLength",), ("pattern",), ("format", "formatMinimum", "formatExclusiveMinimum", "formatMaximum", "formatExclusiveMaximum")),
+    *(("minItems",), ("maxItems",), ("uniqueItems",), ("prefixItems", "items", "additionalItems"), ("items", "prefixItems", "additionalItems"), ("contains", "minContains", "maxContains")),
+    *(("minProperties",), ("maxProperties",), ("required",), ("propertyNames",), ("patternProperties",)),
+    *(("additionalProperties", "properties", "patternProperties", "unevaluatedProperties"), ("unevaluatedProperties", "properties", "patternProperties", "additionalProperties")),
+    *(("dependentRequired",), ("dependentSchemas",), ("dependencies",), ("allOf",), ("anyOf",), ("oneOf",), ("not",), ("if", "then", "else")),
+]
 TYPES = frozenset("null boolean integer number bigint string object array tuple map set regex".split())
 
 
@@ -97,12 +107,52 @@ class Compiler:
         if mode not in ("compat", "spec"):
             raise SchemaError(f"unknown mode {mode!r}")
         self.registry, self.schema, self.spec, self.custom, self.depth = Registry(schema, others), schema, mode == "spec", custom or {}, depth
-        self.strings = formats.strings()
+        self.strings = formats.strings() | formats.REFLECTED
 
     def valid(self, v: Column) -> Column:
         """A total predicate on a VARIANT Column."""
         return self._schema(self.schema, v, "", ())
 
+    def errors(self, v: Column) -> Column:
+        """An array of (keyword, expected, schema_path, value), empty where `valid` holds.
+
+        One record for each keyword that fails; those below `properties` and references are told apart by their paths, what
+        other keywords hold inside is told as one. expected and value are JSON; value is null where the document is missing.
+        """
+        found = self._errors(self.schema, v, "", "#", ())
+        nothing = F.array().cast("array<struct<keyword:string,expected:string,schema_path:string,value:string>>")
+        return F.filter(F.array(*found), lambda e: e.isNotNull()) if found else nothing
+
+    def _errors(self, schema: Any, v: Column, base: str, path: str, trail: tuple[int, ...]) -> list[Column]:
+        def record(ok: Column, key: str, expected: Any) -> Column:
+            parts = (F.lit(key).alias("keyword"), F.lit(json.dumps(expected)).alias("expected"), F.lit(f"{path}/{key}" if key else path).alias("schema_path"), F.to_json(v).alias("value"))
+            return F.when(~ok, F.struct(*parts))
+
+        if not isinstance(schema, dict):
+            return [record(self._schema(schema, v, base, trail), "", schema)] if schema is not True else []
+        if isinstance(schema.get("$id"), str):
+            base = urljoin(base, schema["$id"]).rstrip("#")
+        out = []
+        if isinstance(schema.get("$ref"), str) and schema["$ref"].strip():
+            target, to = self.registry.find(schema["$ref"], base)
+            if trail.count(id(target)) >= self.depth:
+                out.append(record(v.isNull(), "$ref", schema["$ref"]))
+            else:
+                out += self._errors(target, v, to, f"{path}/$ref", (*trail, id(target)))
+        named = set()
+        for group in GROUPS:
+            if group[0] not in schema or group[0] in named:
+                continue
+            named.update(group[: 1 if "properties" in group else None])
+            part = {k: schema[k] for k in group if k in schema}
+            if "properties" in group:  # which keys there are counts here, not what they hold
+                part |= {k: dict.fromkeys(part[k], True) for k in ("properties", "patternProperties") if part.get(k)}
+            out.append(record(self._schema(part, v, base, trail), group[0], schema[group[0]]))
+        for key, below in (schema.get("properties") or {}).items():
+            inside = self._errors(below, self._get(v, key), base, f"{path}/properties/{key.replace('~', '~0').replace('/', '~1')}", trail)
+            out += [F.when(self._is(v, "object") & self._has(v, key), e) for e in inside]
+        return out
+
     # Shapes. Type tags come first, as casts of variants coerce.
     @staticmethod
     def _tag(v: Column) -> Column:
@@ -403,6 +453,10 @@ class Validator:
     def valid(self, text: Column) -> Column:
         return self.compiler.valid(self.parse(text))
 
+    def errors(self, text: Column) -> Column:
+        """What is wrong with each document: an array of records, to be kept beside it or exploded."""
+        return self.compiler.errors(self.parse(text))
+
     def filter(self, df: DataFrame, text: str) -> DataFrame:
         return df.where(self.valid(F.col(text)))
 
@@ -413,4 +467,5 @@ class Validator:
 
     def report(self, df: DataFrame, text: str, *by: str) -> DataFrame:
         """Rows and valid rows of each group."""
-        return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(self.valid(F.col(text))).alias("n_valid"))
+        judged = df.select(*by, self.valid(F.col(text)).alias("veridoc_valid"))
+        return judged.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("veridoc_valid").alias("n_valid"))
