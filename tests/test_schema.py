@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import formats
 from veridoc.plans import queries as registered
+from veridoc.plans.interp import MISSING, Interpreter
 from veridoc.plans.schema import Compiler, SchemaError, Validator
 from veridoc.streaming.validate import mark
 
@@ -135,3 +136,55 @@ def test_registered_query_matches_sql(spark, name):
 
 def test_entry_has_sql_for_every_engine_query():
     assert registered.queries().keys() == registered.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("schema,good,bad", VERDICTS, ids=lambda x: json.dumps(x)[:60] if isinstance(x, (dict, bool)) else "")
+def test_interpreter_agrees(spark, schema, good, bad):
+    judge = Interpreter(schema, countries=frozenset(formats.countries()))
+    assert [judge.valid(MISSING if d is None else d) for d in [*good, *bad]] == [True] * len(good) + [False] * len(bad)
+
+
+TREE = {"$ref": "#/$defs/n", "$defs": {"n": {"properties": {"v": {"type": "integer"}, "kids": {"items": {"$ref": "#/$defs/n"}}, "next": {"$ref": "#/$defs/n"}}}}}
+
+
+def test_documents_deeper_than_the_schema_is_unrolled(spark):
+    def nest(leaf, n):
+        for _ in range(n):
+            leaf = {"kids": [leaf]}
+        return json.dumps(leaf)
+
+    docs = [(nest({"v": x}, n), x == 1) for n in (0, 2, 40, 300) for x in (1, "x")] + [(None, True), ("{" * 9, True)]
+    df = spark.createDataFrame(docs, "doc string, expected boolean")
+    v = Validator(TREE)
+    out = df.select("expected", v.valid(F.col("doc")).alias("valid"), F.size(v.errors(F.col("doc"))).alias("n")).collect()
+    assert [(r.valid, r.n == 0) for r in out] == [(r.expected, r.expected) for r in out]
+
+
+@pytest.mark.parametrize(
+    "schema,good,bad",
+    [
+        ({"properties": {"a": True}, "allOf": [{"properties": {"b": True}}], "unevaluatedProperties": False}, [{"a": 1, "b": 2}, {}, 5], [{"c": 1}]),
+        ({"anyOf": [{"required": ["x"], "properties": {"x": True}}, {"properties": {"y": {"type": "integer"}}}], "unevaluatedProperties": {"type": "string"}}, [{"x": 1, "z": "s"}, {"y": 1}], [{"x": 1, "y": []}, {"z": 1}]),
+        ({"prefixItems": [{"type": "integer"}], "contains": {"type": "string"}, "unevaluatedItems": False}, [[1, "a"], [1, "a", "b"]], [[1, "a", None]]),
+        ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"properties": {"m": True}}, "unevaluatedProperties": False}, [{"k": 1, "m": 2}, {}], [{"k": 2}, {"m": 1}]),
+    ],
+)
+def test_unevaluated_parts_in_spec_mode(spark, schema, good, bad):
+    df = spark.createDataFrame([(json.dumps(d),) for d in [*good, *bad]], "doc string")
+    assert [r[0] for r in df.select(Validator(schema, mode="spec").valid(F.col("doc"))).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_keyword_values_that_stand_for_numbers(spark):
+    df = spark.createDataFrame([("-1",), ("0",), ("7",)], "doc string")
+    verdicts = lambda s, **o: [r[0] for r in df.select(Validator(s, **o).valid(F.col("doc"))).collect()]
+    assert verdicts({"minimum": None}) == [False, True, True]
+    assert verdicts({"maximum": "5"}) == [True, True, False]
+    assert verdicts({"maximum": 9, "exclusiveMaximum": False}) == [True, False, False]
+    assert verdicts({"minimum": None, "maximum": "5"}, mode="spec") == [True, True, True]
+
+
+def test_errors_below_all_of_and_conditions(spark):
+    v = Validator({"allOf": [{"minimum": 3}, {"type": "integer"}], "if": {"maximum": 0}, "then": {"multipleOf": 2}})
+    df = spark.createDataFrame([("-1",), ("4",), (None,)], "doc string")
+    found = df.select(F.inline(v.errors(F.col("doc")))).collect()
+    assert sorted(r.schema_path for r in found) == ["#/allOf/0/minimum", "#/then/multipleOf"]

@@ -110,13 +110,17 @@ def is_idn_hostname(s: Column) -> Column:
     return whole(ascii_form, ACE_HOST)
 
 
-def is_country(s: Column) -> Column:
-    """Starts with a two-letter country code of ISO 3166, by the platform's list, or with XK; in any case."""
+def countries() -> list[str]:
+    """Two-letter country codes of ISO 3166, by the platform's list, and XK."""
     context = SparkContext._active_spark_context
     if context is None:
         raise RuntimeError("country2 needs a running session")
-    codes = sorted({"XK", *context._jvm.java.util.Locale.getISOCountries()})
-    return F.coalesce(F.upper(F.substring(s, 1, 2)).isin(*codes), F.lit(False))
+    return sorted({"XK", *context._jvm.java.util.Locale.getISOCountries()})
+
+
+def is_country(s: Column) -> Column:
+    """Starts with a two-letter country code, in any case."""
+    return F.coalesce(F.upper(F.substring(s, 1, 2)).isin(*countries()), F.lit(False))
 
 
 def is_date(s: Column) -> Column:

@@ -1,0 +1,375 @@
+"""The same verdicts in plain Python, for what a finite expression can't hold: documents that nest deeper than a recursive schema
+was unrolled, schemas that are judged themselves, and keywords that depend on what their neighbours have judged.
+
+The Columns of `veridoc.plans.schema` are the fast path; rows come here one Arrow batch at a time and only where needed.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import sys
+from datetime import datetime, timedelta, timezone
+from typing import Any
+from urllib.parse import urljoin
+
+import regex
+
+from veridoc.functions import formats
+from veridoc.plans.registry import TYPES, Registry, SchemaError, bounds, is_number, limit, numberish, split_pattern
+
+#: No value, as opposed to a JSON null.
+MISSING = type("Missing", (), {"__repr__": lambda self: "MISSING"})()
+#: Documents may nest as deep as the JVM's parser allows, 1,000 levels; each takes a few frames.
+FRAMES = 20_000
+
+
+def parse(text: str | None) -> Any:
+    """A JSON document; MISSING for null, malformed text and texts that name a key twice."""
+
+    def unique(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("a key stands twice")
+        return out
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        return MISSING if text is None else json.loads(text, object_pairs_hook=unique, parse_constant=refuse)
+    except ValueError:
+        return MISSING
+
+
+def _pattern(pattern: str) -> regex.Pattern:
+    text, flags = split_pattern(pattern, r"\Z")
+    text = regex.sub(r"\(\?<(?![=!])", "(?P<", text)
+    return regex.compile(text, regex.ASCII | sum({"i": regex.I, "m": regex.M, "s": regex.S}[f] for f in flags))
+
+
+def _double(x: Any) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return math.inf if x > 0 else -math.inf
+
+
+def _is(v: Any, name: str) -> bool:
+    if name == "null":
+        return v is None
+    if name == "boolean":
+        return isinstance(v, bool)
+    if name == "string":
+        return isinstance(v, str)
+    if name == "number":
+        return is_number(v)
+    if name == "integer":
+        return is_number(v) and math.isfinite(d := _double(v)) and d == math.floor(d)
+    if name in ("array", "tuple"):
+        return isinstance(v, list)
+    if name == "object":
+        return isinstance(v, dict)
+    if name in TYPES:
+        return False
+    raise SchemaError(f"unknown type {name!r}")
+
+
+def equal(a: Any, b: Any) -> bool:
+    """Deep equality, whatever the order of keys; numbers by value as doubles."""
+    if is_number(a) and is_number(b):
+        return _double(a) == _double(b)
+    if type(a) is not type(b):
+        return False
+    if isinstance(a, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(equal(a[k], b[k]) for k in a)
+    return a == b
+
+
+def _canonical(v: Any) -> Any:
+    if is_number(v):
+        return ("number", _double(v))
+    if isinstance(v, list):
+        return ("array", tuple(map(_canonical, v)))
+    if isinstance(v, dict):
+        return ("object", frozenset((k, _canonical(x)) for k, x in v.items()))
+    return (type(v).__name__, v)
+
+
+def _moment(text: str, kind: str) -> datetime | None:
+    """The instant that a valid text names; None where it names none, as at a leap second."""
+    text = text.upper()
+    if kind == "date":
+        text = text[:10] + "T00:00:00Z"
+    elif kind == "time":
+        text = "1970-01-01T" + text
+    try:
+        at = datetime.fromisoformat(regex.sub(r"\s", "T", text))
+    except ValueError:
+        return None
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
+def _date(s: str) -> bool:
+    m = regex.fullmatch(formats.DATE, s, regex.ASCII)
+    if not m:
+        return False
+    year, month, day = int(m[1]), int(m[2]), int(m[3])
+    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    return 1 <= month <= 12 and 1 <= day <= (28 + leap if month == 2 else 30 if month in (4, 6, 9, 11) else 31)
+
+
+def _time(s: str) -> bool:
+    m = regex.fullmatch(formats.TIME, s, regex.ASCII)
+    if not m:
+        return False
+    hour, minute, second, zone = int(m[1]), int(m[2]), int(m[3]), m[5]
+    inside = hour <= 23 and minute <= 59 and second <= 59 or (hour, minute, second) == (23, 59, 60)
+    return inside and (zone in "zZ" or int(zone[1:3]) <= 23 and int(zone[4:6]) <= 59)
+
+
+def _date_time(s: str) -> bool:
+    parts = regex.split(r"[tT\s]", s, flags=regex.ASCII)
+    return len(parts) == 2 and _date(parts[0]) and _time(parts[1])
+
+
+DATES = {"date": _date, "time": _time, "date-time": _date_time}
+
+
+class Interpreter:
+    """Judges parsed documents. Formats that need Columns (custom ones) are refused when a document meets them."""
+
+    def __init__(self, schema: Any, others: dict[str, Any] | None = None, mode: str = "compat", countries: frozenset[str] = frozenset()) -> None:
+        self.registry, self.schema, self.spec, self.countries = Registry(schema, others), schema, mode == "spec", countries
+        self.patterns: dict[str, regex.Pattern] = {}
+
+    def valid(self, document: Any) -> bool:
+        if sys.getrecursionlimit() < FRAMES:
+            sys.setrecursionlimit(FRAMES)
+        return self._judge(self.schema, document, "", set())
+
+    def _match(self, pattern: str, text: str) -> bool:
+        if pattern not in self.patterns:
+            self.patterns[pattern] = _pattern(pattern)
+        return self.patterns[pattern].search(text) is not None
+
+    def _judge(self, schema: Any, v: Any, base: str, seen: set) -> bool:
+        """The verdict; keys and positions of v that the schema has judged are added to `seen` if it holds."""
+        if isinstance(schema, bool):
+            return schema
+        if not isinstance(schema, dict):
+            raise SchemaError("a schema is an object or a boolean")
+        if isinstance(schema.get("$id"), str):
+            base = urljoin(base, schema["$id"]).rstrip("#")
+        mine: set = set()
+        if isinstance(schema.get("$ref"), str) and schema["$ref"].strip():
+            target, to = self.registry.find(schema["$ref"], base)
+            if not self._judge(target, v, to, mine):
+                return False
+        if not (self._basic(schema, v) and self._numbers(schema, v) and self._strings(schema, v) and self._format(schema, v)):
+            return False
+        if not self._combined(schema, v, base, mine):
+            return False
+        types = schema.get("type")
+        types = {types} if isinstance(types, str) else set(types or ())
+        if isinstance(v, list) and "set" not in types and not self._array(schema, v, base, mine):
+            return False
+        if isinstance(v, dict) and "map" not in types and not self._object(schema, v, base, mine):
+            return False
+        seen |= mine
+        return True
+
+    def _basic(self, schema: dict, v: Any) -> bool:
+        if schema.get("required") is True and v is MISSING:
+            return False
+        if "type" in schema:
+            names = [schema["type"]] if isinstance(schema["type"], str) else ["null" if n is None else n for n in schema["type"]]
+            if v is not MISSING and not any(_is(v, n) for n in names) and not (v is None and schema.get("nullable") is True):
+                return False
+        elif schema.get("nullable") is False and v is None:
+            return False
+        if "const" in schema and (v is MISSING or not equal(v, schema["const"])):
+            return False
+        options = schema.get("enum")
+        return not (isinstance(options, list) and options) or v is MISSING or any(equal(v, x) for x in options)
+
+    def _numbers(self, schema: dict, v: Any) -> bool:
+        if not is_number(v):
+            return True
+        d = _double(v)
+        for name, exclusive, sign in (("minimum", "exclusiveMinimum", 1), ("maximum", "exclusiveMaximum", -1)):
+            for bound, strict in bounds(schema, name, exclusive, self.spec):
+                if not (sign * d > sign * bound if strict else sign * d >= sign * bound):
+                    return False
+        step = numberish(schema.get("multipleOf", MISSING), self.spec)
+        return step is None or step != 0 and math.isfinite(d) and math.fmod(d, step) == 0
+
+    def _limit(self, schema: dict, name: str) -> int | None:
+        return limit(schema, name, self.spec)
+
+    def _strings(self, schema: dict, v: Any) -> bool:
+        low, high, pattern = self._limit(schema, "minLength"), self._limit(schema, "maxLength"), schema.get("pattern")
+        if low is None and high is None and pattern is None:
+            return True
+        if not isinstance(v, str):
+            return self.spec
+        n = len(v) if self.spec else len(v.encode("utf-16-be", "surrogatepass")) // 2
+        return (low is None or n >= low) and (high is None or n <= high) and (pattern is None or self._match(pattern, v))
+
+    def _format(self, schema: dict, v: Any) -> bool:
+        name = schema.get("format")
+        if not isinstance(name, str):
+            return True
+        if name in formats.INTEGERS or name in formats.FLOATS:
+            return self._number_format(v, name)
+        if name not in formats.NAMES:
+            raise SchemaError(f"the interpreter doesn't know the format {name!r}")
+        if not isinstance(v, str):
+            return True
+        if name in DATES:
+            if not DATES[name](v):
+                return False
+            at = _moment(v, name)
+            for key, strict, sign in (("formatMinimum", 0, 1), ("formatExclusiveMinimum", 1, 1), ("formatMaximum", 0, -1), ("formatExclusiveMaximum", 1, -1)):
+                if isinstance(schema.get(key), str):
+                    bound = _moment(schema[key], name) if DATES[name](schema[key]) else None
+                    if at is None or bound is None or not sign * ((at - bound) / timedelta(microseconds=1)) >= strict:
+                        return False
+            return True
+        if name in ("uppercase", "lowercase"):
+            return v == (v.upper() if name == "uppercase" else v.lower())
+        if name == "country2":
+            return v[:2].upper() in self.countries
+        if name == "iban":
+            return regex.search(formats.IBAN, v) is not None
+        if name == "regex":
+            try:
+                regex.compile(v)
+            except regex.error:
+                return False
+            return True
+        if name == "idn-hostname":
+            try:
+                v = v if v.isascii() else v.encode("idna").decode()
+            except UnicodeError:
+                return False
+            return regex.fullmatch(formats.ACE_HOST, v, regex.ASCII) is not None
+        if name.startswith("uri") and name in ("uri", "uri--full") and not regex.search("[/:]", v) or name == "hostname" and len(v) > 255:
+            return False
+        return regex.fullmatch(formats.PATTERNS[name], v, regex.ASCII) is not None
+
+    @staticmethod
+    def _number_format(v: Any, name: str) -> bool:
+        if v is MISSING or v is None:
+            return True
+        if isinstance(v, str):
+            v = v.strip()
+            if v and not regex.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v, regex.ASCII):
+                return False
+            v = float(v or 0)
+        if not isinstance(v, (int, float)):
+            return False
+        d = _double(v)
+        if name in formats.INTEGERS:
+            low, high = formats.INTEGERS[name]
+            return low <= d <= high and d == math.floor(d)
+        return abs(d) <= formats.FLOATS[name]
+
+    def _array(self, schema: dict, v: list, base: str, seen: set) -> bool:
+        low, high = self._limit(schema, "minItems"), self._limit(schema, "maxItems")
+        if low is not None and len(v) < low or high is not None and len(v) > high:
+            return False
+        if schema.get("uniqueItems") is True:
+            keys = [_canonical(x) for x in v if self.spec or not isinstance(x, (dict, list))]
+            if len(set(keys)) < len(keys):
+                return False
+        items, prefix, rest = schema.get("items"), schema.get("prefixItems"), None
+        if isinstance(prefix, list) and prefix:
+            rest = items
+        elif isinstance(items, list) and items:
+            prefix, rest = items, schema.get("additionalItems")
+        else:
+            prefix, rest = [], None if isinstance(items, list) else items
+        if not self.spec and prefix and items is False and v:
+            return False
+        for k, x in enumerate(v):
+            s = prefix[k] if k < len(prefix) else rest
+            if isinstance(s, (dict, bool)):
+                if not self._judge(s, x, base, set()):
+                    return False
+                seen.add(k)
+        contains = schema.get("contains")
+        if isinstance(contains, bool):
+            if not (v and contains):
+                return False
+            seen.update(range(len(v)))
+        elif isinstance(contains, dict):
+            hits = [k for k, x in enumerate(v) if self._judge(contains, x, base, set())]
+            least, most = schema.get("minContains"), schema.get("maxContains")
+            if len(hits) < (int(least) if is_number(least) else 1) or is_number(most) and len(hits) > int(most):
+                return False
+            seen.update(hits)
+        return self._left_over(schema, "unevaluatedItems", enumerate(v), base, seen)
+
+    def _left_over(self, schema: dict, keyword: str, parts: Any, base: str, seen: set) -> bool:
+        """What nothing has judged, in spec mode, is judged by the keyword."""
+        rule = schema.get(keyword)
+        if not self.spec or not isinstance(rule, (dict, bool)):
+            return True
+        for k, x in parts:
+            if k not in seen:
+                if not self._judge(rule, x, base, set()):
+                    return False
+                seen.add(k)
+        return True
+
+    def _object(self, schema: dict, v: dict, base: str, seen: set) -> bool:
+        low, high = self._limit(schema, "minProperties"), self._limit(schema, "maxProperties")
+        if low is not None and len(v) < low or high is not None and len(v) > high:
+            return False
+        if isinstance(schema.get("required"), list) and any(k not in v for k in schema["required"]):
+            return False
+        properties, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
+        names, extra = schema.get("propertyNames"), schema.get("additionalProperties")
+        for key, x in v.items():
+            if isinstance(names, (dict, bool)) and not self._judge(names, key, base, set()):
+                return False
+            rules = [properties[key]] if key in properties else []
+            rules += [s for p, s in patterns.items() if self._match(p, key)]
+            if not rules and isinstance(extra, (dict, bool)):
+                rules = [extra]
+            for s in rules:
+                if not self._judge(s, x, base, set()):
+                    return False
+            if rules:
+                seen.add(key)
+        for name in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for key, rule in (schema.get(name) or {}).items():
+                if key in v and not (all(k in v for k in rule) if isinstance(rule, list) else self._judge(rule, v, base, seen)):
+                    return False
+        rest = schema.get("unevaluatedProperties")
+        if not self.spec and not isinstance(extra, bool) and not isinstance(extra, dict) and isinstance(rest, (dict, bool)) and v and not self._judge(rest, v, base, set()):
+            return False
+        return self._left_over(schema, "unevaluatedProperties", v.items(), base, seen)
+
+    def _combined(self, schema: dict, v: Any, base: str, seen: set) -> bool:
+        for s in schema.get("allOf") or () if v is not MISSING else ():
+            if not self._judge(s, v, base, seen):
+                return False
+        if isinstance(schema.get("anyOf"), list) and schema["anyOf"] and v is not MISSING:
+            if not [s for s in schema["anyOf"] if self._judge(s, v, base, seen)]:  # all of them, as each may judge other keys
+                return False
+        if isinstance(schema.get("oneOf"), list) and schema["oneOf"]:
+            if len([s for s in schema["oneOf"] if self._judge(s, v, base, seen)]) != 1:
+                return False
+        negated = schema.get("not")
+        if isinstance(negated, bool):
+            if negated:
+                return False
+        elif isinstance(negated, dict) and v is not MISSING and self._judge(negated, v, base, set()):
+            return False
+        if isinstance(schema.get("if"), (dict, bool)) and ("then" in schema or "else" in schema):
+            return self._judge(schema.get("then" if self._judge(schema["if"], v, base, seen) else "else", True), v, base, seen)
+        return True

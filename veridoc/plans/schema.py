@@ -8,15 +8,18 @@ is SQL NULL, a JSON null is a variant null.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 from typing import Any
-from urllib.parse import unquote, urljoin
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from veridoc.functions import formats
+from veridoc.plans.interp import MISSING, Interpreter, parse
+from veridoc.plans.registry import TYPES, Registry, SchemaError, bounds, is_number, java_pattern, limit, numberish
 
 #: Keywords that are judged together; an error names the first one that the schema has.
 GROUPS = [
@@ -25,79 +28,14 @@ GROUPS = [
     *(("minItems",), ("maxItems",), ("uniqueItems",), ("prefixItems", "items", "additionalItems"), ("items", "prefixItems", "additionalItems"), ("contains", "minContains", "maxContains")),
     *(("minProperties",), ("maxProperties",), ("required",), ("propertyNames",), ("patternProperties",)),
     *(("additionalProperties", "properties", "patternProperties", "unevaluatedProperties"), ("unevaluatedProperties", "properties", "patternProperties", "additionalProperties")),
-    *(("dependentRequired",), ("dependentSchemas",), ("dependencies",), ("allOf",), ("anyOf",), ("oneOf",), ("not",), ("if", "then", "else")),
+    *(("dependentRequired",), ("dependentSchemas",), ("dependencies",), ("anyOf",), ("oneOf",), ("not",)),
 ]
-TYPES = frozenset("null boolean integer number bigint string object array tuple map set regex".split())
-
-
-class SchemaError(ValueError):
-    """The schema can't be compiled."""
-
-
-class Registry:
-    """Schema documents by id and anchor, and references resolved against them."""
-
-    def __init__(self, root: Any, others: dict[str, Any] | None = None) -> None:
-        self.root, self.ids = root, {}
-        for uri, document in {**(others or {}), "": root}.items():
-            self._crawl(document, uri)
-
-    def _crawl(self, node: Any, base: str) -> None:
-        if isinstance(node, dict):
-            if isinstance(node.get("$id"), str):
-                base = urljoin(base, node["$id"]).rstrip("#")
-            self.ids.setdefault(base, node)
-            if isinstance(node.get("$anchor"), str):
-                self.ids[f"{base}#{node['$anchor']}"] = node
-            for key, value in node.items():
-                if key not in ("enum", "const", "default", "examples"):
-                    self._crawl(value, base)
-        elif isinstance(node, list):
-            for value in node:
-                self._crawl(value, base)
-
-    def find(self, ref: str, base: str) -> tuple[Any, str]:
-        """The schema that a reference names, and the base of what it holds."""
-        full = urljoin(base, ref)
-        uri, _, fragment = full.partition("#")
-        if full in self.ids:
-            return self.ids[full], uri
-        if uri not in self.ids:
-            raise SchemaError(f"unknown schema {uri!r}")
-        node = self.root if uri == "" else self.ids[uri]
-        for part in unquote(fragment).split("/")[1:]:
-            part = part.replace("~1", "/").replace("~0", "~")
-            try:
-                node = node[int(part)] if isinstance(node, list) else node[part]
-            except (KeyError, IndexError, ValueError, TypeError):
-                raise SchemaError(f"{ref!r} leads nowhere") from None
-        return node, uri
-
-
-def java_pattern(pattern: str) -> str:
-    """An ECMAScript pattern for Java: `$` ends the text, `\\s` covers all white space; /re/flags is taken apart."""
-    flags = ""
-    if m := re.fullmatch(r"/(.+)/([a-z]*)", pattern, re.S):
-        pattern, flags = m[1], "".join(x for x in m[2] if x in "ims")
-    out, inside, k = [], False, 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\" and k + 1 < len(pattern):
-            two = pattern[k : k + 2]
-            space = r"\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-            out.append({r"\s": space if inside else f"[{space}]", r"\S": two if inside else f"[^{space}]"}.get(two, two))
-            k += 2
-            continue
-        if c == "[" and inside:
-            out.append("\\")
-        inside = (inside or c == "[") and c != "]"
-        out.append(r"\z" if c == "$" and not inside and "m" not in flags else c)
-        k += 1
-    return (f"(?{flags})" if flags else "") + "".join(out)
-
-
-def _number(x: Any) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool)
+#: Nodes that a schema may unroll to; beyond them it is judged by the interpreter.
+NODES = 3_000
+
+
+class TooWide(SchemaError):
+    """Unrolled, the schema has too many nodes for one expression."""
 
 
 class Compiler:
@@ -107,17 +45,19 @@ class Compiler:
         if mode not in ("compat", "spec"):
             raise SchemaError(f"unknown mode {mode!r}")
         self.registry, self.schema, self.spec, self.custom, self.depth = Registry(schema, others), schema, mode == "spec", custom or {}, depth
+        self.mode, self.others, self.cut, self.nodes = mode, others, False, 0
         self.strings = formats.strings() | formats.REFLECTED
 
     def valid(self, v: Column) -> Column:
-        """A total predicate on a VARIANT Column."""
+        """A total predicate on a VARIANT Column. `cut` tells afterwards whether a recursive reference was cut at `depth` levels."""
+        self.nodes = 0
         return self._schema(self.schema, v, "", ())
 
     def errors(self, v: Column) -> Column:
         """An array of (keyword, expected, schema_path, value), empty where `valid` holds.
 
-        One record for each keyword that fails; those below `properties` and references are told apart by their paths, what
-        other keywords hold inside is told as one. expected and value are JSON; value is null where the document is missing.
+        One record for each keyword that fails; those below `properties`, `allOf`, `then`, `else` and references are told apart by
+        their paths, what other keywords hold inside is told as one. expected and value are JSON; value is null where the document is missing.
         """
         found = self._errors(self.schema, v, "", "#", ())
         nothing = F.array().cast("array<struct<keyword:string,expected:string,schema_path:string,value:string>>")
@@ -136,6 +76,7 @@ class Compiler:
         if isinstance(schema.get("$ref"), str) and schema["$ref"].strip():
             target, to = self.registry.find(schema["$ref"], base)
             if trail.count(id(target)) >= self.depth:
+                self.cut = True
                 out.append(record(v.isNull(), "$ref", schema["$ref"]))
             else:
                 out += self._errors(target, v, to, f"{path}/$ref", (*trail, id(target)))
@@ -151,6 +92,12 @@ class Compiler:
         for key, below in (schema.get("properties") or {}).items():
             inside = self._errors(below, self._get(v, key), base, f"{path}/properties/{key.replace('~', '~0').replace('/', '~1')}", trail)
             out += [F.when(self._is(v, "object") & self._has(v, key), e) for e in inside]
+        for k, below in enumerate(schema.get("allOf") or ()):
+            out += [F.when(v.isNotNull(), e) for e in self._errors(below, v, base, f"{path}/allOf/{k}", trail)]
+        if isinstance(schema.get("if"), (dict, bool)):
+            test = self._schema(schema["if"], v, base, trail)
+            for key, side in (("then", test), ("else", ~test)):
+                out += [F.when(side, e) for e in self._errors(schema.get(key, True), v, base, f"{path}/{key}", trail)]
         return out
 
     # Shapes. Type tags come first, as casts of variants coerce.
@@ -206,7 +153,7 @@ class Compiler:
             return self._is(v, "null")
         if isinstance(constant, bool):
             return (self._tag(v) == "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$", "boolean") == constant, F.lit(False))
-        if _number(constant):
+        if is_number(constant):
             return self._is(v, "number") & F.coalesce(self._double(v) == float(constant), F.lit(False))
         if isinstance(constant, str):
             return (self._tag(v) == "STRING") & F.coalesce(self._text(v) == constant, F.lit(False))
@@ -221,12 +168,16 @@ class Compiler:
             return F.lit(schema)
         if not isinstance(schema, dict):
             raise SchemaError("a schema is an object or a boolean")
+        self.nodes += 1
+        if self.nodes > NODES or self.spec and ("unevaluatedItems" in schema or "unevaluatedProperties" in schema):
+            raise TooWide("more than an expression should hold")
         if isinstance(schema.get("$id"), str):
             base = urljoin(base, schema["$id"]).rstrip("#")
         parts: list[Column] = []
         if isinstance(schema.get("$ref"), str) and schema["$ref"].strip():
             target, to = self.registry.find(schema["$ref"], base)
-            if trail.count(id(target)) >= self.depth:  # no document nests deeper than the limit; one that does is invalid
+            if trail.count(id(target)) >= self.depth:  # a document that nests deeper goes to the interpreter
+                self.cut = True
                 parts.append(v.isNull())
             else:
                 parts.append(self._schema(target, v, to, (*trail, id(target))))
@@ -263,33 +214,21 @@ class Compiler:
     def _numbers(self, schema: dict, v: Column) -> list[Column]:
         d, out = self._double(v), []
         for name, exclusive, low in (("minimum", "exclusiveMinimum", True), ("maximum", "exclusiveMaximum", False)):
-            bound, strict = schema.get(name), schema.get(exclusive)
-            tests = []
-            if _number(strict):
-                tests.append(d > float(strict) if low else d < float(strict))
-                if self.spec and _number(bound):
-                    tests.append(d >= float(bound) if low else d <= float(bound))
-            elif _number(bound):
-                tests.append((d > float(bound) if low else d < float(bound)) if strict is True else (d >= float(bound) if low else d <= float(bound)))
-            out += tests
-        if _number(step := schema.get("multipleOf")):
-            out.append(F.try_mod(d, F.lit(float(step))) == 0)
+            for bound, strict in bounds(schema, name, exclusive, self.spec):
+                out.append((d > bound if low else d < bound) if strict else (d >= bound if low else d <= bound))
+        step = numberish(schema["multipleOf"], self.spec) if "multipleOf" in schema else None
+        if step is not None:
+            out.append(F.try_mod(d, F.lit(step)) == 0)
         return [~self._is(v, "number") | _all([F.coalesce(t, F.lit(False)) for t in out])] if out else []
 
-    def _limit(self, schema: dict, name: str, least: int) -> int | None:
-        n = schema.get(name)
-        if not _number(n) or n != int(n) or n < least and not self.spec:
-            return None
-        return int(n)
-
     def _strings(self, schema: dict, v: Column) -> list[Column]:
         s, out = self._text(v), []
         units = F.length(F.encode(s, "UTF-16BE")) / 2  # length in UTF-16 units
         if self.spec:
             units = F.length(s)
-        if (n := self._limit(schema, "minLength", 1)) is not None:
+        if (n := limit(schema, "minLength", self.spec)) is not None:
             out.append(units >= n)
-        if (n := self._limit(schema, "maxLength", 1)) is not None:
+        if (n := limit(schema, "maxLength", self.spec)) is not None:
             out.append(units <= n)
         if "pattern" in schema:
             if not isinstance(schema["pattern"], str):
@@ -323,7 +262,7 @@ class Compiler:
     def _arrays(self, schema: dict, v: Column, below: Callable) -> list[Column]:
         a, out = self._array(v), []
         size = F.size(a)
-        least, most = self._limit(schema, "minItems", 1), self._limit(schema, "maxItems", 1)
+        least, most = limit(schema, "minItems", self.spec), limit(schema, "maxItems", self.spec)
         if least is not None and most is not None and most < least:
             raise SchemaError("maxItems is less than minItems")
         if least is not None:
@@ -361,14 +300,14 @@ class Compiler:
         elif isinstance(contains, dict):
             n = F.size(F.filter(a, lambda x: below(contains, x)))
             low, high = schema.get("minContains"), schema.get("maxContains")
-            out.append(n >= (int(low) if _number(low) else 1))
-            if _number(high):
+            out.append(n >= (int(low) if is_number(low) else 1))
+            if is_number(high):
                 out.append(n <= int(high))
         return [F.coalesce(x, F.lit(False)) for x in out]
 
     def _objects(self, schema: dict, v: Column, below: Callable) -> list[Column]:
         keys, out = self._keys(v), []
-        least, most = self._limit(schema, "minProperties", 1), self._limit(schema, "maxProperties", 1)
+        least, most = limit(schema, "minProperties", self.spec), limit(schema, "maxProperties", self.spec)
         if least is not None and most is not None and most < least:
             raise SchemaError("maxProperties is less than minProperties")
         if least is not None:
@@ -440,7 +379,11 @@ def _any(parts: list[Column]) -> Column:
 
 
 class Validator:
-    """A compiled schema for text columns that hold JSON."""
+    """A compiled schema for text columns that hold JSON.
+
+    Judged by one expression where that is exact. Rows of a recursive schema that may nest deeper than it was unrolled go to the
+    interpreter, in Arrow batches, and so do all rows of a schema too wide to unroll or with unevaluated parts in spec mode.
+    """
 
     def __init__(self, schema: Any, **options: Any) -> None:
         self.compiler = Compiler(schema, **options)
@@ -450,12 +393,43 @@ class Validator:
         """The text as a variant; null where it isn't JSON."""
         return F.try_parse_json(text)
 
+    def _interpreted(self, text: Column) -> Column:
+        c = self.compiler
+        judge = Interpreter(c.schema, c.others, c.mode, frozenset(formats.countries()) if '"country2"' in json.dumps([c.schema, c.others]) else frozenset())
+        if c.custom:
+            raise SchemaError("custom formats are Columns, so a schema that needs the interpreter can't have them")
+
+        @F.pandas_udf(BooleanType())
+        def verdicts(texts: pd.Series) -> pd.Series:
+            missing = judge.valid(MISSING)
+            return texts.map(lambda t: missing if t is None else judge.valid(parse(t))).astype(bool)
+
+        return verdicts(text)
+
     def valid(self, text: Column) -> Column:
-        return self.compiler.valid(self.parse(text))
+        v = self.parse(text)
+        try:
+            out = self.compiler.valid(v)
+        except TooWide:
+            return self._interpreted(F.when(v.isNotNull(), text))
+        if not self.compiler.cut or self.compiler.custom:
+            return out
+        # no deeper than it has brackets
+        deep = v.isNotNull() & (F.length(text) - F.length(F.translate(text, "{[", "")) >= self.compiler.depth)
+        return F.when(deep, self._interpreted(F.when(deep, text))).otherwise(out)
 
     def errors(self, text: Column) -> Column:
         """What is wrong with each document: an array of records, to be kept beside it or exploded."""
-        return self.compiler.errors(self.parse(text))
+        v = self.parse(text)
+        try:
+            found = self.compiler.errors(v)
+        except TooWide:
+            parts = (F.lit("").alias("keyword"), F.lit(json.dumps(self.compiler.schema)).alias("expected"), F.lit("#").alias("schema_path"), F.to_json(v).alias("value"))
+            found = F.array(F.struct(*parts))
+        else:
+            if not self.compiler.cut:
+                return found
+        return F.when(self.valid(text), F.filter(found, lambda e: F.lit(False))).otherwise(found)
 
     def filter(self, df: DataFrame, text: str) -> DataFrame:
         return df.where(self.valid(F.col(text)))
