@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns that each format accepts, and the ranges of the number formats.
+#: All that ECMAScript takes for white space, inside a character class.
+SPACE = r"\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LOOSE_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"

@@ -7,6 +7,8 @@ import re
 from typing import Any
 from urllib.parse import unquote, urljoin
 
+from veridoc.functions.formats import SPACE
+
 #: Stands for a keyword that the schema doesn't have.
 _ABSENT = object()
 TYPES = frozenset("null boolean integer number bigint string object array tuple map set regex".split())
@@ -99,8 +101,7 @@ def split_pattern(pattern: str, end: str) -> tuple[str, str]:
         c = pattern[k]
         if c == "\\" and k + 1 < len(pattern):
             two = pattern[k : k + 2]
-            space = r"\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-            out.append({r"\s": space if inside else f"[{space}]", r"\S": two if inside else f"[^{space}]"}.get(two, two))
+            out.append({r"\s": SPACE if inside else f"[{SPACE}]", r"\S": two if inside else f"[^{SPACE}]"}.get(two, two))
             k += 2
             continue
         if c == "[" and inside:
