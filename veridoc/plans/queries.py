@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.calc import F64, VEC2, VEC3, cross2, cross3
+from veridoc.functions import punycode, scalars
+from veridoc.functions.calc import F64, I32, VEC2, VEC2I, VEC3, cross2, cross3, i32
 from veridoc.plans.schema import Validator
 
 
@@ -18,6 +20,7 @@ class Case(NamedTuple):
     document: str
     schema: Any
     sql: str
+    options: dict[str, Any] = {}
 
 
 #: JSON documents built from rows, as Spark SQL.
@@ -103,11 +106,77 @@ for _name, _pattern in TABLE_FORMATS.items():
     CASES[f"fmt_{_name.replace('-', '_')}"] = Case("pages", "page_id", "to_json(named_struct('u', url))", {"properties": {"u": {"format": _name}}}, f"regexp_full_match(url, '{_pattern.replace(chr(39), chr(39) * 2)}')")
 
 
+#: Texts made of an order's key, and which of them obey the format.
+FORMATS: dict[str, tuple[str, str]] = {
+    "alphanumeric": ("concat('a', k, if(k % 4 = 0, '_', ''))", "k % 4 <> 0"),
+    "numeric": ("concat(if(k % 5 = 0, '-', ''), k)", "k % 5 <> 0"),
+    "hexadecimal": ("concat(hex(k), if(k % 3 = 0, 'g', ''))", "k % 3 <> 0"),
+    "color": ("concat('#', lpad(hex(k), 3 + k % 4, '0'))", "k % 4 IN (0, 3)"),
+    "lowercase": ("if(k % 2 = 0, 'abc', 'aBc')", "k % 2 = 0"),
+    "identifier": ("concat(if(k % 2 = 0, '_', '9'), k)", "k % 2 = 0"),
+    "html-identifier": ("concat(if(k % 2 = 0, 'a:', ':'), k)", "k % 2 = 0"),
+    "css-identifier": ("concat(if(k % 2 = 0, '-a', '-'), k)", "k % 2 = 0"),
+    "uuid": ("concat(lpad(hex(k), 8, '0'), '-0000-4000-8000-', lpad(k, 11 + k % 2, '0'))", "k % 2 = 1"),
+    "guid": ("concat('{', lpad(hex(k), 8, '0'), '-0000-4000-8000-', lpad(k, 11 + k % 2, '0'))", "k % 2 = 1"),
+    "mac": ("concat_ws(':', '00', '1a', '2B', if(k % 3 = 0, 'zz', '33'), '44', lpad(hex(k % 256), 2, '0'))", "k % 3 <> 0"),
+    "ipv4": ("concat_ws('.', k % 300, k % 7, '1', '2')", "k % 300 <= 255"),
+    "ipv6": ("concat('::', lower(hex(k % 3 * 65535)))", "k % 3 <> 2"),
+    "hostname": ("concat('h', k, if(k % 2 = 0, '-', ''), '.org')", "k % 2 = 1"),
+    "idn-hostname": ("concat('b\u00fccher', k, if(k % 2 = 0, '.example', ''))", "k % 2 = 0"),
+    "email": ("concat('u', k, if(k % 3 = 0, '', '@'), 'x.org')", "k % 3 <> 0"),
+    "email--full": ("concat('u', k, '@x', if(k % 3 = 0, '', '.org'))", "k % 3 <> 0"),
+    "idn-email": ("concat('\u00fc', k, '@x', if(k % 3 = 0, '', '.org'))", "k % 3 <> 0"),
+    "uri--full": ("concat('http://x.org/', k, if(k % 2 = 0, ' ', '?q=1#f'))", "k % 2 = 1"),
+    "uri-reference--full": ("concat('/a/', k, if(k % 2 = 0, '|', '?q=1'))", "k % 2 = 1"),
+    "uri-template": ("concat('/a/{', if(k % 2 = 0, 'x', 'x y'), '}/', k)", "k % 2 = 0"),
+    "iri": ("concat(if(k % 2 = 0, 'http:', ''), '//x.org/\u00fc', k)", "k % 2 = 0"),
+    "iri-reference": ("concat('/\u00fc', k, if(k % 2 = 0, ' ', ''))", "k % 2 = 1"),
+    "json-pointer": ("concat(if(k % 3 = 0, '', '/'), 'a', k)", "k % 3 <> 0"),
+    "json-pointer-uri-fragment": ("concat('#/a', k, if(k % 3 = 0, '~', '~0'))", "k % 3 <> 0"),
+    "relative-json-pointer": ("concat(k, if(k % 2 = 0, '#', 'x'))", "k % 2 = 0"),
+    "isbn10": ("concat('ISBN ', lpad(k, 9 + k % 2, '0'))", "k % 2 = 1"),
+    "isbn13": ("concat('ISBN-13: ', 977 + k % 3, lpad(k, 10, '0'))", "k % 3 <> 0"),
+    "base64": ("concat(base64(cast(cast(k as string) as binary)), if(k % 3 = 0, 'x', ''))", "k % 3 <> 0"),
+    "byte": ("concat(lpad(k, 8, '0'), if(k % 3 = 0, '?', ''))", "k % 3 <> 0"),
+    "country2": ("concat(if(k % 2 = 0, 'nl', 'q0'), k)", "k % 2 = 0"),
+    "iban": ("concat('NL91ABNA', lpad(k, 10, '0'), if(k % 2 = 0, '$', ''))", "k % 2 = 0"),
+    "regex": ("concat('a', if(k % 2 = 0, '(b', '(b)'), k)", "k % 2 = 1"),
+    "date-time": ("concat('2024-02-', lpad(20 + k % 12, 2, '0'), 't23:59:60Z')", "20 + k % 12 <= 29"),
+    "time": ("concat(lpad(k % 30, 2, '0'), ':00:00+01:00')", "k % 30 <= 23"),
+    "int16": ("k % 3 * 32767", "k % 3 <> 2"),
+    "int32": ("k % 3 * 2147483647", "k % 3 <> 2"),
+    "uint32": ("(k % 3 - 1) * 4294967295", "k % 3 <> 0"),
+    "int64": ("k % 3 * 9007199254740991", "k % 3 <> 2"),
+    "uint64": ("cast((k % 3 - 1) * 12 as string)", "k % 3 <> 0"),
+    "float16": ("(k % 3) * 65504.0D", "k % 3 <> 2"),
+    "float32": ("(k % 3) * 3.0e38D", "k % 3 <> 2"),
+    "float": ("concat(k, if(k % 2 = 0, '.5e1', 'f'))", "k % 2 = 0"),
+    "float64": ("if(k % 2 = 0, cast(k as string), 'none')", "k % 2 = 0"),
+    "double": ("if(k % 2 = 0, '-1.5', '--1')", "k % 2 = 0"),
+}
+for _name, (_text, _sql) in FORMATS.items():
+    _made = re.sub(r"\bk\b", "o_orderkey", _text)
+    CASES[f"fmt_{_name.replace('--', '_').replace('-', '_')}"] = Case("orders", "o_orderkey", f"to_json(named_struct('t', {_made}))", {"properties": {"t": {"format": _name}}}, re.sub(r"\bk\b", "o_orderkey", _sql))
+
+#: A list nested by the order's key, up to 13 objects deep, so that some go beyond what a schema is unrolled to.
+NESTED = """concat(repeat('{"next":', o_orderkey % 14), '{"v":', if(o_orderkey % 3 = 0, '"x"', '1'), '}', repeat('}', o_orderkey % 14))"""
+NODE = {"properties": {"v": {"type": "integer"}, "next": {"$ref": "#"}}, "additionalProperties": False}
+CASES |= {
+    "kw_required_bool": Case("orders", "o_orderkey", "if(o_orderkey % 3 = 0, null, '1')", {"required": True}, "o_orderkey % 3 <> 0"),
+    "kw_boolean_schema": _order({"properties": {"late": False}}, f"NOT ({LATE})"),
+    "kw_enum_deep": Case("orders", "o_orderkey", "to_json(named_struct('a', array(o_orderkey % 4, 1), 'b', o_orderstatus))", {"enum": [{"b": "O", "a": [1, 1]}, {"a": [2.0, 1], "b": "F"}]}, "o_orderkey % 4 = 1 AND o_orderstatus = 'O' OR o_orderkey % 4 = 2 AND o_orderstatus = 'F'"),
+    "kw_ref_remote": Case("orders", "o_orderkey", ORDER, {"properties": {"price": {"$ref": "http://x.example/money#/$defs/price"}}}, "o_totalprice <= 100000", {"others": {"http://x.example/money": {"$defs": {"price": {"maximum": 100000}}}}}),
+    "kw_ref_recursive": Case("orders", "o_orderkey", NESTED, NODE, "o_orderkey % 3 <> 0"),
+    "kw_unevaluated_properties": Case("orders", "o_orderkey", ORDER, {"allOf": [{"properties": dict.fromkeys(("key", "price", "day", "priority"), True)}], "anyOf": [{"properties": {"status": {"const": "F"}}}, True], "unevaluatedProperties": {"type": "boolean"}}, "o_orderstatus = 'F'", {"mode": "spec"}),
+    "kw_unevaluated_items": Case("embeddings", "vec_id", VEC, {"prefixItems": [True], "contains": {"exclusiveMinimum": 0}, "unevaluatedItems": False}, f"len(list_filter({V_SQL}, lambda x: x > 0)) >= 1 AND len(list_filter(({V_SQL})[2:], lambda x: x <= 0)) = 0", {"mode": "spec"}),
+}
+
+
 def _run(case: Case) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.read.parquet(f"{sf_dir}/{case.table}.parquet")
         keys = [k.strip() for k in case.key.split(",")]
-        return df.select(*keys, Validator(case.schema).valid(F.expr(case.document)).alias("valid"))
+        return df.select(*keys, Validator(case.schema, **case.options).valid(F.expr(case.document)).alias("valid"))
 
     return query
 
@@ -146,8 +215,51 @@ def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.inline(Validator(EVENT).errors(F.col("props"))))
 
 
+def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each keyword fails, over all events."""
+    return error_records(spark, sf_dir).groupBy("schema_path").agg(F.count("*").alias("n"))
+
+
+def f64_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and rectangles that meet, the greatest common divisor, halves rounded up, division by zero."""
+    q, d, n = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_linenumber")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", F64.intersects_range(q, q + 5, n * 6, F.lit(0)).alias("meets"), F64.intersects_rect(q, n, F.lit(3), F.lit(1), F.lit(10), F.lit(2), F.lit(9), F.lit(3)).alias("rects"), F64.gcd(q, n * 6).alias("gcd"), F64.lerp(q, n, n + 2).alias("lerp"), F64.lerp(q, n, n + 2, fixed=True).alias("lerp_fixed"), F64.sin_lp_ex(d - 5).alias("sine"))
+
+
+def i32_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arithmetic that wraps at 32 bits."""
+    k, q = F.col("l_partkey") * 100_003, F.col("l_quantity")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = F.col("l_linenumber")
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", I32.mag2(k, q).alias("mag2"), I32.cross(k, q, k + 1, n).alias("cross"), I32.hypot(q, n).alias("hypot"), I32.norm(q, n, F.lit(4)).alias("norm"), I32.clampu_u8a(q * 9).alias("byte"), I32.fib(q).alias("fib"))
+
+
+def vec_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = lambda k: F.col("embedding")[k].cast("double")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    a, b = VEC2.new(e(0), e(1)), VEC2.new(e(2), e(3))
+    i = VEC2I.new(e(4) * 1000, e(5) * 1000)
+    return vectors.select("vec_id", VEC2.cross3(a, b, VEC2.zero).alias("side"), VEC2.dist(a, b).alias("dist"), VEC2.rot90(a)["x"].alias("turned"), VEC2.min(a, b)["y"].alias("least"), VEC2.div(a, VEC2.sub(b, b))["x"].alias("by_zero"), VEC2I.mag2(i).alias("mag2i"), VEC2I.divs(i, 7)["x"].alias("seventh"), i32(e(0) * 1e10).alias("wrapped"))
+
+
+def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events as numbers, floating-point neighbours, leap years."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    v = F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")
+    k = scalars.js_number(v)
+    return events.select("event_id", k.alias("k"), scalars.is_intish(v).alias("whole"), scalars.is_valid_int(k, 8).alias("int8"), scalars.is_leap_year(F.year("ts")).alias("leap"), scalars.is_unique(F.array(k, F.lit(1.0))).alias("distinct_one"))
+
+
+def punycode_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host names to their ASCII form and back."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr("concat('b\u00fccher.x', o_orderkey, '.example')").alias("host"))
+    coded = orders.withColumn("ascii", punycode.to_ascii(F.col("host")))
+    return coded.withColumn("again", punycode.to_unicode(F.col("ascii")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "f64_scalars": f64_scalars, "vec_products": vec_products} | {name: _run(case) for name, case in CASES.items()}
+    return {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "error_report": error_report, "f64_scalars": f64_scalars, "f64_ranges": f64_ranges, "i32_scalars": i32_scalars, "vec_products": vec_products, "vec_operations": vec_operations, "scalar_helpers": scalar_helpers, "punycode_hosts": punycode_hosts} | {name: _run(case) for name, case in CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -156,8 +268,22 @@ def oracle_sql() -> dict[str, str]:
     tests = (("type", '"integer"', f"{K} <> floor({K})"), ("minimum", "0", f"{K} < 0"), ("maximum", "49", f"{K} > 49"))
     failed = (f"SELECT event_id, '{key}' AS keyword, '{expected}' AS expected, '#/properties/k/{key}' AS schema_path, props->>'$.k' AS value FROM events WHERE {test}" for key, expected, test in tests)
     missing = "SELECT event_id, 'required', '[\"k\"]', '#/required', props FROM events WHERE json_extract(props, '$.k') IS NULL"
+    records = " UNION ALL ".join((*failed, missing))
+    wrap = "((({0}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648".format
+    part, quantity = wrap("l_partkey::hugeint * 100003"), "l_quantity::hugeint"
+    pi = 3.141592653589793
+    r = "(l_discount * 100 - 5)"
+    fibonacci = [0, 1]
+    while len(fibonacci) < 50:
+        fibonacci.append((fibonacci[-1] + fibonacci[-2] + 2**31) % 2**32 - 2**31)
+    line = "SELECT l_orderkey, l_linenumber, l_partkey,"
     return {
-        "error_records": " UNION ALL ".join((*failed, missing)),
+        "error_records": records,
+        "error_report": f"SELECT schema_path, count(*) AS n FROM ({records}) GROUP BY schema_path",
+        "f64_ranges": f"{line} l_linenumber * 6 >= l_quantity AND l_quantity + 5 >= 0 AS meets, l_quantity <= 19 AND l_quantity + 3 >= 10 AND l_linenumber <= 5 AND l_linenumber + 1 >= 2 AS rects, gcd(l_quantity::bigint, l_linenumber::bigint * 6)::double AS gcd, 2 * (l_quantity + l_linenumber) AS lerp, l_linenumber + l_quantity * 2 AS lerp_fixed, CASE WHEN {r} < 0 THEN {4 / pi!r} * {r} + {4 / pi**2!r} * {r} * {r} ELSE {4 / pi!r} * {r} - {4 / pi**2!r} * {r} * {r} END AS sine FROM lineitem",
+        "i32_scalars": f"{line} ({wrap(f'({part}) * ({part}) + {quantity} * {quantity}')})::int AS mag2, ({wrap(f'({part}) * l_linenumber - (' + wrap('l_partkey::hugeint * 100003 + 1') + f') * {quantity}')})::int AS \"cross\", floor(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber))::int AS hypot, CASE WHEN l_linenumber = 4 THEN 0 ELSE trunc((l_quantity - l_linenumber) / (4.0 - l_linenumber)) END::int AS norm, least(l_quantity * 9, 255)::int AS byte, ([{', '.join(map(str, fibonacci))}])[l_quantity::int]::int AS fib FROM lineitem",
+        "vec_operations": f"SELECT vec_id, ({e[2]} - {e[0]}) * (0 - {e[1]}) - ({e[3]} - {e[1]}) * (0 - {e[0]}) AS side, sqrt(0.0::double + ({e[2]} - {e[0]}) * ({e[2]} - {e[0]}) + ({e[3]} - {e[1]}) * ({e[3]} - {e[1]})) AS dist, -{e[1]} AS turned, least({e[1]}, {e[3]}) AS least, CASE WHEN {e[0]} > 0 THEN 'inf'::double WHEN {e[0]} < 0 THEN '-inf'::double ELSE 'nan'::double END AS by_zero, (trunc({e[4]} * 1000)::bigint * trunc({e[4]} * 1000)::bigint + trunc({e[5]} * 1000)::bigint * trunc({e[5]} * 1000)::bigint)::int AS mag2i, trunc(trunc({e[4]} * 1000) / 7)::int AS seventh, ({wrap(f'trunc({e[0]} * 1e10)::hugeint')})::int AS wrapped FROM embeddings",
+        "scalar_helpers": f"SELECT event_id, {K} AS k, coalesce({K} = floor({K}), false) AS whole, coalesce({K} = floor({K}) AND {K} BETWEEN -128 AND 127, false) AS int8, year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0) AS leap, {K} IS DISTINCT FROM 1 AS distinct_one FROM events",
         "quality_by_group": f"SELECT event_type, count(*) AS n, count(*) FILTER ({good}) AS n_valid FROM events GROUP BY event_type",
         "quarantine_split": f"SELECT event_id, event_type FROM events WHERE NOT coalesce({good}, false)",
         "f64_scalars": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * l_quantity - l_tax * l_discount AS \"cross\", l_quantity * l_quantity + l_tax * l_tax AS mag2, (l_quantity - 1) / 49 AS norm, greatest(10.0, least(l_quantity, 30.0)) AS clamp, l_quantity BETWEEN 5 AND 9 AS inside FROM lineitem",
