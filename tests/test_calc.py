@@ -49,12 +49,12 @@ def test_isqrt_is_close(spark):
 
 def test_i32_wraps(spark):
     big = 2**31 - 1
-    got = one(spark, calc.i32(L(2.0**31)), calc.i32(L(-3.7)), calc.i32(L(math.nan)), I32.mag2(L(65536), L(1)), I32.hypot(L(3), L(4)), I32.hypot_ex(L(1), L(1)), I32.norm(L(5), L(1), L(1)), I32.norm(L(9), L(1), L(3)), I32.map(L(5), L(0), L(10), L(0), L(3)), I32.clampu_u8b(L(300)), I32.clampu_u8a(L(300)), I32.in_range(L(5), L(9), L(1)), I32.wrap_radians(L(40000)), I32.to_radian_ex(L(90)), I32.fib(L(50)), I32.dot(L(big), L(2), L(2), L(0)))
+    got = one(spark, calc.i32(L(2.0**31)), calc.i32(L(-3.7)), calc.i32(L(math.nan)), calc.i32(L(2.0**63 + 2**40 + 2**12)), I32.mag2(L(-(2**31)), L(-(2**31))), I32.mag2(L(65536), L(1)), I32.hypot(L(3), L(4)), I32.hypot_ex(L(1), L(1)), I32.norm(L(5), L(1), L(1)), I32.norm(L(9), L(1), L(3)), I32.map(L(5), L(0), L(10), L(0), L(3)), I32.clampu_u8b(L(300)), I32.clampu_u8a(L(300)), I32.in_range(L(5), L(9), L(1)), I32.wrap_radians(L(40000)), I32.to_radian_ex(L(90)), I32.fib(L(50)), I32.dot(L(big), L(2), L(2), L(0)))
     a, b = 0, 1
     for _ in range(49):
         a, b = b, a + b
     fib = (a + 2**31) % 2**32 - 2**31
-    assert got == (-(2**31), -3, 0, 1, 5, 14142, 0, 4, 2, -1, 255, True, 40000 - 62830, 15707, fib, -2)
+    assert got == (-(2**31), -3, 0, 4096, 0, 1, 5, 14142, 0, 4, 2, -1, 255, True, 40000 - 62830, 15707, fib, -2)
 
 
 def test_vectors(spark):

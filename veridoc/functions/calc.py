@@ -29,10 +29,11 @@ def rounded(x: Column) -> Column:
 
 
 def i32(x: Column) -> Column:
-    """Wrap a whole or fractional number to 32 bits with a sign; fractions are cut off, what isn't finite is 0."""
-    x = x.cast("double")
-    whole = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
-    low = F.when(F.abs(x) < 9e18, whole).otherwise(F.lit(0)).cast("long")
+    """Wrap a number in double precision to 32 bits with a sign; fractions are cut off, what isn't finite is 0.
+
+    x stands in the expression once, so that nested calls don't multiply.
+    """
+    low = F.nanvl(F.try_mod(x.cast("double"), F.lit(2.0**32)), F.lit(0.0)).cast("long")
     return F.shiftright(F.shiftleft(low, 32), 32).cast("int")
 
 
@@ -132,31 +133,32 @@ class F64:
         return F64.intersects_range(ax, ax + aw, bx, bx + bw) & F64.intersects_range(ay, ay + ah, by, by + bh)
 
 
-def _long(x: Column) -> Column:
-    return i32(x).cast("long")
+def _wrapped(x: Column) -> Column:
+    """Wrapped, and in double precision again for what is calculated with it."""
+    return i32(x).cast("double")
 
 
 class I32:
     """Scalars wrapped to 32 bits; every argument is wrapped first."""
 
-    mag2 = staticmethod(lambda dx, dy: i32(_long(dx) * _long(dx) + _long(dy) * _long(dy)))
-    dot = staticmethod(lambda ax, ay, bx, by: i32(_long(ax) * _long(bx) + _long(ay) * _long(by)))
-    cross = staticmethod(lambda ax, ay, bx, by: i32(_long(ax) * _long(by) - _long(bx) * _long(ay)))
-    sqrt = staticmethod(lambda n: i32(F.sqrt(_long(n))))
-    sqrt_ex = staticmethod(lambda n: i32(SCALE * F.sqrt(_long(n))))
+    mag2 = staticmethod(lambda dx, dy: i32(_wrapped(dx) * _wrapped(dx) + _wrapped(dy) * _wrapped(dy)))
+    dot = staticmethod(lambda ax, ay, bx, by: i32(_wrapped(ax) * _wrapped(bx) + _wrapped(ay) * _wrapped(by)))
+    cross = staticmethod(lambda ax, ay, bx, by: i32(_wrapped(ax) * _wrapped(by) - _wrapped(bx) * _wrapped(ay)))
+    sqrt = staticmethod(lambda n: i32(F.sqrt(_wrapped(n))))
+    sqrt_ex = staticmethod(lambda n: i32(SCALE * F.sqrt(_wrapped(n))))
     hypot = staticmethod(lambda dx, dy: I32.sqrt(I32.mag2(dx, dy)))
     hypot_ex = staticmethod(lambda dx, dy: I32.sqrt_ex(I32.mag2(dx, dy)))
-    fib = staticmethod(lambda n: _fibonacci(i32(n), "int", lambda a, b: i32(a.cast("long") + b)))
-    norm = staticmethod(lambda value, low, high: i32(divide(_long(value) - _long(low), _long(high) - _long(low))))
+    fib = staticmethod(lambda n: _fibonacci(i32(n), "int", lambda a, b: i32(a.cast("double") + b)))
+    norm = staticmethod(lambda value, low, high: i32(divide(_wrapped(value) - _wrapped(low), _wrapped(high) - _wrapped(low))))
     map = staticmethod(lambda value, low, high, to_low, to_high: i32(rounded(divide((value - low) * (to_high - to_low), high - low) + to_low)))
     clamp = staticmethod(lambda value, low, high: F64.clamp(i32(value), i32(low), i32(high)))
     clampu = staticmethod(lambda value, low, high: F64.clampu(i32(value), i32(low), i32(high)))
     clampu_u8a = staticmethod(lambda value: F64.clampu(i32(value), F.lit(0), F.lit(255)))
     in_range = staticmethod(lambda value, low, high: F64.in_range(i32(value), i32(low), i32(high)))
     intersects_range = staticmethod(lambda a, b, c, d: F64.intersects_range(i32(a), i32(b), i32(c), i32(d)))
-    intersects_rect = staticmethod(lambda *sides: F64.intersects_rect(*(_long(s) for s in sides)))
-    to_radian_ex = staticmethod(lambda degrees: i32(divide(_long(degrees) * PI_I32, F.lit(180))))
-    to_degrees_ex = staticmethod(lambda radians: i32(divide(SCALE * _long(radians) * 180, F.lit(PI_I32))))
+    intersects_rect = staticmethod(lambda *sides: F64.intersects_rect(*(_wrapped(s) for s in sides)))
+    to_radian_ex = staticmethod(lambda degrees: i32(divide(_wrapped(degrees) * PI_I32, F.lit(180))))
+    to_degrees_ex = staticmethod(lambda radians: i32(divide(SCALE * _wrapped(radians) * 180, F.lit(PI_I32))))
     sin_lp = staticmethod(lambda r: I32.sin_lp_ex(I32.wrap_radians(r)))
     random = staticmethod(F.rand)
 
@@ -168,7 +170,7 @@ class I32:
 
     @staticmethod
     def lerp(norm: Column, low: Column, high: Column, fixed: bool = False) -> Column:
-        return i32(F64.lerp(_long(norm), _long(low), _long(high), fixed))
+        return i32(F64.lerp(_wrapped(norm), _wrapped(low), _wrapped(high), fixed))
 
     @staticmethod
     def wrap_radians(r: Column) -> Column:
@@ -177,7 +179,7 @@ class I32:
 
     @staticmethod
     def sin_lp_ex(r: Column) -> Column:
-        r = _long(r)
+        r = _wrapped(r)
         return i32(F.when(r < 0, PI41_I32 * r + PI42_I32 * r * r).otherwise(PI41_I32 * r - PI42_I32 * r * r))
 
 
@@ -195,7 +197,7 @@ class Vector:
         return self.new(*(F.lit(0) for _ in self.fields))
 
     def _part(self, v: Column, field: str) -> Column:
-        return _long(v[field]) if self.kind == "int" else v[field]
+        return _wrapped(v[field]) if self.kind == "int" else v[field]
 
     def _each(self, fn, *vs: Column) -> Column:
         return self.new(*(fn(*(self._part(v, f) for v in vs)) for f in self.fields))

@@ -270,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
     missing = "SELECT event_id, 'required', '[\"k\"]', '#/required', props FROM events WHERE json_extract(props, '$.k') IS NULL"
     records = " UNION ALL ".join((*failed, missing))
     wrap = "((({0}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648".format
-    part, quantity = wrap("l_partkey::hugeint * 100003"), "l_quantity::hugeint"
+    part = f"({wrap('l_partkey::hugeint * 100003')})::double"
     pi = 3.141592653589793
     r = "(l_discount * 100 - 5)"
     fibonacci = [0, 1]
@@ -281,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "error_records": records,
         "error_report": f"SELECT schema_path, count(*) AS n FROM ({records}) GROUP BY schema_path",
         "f64_ranges": f"{line} l_linenumber * 6 >= l_quantity AND l_quantity + 5 >= 0 AS meets, l_quantity <= 19 AND l_quantity + 3 >= 10 AND l_linenumber <= 5 AND l_linenumber + 1 >= 2 AS rects, gcd(l_quantity::bigint, l_linenumber::bigint * 6)::double AS gcd, 2 * (l_quantity + l_linenumber) AS lerp, l_linenumber + l_quantity * 2 AS lerp_fixed, CASE WHEN {r} < 0 THEN {4 / pi!r} * {r} + {4 / pi**2!r} * {r} * {r} ELSE {4 / pi!r} * {r} - {4 / pi**2!r} * {r} * {r} END AS sine FROM lineitem",
-        "i32_scalars": f"{line} ({wrap(f'({part}) * ({part}) + {quantity} * {quantity}')})::int AS mag2, ({wrap(f'({part}) * l_linenumber - (' + wrap('l_partkey::hugeint * 100003 + 1') + f') * {quantity}')})::int AS \"cross\", floor(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber))::int AS hypot, CASE WHEN l_linenumber = 4 THEN 0 ELSE trunc((l_quantity - l_linenumber) / (4.0 - l_linenumber)) END::int AS norm, least(l_quantity * 9, 255)::int AS byte, ([{', '.join(map(str, fibonacci))}])[l_quantity::int]::int AS fib FROM lineitem",
+        "i32_scalars": f"{line} ({wrap(f'{part} * {part} + l_quantity * l_quantity')})::int AS mag2, ({wrap(f'{part} * l_linenumber - (' + wrap('l_partkey::hugeint * 100003 + 1') + ')::double * l_quantity')})::int AS \"cross\", floor(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber))::int AS hypot, CASE WHEN l_linenumber = 4 THEN 0 ELSE trunc((l_quantity - l_linenumber) / (4.0 - l_linenumber)) END::int AS norm, least(l_quantity * 9, 255)::int AS byte, ([{', '.join(map(str, fibonacci))}])[l_quantity::int]::int AS fib FROM lineitem",
         "vec_operations": f"SELECT vec_id, ({e[2]} - {e[0]}) * (0 - {e[1]}) - ({e[3]} - {e[1]}) * (0 - {e[0]}) AS side, sqrt(0.0::double + ({e[2]} - {e[0]}) * ({e[2]} - {e[0]}) + ({e[3]} - {e[1]}) * ({e[3]} - {e[1]})) AS dist, -{e[1]} AS turned, least({e[1]}, {e[3]}) AS least, CASE WHEN {e[0]} > 0 THEN 'inf'::double WHEN {e[0]} < 0 THEN '-inf'::double ELSE 'nan'::double END AS by_zero, (trunc({e[4]} * 1000)::bigint * trunc({e[4]} * 1000)::bigint + trunc({e[5]} * 1000)::bigint * trunc({e[5]} * 1000)::bigint)::int AS mag2i, trunc(trunc({e[4]} * 1000) / 7)::int AS seventh, ({wrap(f'trunc({e[0]} * 1e10)::hugeint')})::int AS wrapped FROM embeddings",
         "scalar_helpers": f"SELECT event_id, {K} AS k, coalesce({K} = floor({K}), false) AS whole, coalesce({K} = floor({K}) AND {K} BETWEEN -128 AND 127, false) AS int8, year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0) AS leap, {K} IS DISTINCT FROM 1 AS distinct_one FROM events",
         "quality_by_group": f"SELECT event_type, count(*) AS n, count(*) FILTER ({good}) AS n_valid FROM events GROUP BY event_type",
