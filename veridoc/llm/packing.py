@@ -44,6 +44,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that close a word
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes[[k for token, k in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.cached = cached
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -64,23 +67,45 @@ class WordIds:
             yield b"".join(ids)
 
     def _learn(self, words: set[bytes]) -> None:
-        known, older, ends = self.known, self.older, {}
+        known, older, ends = self.known, self.older, []
         new: set[bytes] = set()
         for w in words:
-            if (ids := older.get(w)) is not None:
+            if older and (ids := older.get(w)) is not None:
                 known[w] = ids
-            else:
-                ends[w] = pair = _stem(w)
-                new.update(pair)
-        new.discard(b"")
-        for w in [w for w in new if w in older]:
-            known[w] = older[w]
-        missing = [w for w in new if w not in known]
-        for w, ids in zip(missing, self._encode(missing), strict=True):
-            known[w] = ids
-        for w, (base, tail) in ends.items():
+                continue
+            base, tail = _stem(w)
+            new.add(base)
+            if tail:
+                new.add(tail)
+            if tail or base is not w:
+                ends.append((w, base, tail))
+        new.difference_update(known)
+        if older:
+            for w in [w for w in new if w in older]:
+                known[w] = older[w]
+            new.difference_update(known)
+        letters, others = [], []
+        for w in new:
+            (letters if w.isalpha() or not w.isascii() and w.decode().isalpha() else others).append(w)
+        known.update(zip(letters, self._encode_letters(letters), strict=True))
+        known.update(zip(others, self._encode(others), strict=True))
+        for w, base, tail in ends:
             known[w] = known[base] + known[tail] if tail else known[base]
 
+    def _encode_letters(self, words: list[bytes]) -> Iterator[bytes]:
+        """Words of letters alone: the tokenizer makes one run of each, and only its last token may close a word."""
+        blocks = [words[k : k + 400] for k in range(0, len(words), 400)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(stops) != len(block) or stops[-1] != 4 * len(ids):  # a letter that in lower case isn't one alone
+                yield from self._encode(block)
+                continue
+            data, start = ids.tobytes(), 0
+            for stop in stops:
+                yield data[start:stop]
+                start = stop
+
     def _encode(self, words: list[bytes]) -> Iterator[bytes]:
         """Words in strings of many, as a call has a cost of its own; a word that holds the mark goes alone."""
         strings, block = [], []
