@@ -17,15 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.common import as_bytes, cut, release, texts
+from veridoc.llm.common import cut, release, texts
 from veridoc.llm.words import slices
 
 #: Words of which a worker keeps the ids (some 200 bytes each); beyond that it keeps those and starts a new table, into which used words move.
 CACHED_WORDS = 600_000
+#: Bytes of text that are tokenised at once: each distinct word among them is looked up once.
+BLOCK = 8 << 20
 #: A character that the tokenizer makes one token of; it stands between words that are encoded together.
 MARK = b"\x01"
 
@@ -51,20 +54,29 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text, joined. What is new goes to the library in one call for all texts."""
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, joined. Each distinct word is looked up once; all new ones go to the library in one call."""
         if len(self.known) > self.cached:
             self.known, self.older = {}, self.known
-        known, found, gaps = self.known, [], []
-        for text in texts:
-            words = text.split()
-            found.append(ids := list(map(known.get, words)))
-            gaps.append([(i, words[i]) for i, x in enumerate(ids) if x is None] if None in ids else [])
-        self._learn({w for gap in gaps for _, w in gap})
-        for ids, gap in zip(found, gaps, strict=True):
-            for i, w in gap:
-                ids[i] = known[w]
-            yield b"".join(ids)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.known.get, words))
+        if None in found:
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            self._learn({words[k] for k in gaps})
+            for k in gaps:
+                found[k] = self.known[words[k]]
+        code = coded.indices.to_numpy()
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        size = np.diff(stops, prepend=0)
+        ends = np.concatenate(([0], np.cumsum(size[code])))  # where each word's ids end among all ids
+        place = np.repeat((stops - size)[code] - ends[:-1], size[code]) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[place]
+        offsets = split.offsets.to_numpy()
+        edges = ends[offsets - offsets[0]].tolist()
+        for start, stop in zip(edges, edges[1:]):
+            yield ids[start:stop].tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         known, older, ends = self.known, self.older, []
@@ -149,14 +161,14 @@ def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
     return _encoders[path, cached]
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_WORDS) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_WORDS, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian 32-bit, binary): documents as token ids with an end, cut only where longer than a sequence."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, most = word_ids(tokenizer, cached), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, ids = [], [], [], [], []
-            for d, whole in zip(b["doc_id"].to_pylist(), _by_slice(encode, b["text"]), strict=True):
+            for d, whole in zip(b["doc_id"].to_pylist(), _by_slice(encode, b["text"], block), strict=True):
                 whole += end
                 for k in range(0, len(whole), most):
                     part = whole[k : k + most]
@@ -171,10 +183,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     return texts(df, id_col, text_col).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def _by_slice(encode: WordIds, column: pa.Array) -> Iterator[bytes]:
+def _by_slice(encode: WordIds, column: pa.Array, block: int = BLOCK) -> Iterator[bytes]:
     """A few MB of text at a time, however large the batch is."""
-    for row, stop, _, _ in slices(column):
-        yield from encode(as_bytes(column.slice(row, stop - row)))
+    for row, stop, _, _ in slices(column, block):
+        yield from encode(column.slice(row, stop - row))
 
 
 class Tightest:
@@ -277,13 +289,13 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(places, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached: int = CACHED_WORDS) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached: int = CACHED_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and its ids on wish.
 
     A null or empty text is one piece that holds the end alone. Extra columns of df are ignored. The pieces are stored in the
     shared folder between tokenising and packing, without their ids unless these are asked for. cached: words of which a worker
-    keeps the ids; the rows are the same at any number.
+    keeps the ids; block: bytes of text that it tokenises at once; the rows are the same at any number.
     """
 
-    parts = pieces(df, tokenizer, capacity, end_id, id_col, text_col, cached).withColumn("ids_crc32", F.crc32("ids"))
+    parts = pieces(df, tokenizer, capacity, end_id, id_col, text_col, cached, block).withColumn("ids_crc32", F.crc32("ids"))
     return pack(cut(parts if with_ids else parts.drop("ids")), capacity)
