@@ -149,6 +149,12 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """own_row of one row of each component (column root): that of the smallest own_id, null ids last, then of the smallest own_row."""
+    order = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "own_row")
+    return rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.own_row").alias("own_row"))
+
+
 def unsigned(column: Column) -> Column:
     """A 64-bit value as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
