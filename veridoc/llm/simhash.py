@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.common import as_bytes, components, cut, first_runs, fresh, join_skewed, local_roots, over_batches, release, staged, texts
+from veridoc.llm.common import as_bytes, components, cut, first_of_each, first_runs, fresh, join_skewed, local_roots, over_batches, release, staged, texts
 
 SEED = 42
 #: Lists up to this length are compared outright.
@@ -141,12 +141,12 @@ def link_fingerprints(distinct: DataFrame, k: int = 4) -> DataFrame:
 
 
 def _components_of(rows: DataFrame, id_col: str, fp: str, k: int) -> DataFrame:
-    """One row for each distinct fingerprint: fp, component_id (smallest id reachable), copies (rows that have it)."""
+    """One row for each distinct fingerprint: fp, root (the component's fingerprint), component_id (smallest id reachable), copies (rows that have it)."""
     distinct = cut(rows.groupBy(fp).agg(F.min(id_col).alias("low_id"), F.count("*").alias("copies")).withColumnRenamed(fp, "fp"))
     roots = components(link_fingerprints(distinct, k))
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low_id", "copies", F.coalesce("root", "fp").alias("root"))
     lows = labelled.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count("*").alias("members"))
-    return cut(join_skewed(labelled, lows, "root", "members", ["component_id"]).select(F.col("fp").alias(fp), "component_id", "copies"))
+    return cut(join_skewed(labelled, lows, "root", "members", ["component_id"]).select(F.col("fp").alias(fp), "root", "component_id", "copies"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """df with one row of each component: that of the smallest id, the first of repeated rows; all columns as they are."""
+    """df with one row of each component: that of the smallest id (a null id only where no row has one), the first of repeated rows; all columns as they are."""
     (fp, row, low), names = fresh(df, "sim_fp", "sim_row", "sim_text"), df.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,7 +171,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     wide = df.withColumn(low, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = staged(over_batches(wide, run, T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])).withColumn(row, F.monotonically_increasing_id()))
     narrow = rows.select(F.col(id_col).alias("own_id"), F.col(fp).alias("fp"), F.col(row).alias("own_row"))
-    joined = cut(join_skewed(narrow, _components_of(narrow, "own_id", "fp", distance), "fp", "copies", ["component_id"]))
-    firsts = joined.where(F.col("own_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("own_row").alias("own_row"))
-    kept = firsts.select(F.col("own_row").alias(row))
+    joined = join_skewed(narrow, _components_of(narrow, "own_id", "fp", distance), "fp", "copies", ["root"])
+    kept = first_of_each(joined).withColumnRenamed("own_row", row)
     return rows.join(kept, row, "left_semi").select(*names)
