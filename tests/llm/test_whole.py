@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridoc.llm import simhash
+from veridoc.llm import language_id, simhash
 
 
 def test_unlike_texts_without_an_id_or_with_one_id_all_stay(spark):
@@ -11,3 +11,10 @@ def test_unlike_texts_without_an_id_or_with_one_id_all_stay(spark):
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(3, unlike[0]), (None, unlike[1]), (None, unlike[2]), *((7, x) for x in unlike[3:])]
     assert sorted(((r.doc_id or 0, r.text) for r in got)) == sorted((i or 0, x) for i, x in want)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"l{k % 70:02}", f"text {k}") for k in range(700)] + [(700, None, "x"), (701, "l00", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sample = language_id.sample_rows(docs, "doc_id", "text", "lang", ~language_id.held_out())
+    assert {lang for lang, _ in sample} == {f"l{k:02}" for k in range(70)}

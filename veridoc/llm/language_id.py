@@ -22,10 +22,10 @@ from veridoc.llm.words import Texts, mix, slices
 #: Rows of each language that the model is fitted on, at most, by order of a hash of the id; and characters of each: a window
 #: of the text at a place that the hash gives.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 2000
+#: Rows of all languages, about: every language is learned, from fewer rows each where there are many.
+ALL_ROWS = 64 * SAMPLE_ROWS
 #: Bytes of text that are labelled at once, about.
 SLICE = 1 << 18
-#: Languages, at most: the most frequent ones.
-MOST_LABELS = 64
 #: Rows of the weight table; lengths of affixes and n-grams in bytes.
 ROWS, AFFIXES, GRAMS = 1 << 18, (1, 2, 3, 4), (2, 3, 4)
 #: Words in a training sequence, in a block, and passes over the sample.
@@ -199,14 +199,15 @@ def _move_gradient(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray, trut
 
 
 def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, training) -> list[tuple[str, str]]:
-    """The bounded sample: rows under the condition `training` with a language and a text."""
+    """The bounded sample: rows of every language under the condition `training` with a language and a text."""
     h = F.xxhash64(F.col(id_col))
     where = F.lit(1) + F.pmod(F.shiftright(h, 8), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)).cast("int")
     labelled = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    common = [r[0] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()]
+    languages = labelled.agg(F.count_distinct(lang_col)).first()[0]
+    most = min(SAMPLE_ROWS, max(1, ALL_ROWS // max(1, languages)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "window"))
-    windows = labelled.where(F.col(lang_col).isin(common)).select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).substr(where, F.lit(SAMPLE_CHARS)).alias("window"))
-    top = windows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
+    windows = labelled.select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).substr(where, F.lit(SAMPLE_CHARS)).alias("window"))
+    top = windows.withColumn("rank", rank).where(F.col("rank") <= most)
     return [(r["lang"], r["window"]) for r in top.orderBy("lang", "rank").select("lang", "window").collect()]
 
 
