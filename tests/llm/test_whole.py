@@ -18,3 +18,12 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     sample = language_id.sample_rows(docs, "doc_id", "text", "lang", ~language_id.held_out())
     assert {lang for lang, _ in sample} == {f"l{k:02}" for k in range(70)}
+
+
+def test_a_text_of_many_languages_stays(spark):
+    words = {lang: [f"{lang}{a}{b}" for a in "aeiou" for b in "nrst"] for lang in ("xx", "yy", "zz", "qq")}
+    model = language_id.train([(lang, " ".join(own * 5)) for lang, own in words.items()])
+    even = " ".join(" ".join(own) for own in words.values())
+    docs = spark.createDataFrame([(1, even), (2, "12 ** 34"), (3, None)], "doc_id long, text string")
+    assert language_id.identify(docs, model).where("doc_id = 1").first().score < language_id.LEAST_SCORE
+    assert [r.doc_id for r in language_id.keep_identified(docs, model).collect()] == [1]

@@ -30,7 +30,7 @@ SLICE = 1 << 18
 ROWS, AFFIXES, GRAMS = 1 << 18, (1, 2, 3, 4), (2, 3, 4)
 #: Words in a training sequence, in a block, and passes over the sample.
 SEQUENCE, BLOCK, EPOCHS = 64, 64, 4
-#: Below this score the pipeline's language stage rejects a text.
+#: Below this mean of its words' largest marginals the pipeline's language stage rejects a text.
 LEAST_SCORE = 0.35
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -211,9 +211,11 @@ def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, traini
     return [(r["lang"], r["window"]) for r in top.orderBy("lang", "rank").select("lang", "window").collect()]
 
 
-def _predict(model: Model, batch: pa.Array) -> tuple[list[str], list[float]]:
+def _predict(model: Model, batch: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    """Each text's language, the mean marginal of it over words with letters, and the mean of each word's largest marginal."""
     langs: list[str] = []
     scores: list[float] = []
+    certain: list[float] = []
     for row, end, data, offsets in slices(batch, SLICE):
         t = Texts(data, offsets, lower=True)
         inked = np.concatenate(([0], np.cumsum(_ASCII_LETTER[t.data] | (t.data >= 128))))
@@ -221,17 +223,20 @@ def _predict(model: Model, batch: pa.Array) -> tuple[list[str], list[float]]:
         p = model.word_labels(t) * counts[:, None] if model.labels else np.zeros((len(t.doc), 0))
         total = np.stack([np.bincount(t.doc, p[:, k], t.n) for k in range(len(model.labels))], axis=1) if model.labels else p
         n = np.bincount(t.doc, counts, t.n)
+        sure = np.bincount(t.doc, p.max(axis=1, initial=0), t.n)
         ascii_letters = t.per_text(_ASCII_LETTER[t.data])
         for k in range(t.n):
             letter = ascii_letters[k] > 0 or _LETTER.search(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")) is not None
             if not letter or not model.labels:
                 langs.append("und")
                 scores.append(0.0)
+                certain.append(0.0)
             else:
                 best = int(np.argmax(total[k]))
                 langs.append(model.labels[best])
                 scores.append(float(min(1.0, total[k, best] / n[k])))
-    return langs, scores
+                certain.append(float(min(1.0, sure[k] / n[k])))
+    return langs, scores, certain
 
 
 def held_out(id_col: str = "doc_id"):
@@ -255,7 +260,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*known.value)
         for b in batches:
-            langs, scores = _predict(model, b["text"])
+            langs, scores, _ = _predict(model, b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
         release()
 
@@ -263,15 +268,15 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """df without texts in no learned language: those without a letter, and those whose best language scores below `least`."""
+    """df without texts in no learned language: those without a letter, and those whose words' largest marginals have a mean below `least`."""
     known = df.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions))
     (text,), names = fresh(df, "lang_text"), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*known.value)
         for b in batches:
-            langs, scores = _predict(model, b[text])
-            keep = pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
+            langs, _, certain = _predict(model, b[text])
+            keep = pa.array([lang != "und" and s >= least for lang, s in zip(langs, certain, strict=True)], pa.bool_())
             yield b.select(names).filter(keep)
         release()
 
