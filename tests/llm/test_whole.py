@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from veridoc.llm import language_id, simhash
+import numpy as np
+
+from veridoc.llm import language_id, lm_score, simhash
 
 
 def test_unlike_texts_without_an_id_or_with_one_id_all_stay(spark):
@@ -27,3 +29,19 @@ def test_a_text_of_many_languages_stays(spark):
     docs = spark.createDataFrame([(1, even), (2, "12 ** 34"), (3, None)], "doc_id long, text string")
     assert language_id.identify(docs, model).where("doc_id = 1").first().score < language_id.LEAST_SCORE
     assert [r.doc_id for r in language_id.keep_identified(docs, model).collect()] == [1]
+
+
+def test_filter_holds_every_pair_at_the_fill_of_large_inputs():
+    rng = np.random.default_rng(9)
+    segments = 1 << 11  # those of 30 GB, which have about as many pairs each as one here
+    keys = np.unique(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64))
+    for least in (1, 20, 1200):  # counts of 25 MB, 0.5 GB and 30 GB of text
+        counts = rng.zipf(1.6, len(keys)).clip(max=1 << 30) * least
+        part = lm_score.segment_filter(keys, counts, segments)
+        held = lm_score.LogFrequencyFilter([part])
+        got = held.counts(keys)
+        floor = np.array(lm_score.LEVELS)[np.searchsorted(lm_score.LEVELS, counts, side="right") - 1]
+        assert (got >= floor).all() and (got == floor).mean() > 0.98
+        assert (held.counts(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.02
+        for size, start in zip(held.sizes[0], held.starts[0], strict=True):
+            assert np.unpackbits(held.bits[start : start + -(-size // 8)]).sum() <= size / 2

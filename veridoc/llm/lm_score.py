@@ -2,10 +2,11 @@
 
 The texts are read once and stored as chunks: a chunk's distinct token hashes, and its texts as numbers into them. Counts of
 single tokens are exact: every chunk sends its tokens' training counts to shards by hash and gets the totals back in the same
-order, so no table of the vocabulary exists anywhere as a whole. Counts of token pairs are gathered by shards too and then kept in
-the filter: a pair seen c times is a member once for each level whose threshold c reaches. Scoring probes a pair level by level
-until a probe fails, which gives its count rounded down. The filter has a fixed size at any corpus size and is broadcast; where
-a level would be more than half full it is left out, lowest counts first, and scoring falls back to single tokens.
+order, so no table of the vocabulary exists anywhere as a whole. Token pairs go the same way: every chunk sends its distinct pairs
+with their training counts to segments by key, a segment keeps its pairs in a filter, and the chunk gets back what the filter says
+of each of its pairs. A pair seen c times is a member once for each level whose threshold c reaches, up to the highest counts.
+Probing level by level until one fails gives the count rounded down. Each level is sized by the number of pairs that reach it, so
+that at any corpus size every training pair is a member and no level passes half full; no filter is broadcast.
 """
 
 from __future__ import annotations
@@ -23,23 +24,20 @@ from veridoc.llm.words import Texts, mix, slices
 #: Bytes of text in a chunk, about.
 CHUNK = 8 << 20
 #: Counts that the levels stand for.
-LEVELS = tuple(sorted({1, *(1 << k for k in range(1, 24)), *(3 << k for k in range(23))}))
-#: Bits of the first level; each further one has half as many, 2^14 at least. Together some 32 MB.
-FIRST_BITS, LEAST_BITS = 27, 14
-#: Bits of the first weight level, likewise; weight levels are steps of a factor of 2^(1/2).
-WEIGHT_BITS, WEIGHT_LEVELS = 24, 12
+LEVELS = tuple(sorted({1, *(1 << k for k in range(1, 41)), *(3 << k for k in range(40))}))
+#: Bits of a level for each pair that reaches it, which leaves a sixth of them set; and of all segments' least levels together.
+BITS_A_KEY, LEAST_BITS = 16, 14
+#: Weight levels, steps of a factor of 2^(1/2).
+WEIGHT_LEVELS = 12
 PROBES = 3
-#: A level may have this share of its bits set.
-FULL = 0.5
 END = np.uint64(0x1B873593CC9E2D51)
 #: Bits of a pair's key that its first token gives.
 HEAD = np.uint64(36)
 
 
-def level_bits(segments: int) -> tuple[list[int], list[int]]:
-    """Bits of each pair level and of each weight level within one of `segments` equal parts of the filter."""
-    pairs = [max(64, (1 << max(LEAST_BITS, FIRST_BITS - k)) // segments) for k in range(len(LEVELS))]
-    return pairs, [max(64, (1 << max(LEAST_BITS, WEIGHT_BITS - k)) // segments) for k in range(WEIGHT_LEVELS)]
+def level_bits(members: int, segments: int) -> int:
+    """Bits of a level with so many members, in one of `segments` equal parts of the key space."""
+    return max(64, (1 << LEAST_BITS) // segments, BITS_A_KEY * members)
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -47,10 +45,10 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return head | (mix(first * np.uint64(3) + second) >> HEAD)
 
 
-def _slots(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+def _slots(keys: np.ndarray, level: int, bits: int | np.ndarray) -> np.ndarray:
     a = mix(keys + np.uint64(level * 0x632BE59B + 1))
     b = (a >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.uint64(bits) for i in range(PROBES)]).astype(np.int64)
+    return np.stack([((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.asarray(bits, np.uint64) for i in range(PROBES)]).astype(np.int64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -167,50 +165,44 @@ def _token_totals(chunks: DataFrame, bits: int) -> DataFrame:
 
 
 def segment_filter(keys: np.ndarray, counts: np.ndarray, segments: int) -> bytes:
-    """The filter's part for all pairs of one segment: the first level kept, then the bits of each level.
+    """The filter's part for all pairs of one segment: the sizes of the levels in bits, then the bits of each level.
 
     Weights: of a token v with pairs in the filter, the share that these get is 2^(-w/2), rounded down, where the rest is left to
     single tokens: what the discount (one for each distinct pair of v) and counts rounded away make up.
     """
-    pairs, weights = level_bits(segments)
     thresholds = np.array(LEVELS)
     level = np.searchsorted(thresholds, counts, side="right")
-    bits, least = [], 0
-    for k, size in enumerate(pairs):
-        own = np.zeros(size, bool)
-        own[_slots(keys[level > k], k, size)] = True
-        bits.append(own)
-        if k == least and own.mean() > FULL:
-            least = k + 1
-    kept = np.where(level > least, thresholds[level - 1], 0)
+    members = [keys[level > k] for k in range(len(LEVELS))]
     head = keys >> (np.uint64(64) - HEAD)
     starts = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1]))) if len(head) else np.zeros(0, np.int64)
-    shares = [np.zeros(size, bool) for size in weights]
+    v, steps = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(starts):
         all_of, types = np.add.reduceat(counts, starts), np.diff(np.append(starts, len(head)))
-        share = np.add.reduceat(kept, starts) / (all_of + types)
-        v, share = head[starts][share > 0], share[share > 0]
-        steps = np.ceil(-2 * np.log2(share)).astype(np.int64) + 1
+        share = np.add.reduceat(thresholds[level - 1], starts) / (all_of + types)
+        v, steps = head[starts], np.ceil(-2 * np.log2(share)).astype(np.int64) + 1
         v, steps = v[steps <= WEIGHT_LEVELS], steps[steps <= WEIGHT_LEVELS]
-        for k, size in enumerate(weights):
-            shares[k][_slots(v[steps > k], 100 + k, size)] = True
-    return bytes([least]) + b"".join(np.packbits(x).tobytes() for x in [*bits, *shares])
+    sizes, bits = [], []
+    for salt, own in [*enumerate(members), *((100 + k, v[steps > k]) for k in range(WEIGHT_LEVELS))]:
+        sizes.append(level_bits(len(own), segments))
+        level_of = np.zeros(sizes[-1], bool)
+        level_of[_slots(own, salt, sizes[-1])] = True
+        bits.append(np.packbits(level_of).tobytes())
+    return np.array(sizes, "<i8").tobytes() + b"".join(bits)
 
 
 class LogFrequencyFilter:
     """Levels of quantised counts, probed one after another."""
 
     def __init__(self, parts: list[bytes]) -> None:
-        self.segments = len(parts)
-        self.pairs, self.weights = level_bits(self.segments)
-        self.least = np.array([p[0] for p in parts])
-        sizes = [-(-s // 8) for s in [*self.pairs, *self.weights]]
-        starts = np.cumsum([1, *sizes])
-        self.bits = [np.stack([np.frombuffer(p, np.uint8)[a : a + s] for p in parts]) for a, s in zip(starts[:-1], sizes, strict=True)]
+        self.segments, levels = len(parts), len(LEVELS) + WEIGHT_LEVELS
+        self.sizes = np.stack([np.frombuffer(p, "<i8", levels) for p in parts])
+        used = -(-self.sizes // 8)
+        self.starts = (np.cumsum(used) - used.ravel()).reshape(used.shape)
+        self.bits = np.concatenate([np.frombuffer(p, np.uint8, offset=8 * levels) for p in parts])
 
-    def _member(self, keys: np.ndarray, segment: np.ndarray, which: int, salt: int, size: int) -> np.ndarray:
-        at = _slots(keys, salt, size)
-        return ((self.bits[which][segment, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+    def _member(self, keys: np.ndarray, segment: np.ndarray, which: int, salt: int) -> np.ndarray:
+        at = _slots(keys, salt, self.sizes[segment, which])
+        return ((self.bits[self.starts[segment, which] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
     def _segment(self, keys: np.ndarray) -> np.ndarray:
         bits = self.segments.bit_length() - 1
@@ -220,55 +212,55 @@ class LogFrequencyFilter:
         """Of each pair, rounded down to a threshold; 0 if it isn't in the filter."""
         out, segment = np.zeros(len(keys), np.int64), self._segment(keys)
         live = np.arange(len(keys))
-        for k, size in enumerate(self.pairs):
-            started = self.least[segment[live]] <= k
-            if not started.any() and k < int(self.least.max(initial=0)):
-                continue
-            probe = live[started]
-            hit = self._member(keys[probe], segment[probe], k, k, size)
-            out[probe[hit]] = LEVELS[k]
-            live = np.concatenate((live[~started], probe[hit]))
+        for k, threshold in enumerate(LEVELS):
+            live = live[self._member(keys[live], segment[live], k, k)]
+            out[live] = threshold
             if not len(live):
                 break
         return out
 
-    def shares(self, keys: np.ndarray) -> np.ndarray:
-        """Of each pair's first token: the weight of its pairs against single tokens, 0 if it has none in the filter."""
+    def steps(self, keys: np.ndarray) -> np.ndarray:
+        """Of each pair's first token: the weight level of its pairs against single tokens, 0 if it has none in the filter."""
         head, segment = keys >> (np.uint64(64) - HEAD), self._segment(keys)
         steps, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for k, size in enumerate(self.weights):
-            live = live[self._member(head[live], segment[live], len(self.pairs) + k, 100 + k, size)]
+        for k in range(WEIGHT_LEVELS):
+            live = live[self._member(head[live], segment[live], len(LEVELS) + k, 100 + k)]
             steps[live] = k + 1
             if not len(live):
                 break
-        return np.where(steps > 0, 2.0 ** (-(steps - 1) / 2), 0.0)
+        return steps
 
 
-def _filter(chunks: DataFrame, bits: int) -> list[bytes]:
-    """Gather all training pairs by segment and build each segment's part. The parts together have a fixed size."""
+def _pair_totals(chunks: DataFrame, bits: int) -> DataFrame:
+    """chunk, part, counts, steps: what the filter says of the chunk's distinct pairs of that part, in their order.
+
+    A segment's filter is built from all training pairs of the segment and probed for the pairs of every chunk.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for held, lengths, vocabulary, tokens in zip(*(b[c].to_pylist() for c in ("held", "lengths", "vocabulary", "tokens")), strict=True):
+            for chunk, held, lengths, vocabulary, tokens in zip(*(b[c].to_pylist() for c in ("chunk", "held", "lengths", "vocabulary", "tokens")), strict=True):
                 words = unpack(vocabulary)
                 t, first, train = _opened(lengths, tokens, held)
                 word = words[t]
-                before = np.where(first, END, np.roll(word, 1))
-                keys, counts = np.unique(pair_keys(before[train], word[train]), return_counts=True)
-                out = [(p, pack(keys[s]), squeeze(counts[s])) for p, s in _parts(_top(keys, bits))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "keys", "counts"])
+                keys, index = np.unique(pair_keys(np.where(first, END, np.roll(word, 1)), word), return_inverse=True)
+                counts = np.bincount(index[train], minlength=len(keys))
+                out = [(p, chunk, pack(keys[s]), squeeze(counts[s])) for p, s in _parts(_top(keys, bits))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "chunk", "keys", "counts"])
 
-    def build(table: pa.Table) -> pa.Table:
-        keys, counts = np.concatenate([unpack(x) for x in table["keys"].to_pylist()]), np.concatenate([expand(x) for x in table["counts"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return pa.Table.from_arrays([table["part"][:1], pa.array([segment_filter(keys[starts], np.add.reduceat(counts, starts), 1 << bits)], pa.binary())], ["part", "bits"])
+    def probe(table: pa.Table) -> pa.Table:
+        sent = [unpack(x) for x in table["keys"].to_pylist()]
+        keys, index = np.unique(np.concatenate(sent), return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, index, np.concatenate([expand(x) for x in table["counts"].to_pylist()]))
+        held = LogFrequencyFilter([segment_filter(keys[sums > 0], sums[sums > 0], 1 << bits)])
+        counts, steps = held.counts(keys), held.steps(keys)
+        cuts = np.cumsum([len(k) for k in sent])[:-1]
+        back = [(squeeze(counts[i]), squeeze(steps[i])) for i in np.split(index, cuts)]
+        return pa.Table.from_arrays([table["chunk"], table["part"], *(pa.array([x[k] for x in back], pa.binary()) for k in (0, 1))], ["chunk", "part", "counts", "steps"])
 
-    sent = chunks.select("held", "lengths", "vocabulary", "tokens").mapInArrow(send, "part long, keys binary, counts binary")
-    found = dict(zip(*sent.groupBy("part").applyInArrow(build, "part long, bits binary").toArrow().to_pydict().values(), strict=True))
-    empty = segment_filter(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1 << bits)
-    return [found.get(p, empty) for p in range(1 << bits)]
+    sent = chunks.select("chunk", "held", "lengths", "vocabulary", "tokens").mapInArrow(send, "part long, chunk long, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(probe, "chunk long, part long, counts binary, steps binary")
 
 
 def lm_scores(df: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,18 +271,19 @@ def lm_scores(df: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc_i
     weight a from the filter (0 where the token has no pairs there). A null or empty text is its end token alone. Repeated rows
     each train and score. With no training text every count is 0. An empty table gives no rows. Other columns are ignored.
     """
-    spark = df.sparkSession
     own = texts(df, id_col, text_col)
     size = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = _chunks(own, fold, folds)
     bits = min(20, max(4, (size // (24 << 20)).bit_length()))
     totals = _token_totals(chunks, bits)
     types, tokens = (int(x or 0) for x in totals.agg(F.sum("types"), F.sum("tokens")).first())
-    held_filter = spark.sparkContext.broadcast(LogFrequencyFilter(_filter(chunks, bits)))
+    found = totals.select("chunk", "part", "counts", F.lit(None).cast("binary").alias("steps")).union(_pair_totals(chunks, bits))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = sorted(zip(right["part"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        counts = np.concatenate([expand(c) for _, c in parts])
+        parts = sorted(zip(right["part"].to_pylist(), right["counts"].to_pylist(), right["steps"].to_pylist(), strict=True), key=lambda x: x[0])
+        counts = np.concatenate([expand(c) for _, c, w in parts if w is None])
+        pair_counts, steps = (np.concatenate([expand(x[k]) for x in parts if x[2] is not None]) for k in (1, 2))
+        shares = np.where(steps > 0, 2.0 ** (-(steps - 1) / 2), 0.0)
         ids, held = left["ids"][0].as_py(), left["held"][0].as_py()
         n = expand(left["lengths"][0].as_py())
         words = unpack(left["vocabulary"][0].as_py())
@@ -298,20 +291,21 @@ def lm_scores(df: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc_i
         base = (counts + 0.5) / (tokens + 0.5 * (types + 1))
         log_base, end = np.log10(base), int(np.searchsorted(words, END))
         starts = np.cumsum(n) - n
+        word = words[t]
+        place = np.unique(pair_keys(np.where(first, END, np.roll(word, 1)), word), return_inverse=True)[1]
         score = np.empty(len(t))
         for low in range(0, len(t), 1 << 18):
             some = slice(low, low + (1 << 18))
             now = t[some]
             before = np.where(first[some], end, t[np.maximum(np.arange(low, low + len(now)) - 1, 0)])
-            keys = pair_keys(words[before], words[now])
-            share, seen = held_filter.value.shares(keys), counts[before]
+            share, seen = shares[place[some]], counts[before]
             share[seen == 0] = 0
-            pair = np.zeros(len(keys))
+            pair = np.zeros(len(now))
             some_share = share > 0
-            pair[some_share] = held_filter.value.counts(keys[some_share]) / seen[some_share]
+            pair[some_share] = pair_counts[place[some]][some_share] / seen[some_share]
             score[some] = np.log10(share * np.minimum(pair, 1) + (1 - share) * base[now])
         columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n), pa.array(np.add.reduceat((counts[t] > 0).astype(np.int64), starts)), pa.array(np.full(len(n), tokens)), pa.array(np.add.reduceat(log_base[t], starts)), pa.array(np.add.reduceat(score, starts))]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(totals.select("chunk", "part", "counts").groupBy("chunk")).applyInArrow(score, schema)
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, schema)
