@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from veridoc.llm import language_id, lm_score, simhash
+from veridoc.llm import html_extract, language_id, lm_score, simhash
 
 
 def test_unlike_texts_without_an_id_or_with_one_id_all_stay(spark):
@@ -45,3 +46,23 @@ def test_filter_holds_every_pair_at_the_fill_of_large_inputs():
         assert (held.counts(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.02
         for size, start in zip(held.sizes[0], held.starts[0], strict=True):
             assert np.unpackbits(held.bits[start : start + -(-size // 8)]).sum() <= size / 2
+
+
+LONG = "word " * 59 + "word"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<form id=aspnetForm><nav><a>x</a></nav><article><p>{LONG}</p></article></form>", LONG),
+        (f"<div class='layout has-sidebar'><div class=sidebar><p>a b</p></div><div><p>{LONG}</p></div></div>", LONG),
+        (f"<form><div class=content><p>{LONG}</p></div></form><footer><p>a b c</p></footer>", LONG),
+        (f"<aside><div role=main><p>{LONG}</p></div></aside>", LONG),
+        (f"<div class=comments><article><p>{LONG}</p></article></div>", ""),
+        (f"<div hidden><main><p>{LONG}</p></main></div>", ""),
+        (f"<div class='ad'><article><p>{LONG}</p></article></div>", ""),
+        (f"<article><p>short one</p></article><div class=sidebar><p>{LONG}</p></div>", "short one"),
+    ],
+)
+def test_an_article_within_a_container_apart(page, text):
+    assert html_extract.extract(page, html_extract.grow()) == text

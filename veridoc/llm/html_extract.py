@@ -37,6 +37,11 @@ APART_WORDS = frozenset(
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Of these words, those of comments, adverts and notices: no article begins in them, and they stay apart whatever they hold.
+CLOSED_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments consent cookie cookies discussion disqus gdpr promo promoted "
+    "promotion recommended related replies reply respond sponsor sponsored".split()
+)
 #: Containers of an article.
 MAIN_TAGS, MAIN_ROLES = frozenset("article main".split()), frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
@@ -47,6 +52,8 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 APART, NEITHER, MAIN = -1, 0, 1
+#: What a container can be besides, until the page has been read: apart for good; apart unless it holds most of the page's text.
+CLOSED, WRAPPER = -3, -2
 
 
 class Block(NamedTuple):
@@ -73,22 +80,68 @@ def _place(tag: str, attributes: str) -> int | None:
             elif name == "hidden" or value.lower() == "true":
                 hidden = True
     if hidden:
-        return APART
+        return CLOSED
     if tag in ("body", "html"):
         return None
     if tag in MAIN_TAGS or role in MAIN_ROLES:
-        return APART if names & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"} else MAIN
-    if tag in APART_TAGS or role in APART_ROLES or names & APART_WORDS:
+        return CLOSED if names & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"} else MAIN
+    if names & CLOSED_WORDS:
+        return CLOSED
+    if tag in APART_TAGS - {"form"} or role in APART_ROLES - {"form"}:
         return APART
+    if tag == "form" or role == "form" or names & APART_WORDS:
+        return WRAPPER
     return MAIN if names & MAIN_WORDS else None
 
 
+def _begins(tag: str, attributes: str) -> bool:
+    """Whether an article begins here by element or role, not by words of class or id alone."""
+    return tag in MAIN_TAGS or any(n.lower() == "role" and v.strip("\"' ").lower() in MAIN_ROLES for n, v in _ATTRIBUTE.findall(attributes))
+
+
+def _places(containers: list[tuple[int, int | None, bool]], within: list[int], words: list[int]) -> list[int]:
+    """The place of each container. containers: of each the one around it (an earlier one), what it is, whether an article begins by its element.
+
+    A wrapper (a form, or a class or id that may as well tell of the layout) that holds more than half of the page's words outside links says nothing, unless an
+    article stands outside it. within, words: of each block its container and its words outside links.
+    """
+    held, main = [0] * len(containers), [0] * len(containers)
+    closed = [False] * len(containers)
+    for k, (around, found, _) in enumerate(containers):
+        closed[k] = found == CLOSED or (k > 0 and closed[around])
+    for k, n in zip(within, words, strict=True):
+        if not closed[k]:
+            held[k] += n
+    # words in an article that no container but wrappers sets apart
+    article = [False] * len(containers)
+    for k, (around, found, begins) in enumerate(containers):
+        if k:
+            article[k] = not closed[k] and (begins or found != APART and (found == MAIN or article[around]))
+            main[k] = held[k] if article[k] else 0
+    for k in range(len(containers) - 1, 0, -1):
+        held[containers[k][0]] += held[k]
+        main[containers[k][0]] += main[k]
+    places = [NEITHER] * len(containers)
+    for k, (around, found, begins) in enumerate(containers[1:], 1):
+        inherited = places[around]
+        if found == WRAPPER:
+            found = None if 2 * held[k] > held[0] and main[k] == main[0] else APART
+        if closed[k]:
+            places[k] = APART
+        elif found == MAIN and inherited == APART and not begins:
+            places[k] = APART
+        else:
+            places[k] = inherited if found is None else found
+    return places
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: character references decoded, white space turned into single spaces, trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # open containers: element, place, whether unseen
+    stack: list[tuple[str, int, bool]] = []  # open containers: element, number, whether unseen
+    containers: list[tuple[int, int | None, bool]] = [(0, NEITHER, False)]  # the page, then each in order
     opened: dict[str, int] = {}
-    place, unseen, links, heading = NEITHER, False, 0, 0
+    place, unseen, links, heading = 0, False, 0, 0
     parts: list[str] = []
     linked: list[str] = []
 
@@ -150,7 +203,7 @@ def blocks(page: str) -> list[Block]:
             if tag in LOOSE and found is None:
                 continue
             if tag in INLINE:
-                if found != APART:
+                if found not in (APART, CLOSED, WRAPPER):
                     continue
                 close()
             if not m[3].endswith("/"):
@@ -159,20 +212,19 @@ def blocks(page: str) -> list[Block]:
                         opened[stack.pop()[0]] -= 1
                     if stack and stack[-1][0] == tag:
                         opened[stack.pop()[0]] -= 1
-                        place, unseen = (stack[-1][1], stack[-1][2]) if stack else (NEITHER, False)
-                inherited = stack[-1][1] if stack else NEITHER
-                if found == MAIN and inherited == APART:
-                    found = APART
-                stack.append((tag, inherited if found is None else found, unseen or tag in UNSEEN))
+                        place, unseen = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                containers.append((stack[-1][1] if stack else 0, found, found == MAIN and _begins(tag, m[3])))
+                stack.append((tag, len(containers) - 1, unseen or tag in UNSEEN))
                 opened[tag] = opened.get(tag, 0) + 1
-        place, unseen = (stack[-1][1], stack[-1][2]) if stack else (NEITHER, False)
+        place, unseen = (stack[-1][1], stack[-1][2]) if stack else (0, False)
     close()
-    return out
+    places = _places(containers, [b.place for b in out], [max(0, b.words - b.linked) for b in out])
+    return [b._replace(place=places[b.place]) for b in out]
 
 
 def _plain(attributes: str) -> bool:
     """Whether an inline element can't be a container apart."""
-    return not attributes or _place("span", attributes) != APART
+    return not attributes or _place("span", attributes) not in (APART, CLOSED, WRAPPER)
 
 
 #: Words, link density, words before, density before, words after, density after, place (-1 apart, 0 neither, 1 article), heading; 1 for main text.
