@@ -36,7 +36,8 @@ MARK = b"\x01"
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins characters across ASCII white space.
 
-    Each distinct word is encoded once by the tokenizers library and kept; the ids of a text are its words' ids in a row.
+    Each distinct word is encoded once by the tokenizers library and kept; the ids of a text are its words' ids in a row. Special
+    tokens that a text spells out become their ids, as by the library's default.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
@@ -46,7 +47,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that close a word
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closes[[k for token, k in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
@@ -162,7 +162,11 @@ def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian 32-bit, binary): documents as token ids with an end, cut only where longer than a sequence."""
+    """doc_id, piece, start, length, ids (little-endian 32-bit, binary): documents as token ids with an end, cut only where longer than a sequence.
+
+    A null or empty text is one piece that holds the end alone; texts may be of any length. Repeated rows each give their pieces, an
+    empty table none; other columns are ignored, whatever their names.
+    """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, most = word_ids(tokenizer, cached), np.array([end_id], "<u4").tobytes(), 4 * capacity
