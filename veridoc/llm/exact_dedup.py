@@ -63,7 +63,7 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
 def _hashed(df: DataFrame, text: str, carry: list[str], every_digest: bool) -> DataFrame:
     """Stage 1 to 3: the carried columns with n_chars, the full hash of survivors, and on wish the digest of every row."""
     spark = df.sparkSession
-    n_chars, full, digest, row = fresh(df, "norm_chars", "norm_hash", "norm_digest", "norm_row")
+    n_chars, full, digest, row, plain_text = fresh(df, "norm_chars", "norm_hash", "norm_digest", "norm_row", "norm_text")
 
     def keys(b: pa.RecordBatch) -> pa.RecordBatch:
         norm = [normalised(t) for t in as_bytes(b["text"])]
@@ -75,18 +75,18 @@ def _hashed(df: DataFrame, text: str, carry: list[str], every_digest: bool) -> D
     bloom = spark.sparkContext.broadcast(_bloom(twice, bits))
 
     def hashes(b: pa.RecordBatch) -> pa.RecordBatch:
-        norm = [normalised(t) for t in as_bytes(b["__text"])]
+        norm = [normalised(t) for t in as_bytes(b[plain_text])]
         at = _slots(np.array([_key(t) for t in norm], np.int64), np.array([len(t) for t in norm], np.int64), bits)
         survives = ((bloom.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0) if norm else []
         sha = [hashlib.sha256(t).digest() if s or every_digest else None for t, s in zip(norm, survives, strict=True)]
-        chars = pc.utf8_length(b["__text"]).cast(pa.int64())
+        chars = pc.utf8_length(b[plain_text]).cast(pa.int64())
         columns = [*(b[c] for c in carry), chars, pa.array([h if s else None for h, s in zip(sha, survives, strict=True)], pa.binary())]
         return pa.RecordBatch.from_arrays([*columns, *([pa.array(sha, pa.binary())] if every_digest else [])], names=[*carry, n_chars, full, *([digest] if every_digest else [])])
 
     schema = df.select(*carry).schema.add(n_chars, "long").add(full, "binary")
     if every_digest:
         schema = schema.add(digest, "binary")
-    wide = df.select(*carry, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    wide = df.select(*carry, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(plain_text))
     return over_batches(wide, hashes, schema).withColumn(row, F.monotonically_increasing_id())
 
 
@@ -119,7 +119,11 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_duplicates marks as not kept: all columns as they are, rows in any order."""
+    """df without the rows that exact_duplicates marks as not kept: all columns as they are, rows in any order.
+
+    Null, empty and long texts, ties, repeated rows and null ids count as there; an empty table gives no rows. Columns may have
+    any names.
+    """
     n_chars, full, row = fresh(df, "norm_chars", "norm_hash", "norm_row")
     rows = staged(_hashed(df, text_col, df.columns, every_digest=False))
     groups = cut(_groups(rows, id_col, n_chars, full, row))
