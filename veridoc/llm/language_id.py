@@ -3,29 +3,32 @@
 A word's features are its prefixes and suffixes, its byte n-grams and the word itself (a hashed lexicon). Transitions between
 the languages of neighbouring words are learned along with them, from sequences put together from pieces of differently labelled
 texts, so that switching inside a text has a cost but is possible. Marginals come from the forward-backward algorithm, exact over
-whole texts: texts are cut into blocks whose transfer matrices are multiplied, so that blocks of all texts advance together.
+whole texts: texts are cut into blocks whose transfer matrices are multiplied, so that blocks of all texts advance together. A
+long text goes through in pieces, twice: the first time for each piece's transfer matrix, the second with what comes in from both
+sides, so that memory doesn't grow with the text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import fresh, release, texts
-from veridoc.llm.words import Texts, mix, slices
+from veridoc.llm.words import SPACE, Texts, mix, slices
 
 #: Rows of each language that the model is fitted on, at most, by order of a hash of the id; and characters of each: a window
 #: of the text at a place that the hash gives.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 2000
 #: Rows of all languages, about: every language is learned, from fewer rows each where there are many.
 ALL_ROWS = 64 * SAMPLE_ROWS
-#: Bytes of text that are labelled at once, about.
-SLICE = 1 << 18
+#: Bytes of text that are labelled at once, about: a longer text is worked on in pieces, cut at white space; a word of more than
+#: LONG_WORD bytes counts as several words of at most so many.
+SLICE, LONG_WORD = 1 << 18, 1 << 16
 #: Rows of the weight table; lengths of affixes and n-grams in bytes.
 ROWS, AFFIXES, GRAMS = 1 << 18, (1, 2, 3, 4), (2, 3, 4)
 #: Words in a training sequence, in a block, and passes over the sample.
@@ -33,7 +36,8 @@ SEQUENCE, BLOCK, EPOCHS = 64, 64, 4
 #: Below this mean of its words' largest marginals the pipeline's language stage rejects a text.
 LEAST_SCORE = 0.35
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A character of a Unicode category L.
+_LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -82,8 +86,28 @@ def _emissions(scores: np.ndarray) -> np.ndarray:
     return np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf)) if len(scores) else scores
 
 
-def marginals(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Each word's label probabilities by forward-backward. emit: exp of word scores; step: exp of transition scores; lengths: words of each text."""
+def transfer(emit: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The matrix that takes the labels before a run of words to those after it, up to a factor."""
+    out, blocks = np.eye(emit.shape[1]), -(-len(emit) // BLOCK)
+    parts = np.broadcast_to(out, (blocks, *out.shape)).copy()
+    padded = np.ones((blocks * BLOCK, emit.shape[1]))
+    padded[: len(emit)] = emit
+    padded = padded.reshape(blocks, BLOCK, -1)
+    for k in range(BLOCK):
+        live = -(-(len(emit) - k) // BLOCK)  # blocks with more than k words
+        moved = (parts[:live] @ step) * padded[:live, k][:, None, :]
+        parts[:live] = moved / moved.max(axis=(1, 2), keepdims=True)
+    for part in parts:
+        out = out @ part
+        out /= out.max()
+    return out
+
+
+def marginals(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Each word's label probabilities by forward-backward. emit: exp of word scores; step: exp of transition scores; lengths: words of each text.
+
+    before, after: for one text alone that is a piece of a longer one, what comes in from the words before and behind it.
+    """
     labels = emit.shape[1]
     blocks = -(-lengths // BLOCK)
     n_blocks = int(blocks.sum())
@@ -107,6 +131,10 @@ def marginals(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.nda
     back_order[order] = np.arange(n_blocks)
     # vectors at the blocks' edges, one block of every text at a time
     enter, leave = np.ones((n_blocks, labels)), np.ones((n_blocks, labels))
+    if before is not None:
+        enter[back_order[0]] = before
+    if after is not None:
+        leave[back_order[-1]] = after
     most = int(blocks.max())
     for k in range(1, most):
         at = first_block[blocks > k] + k
@@ -170,32 +198,48 @@ def train(sample: list[tuple[str, str]]) -> Model:
             lengths = np.array([min(SEQUENCE, len(some) - k) for k in range(0, len(some), SEQUENCE)])
             features, step = Features(t), np.exp(moves)
             emit = _emissions(features.scores(weights))
-            p = marginals(emit, step, lengths)
+            p, expected = pair_marginals(emit, step, lengths)
             delta = -p
             delta[np.arange(len(truth)), truth] += 1
             g = features.gradient(delta / len(truth))
             seen += g * g
             weights += (0.5 * g / np.sqrt(seen)).astype(np.float32) * (g != 0)
-            g = _move_gradient(emit, step, lengths, truth, p) / len(truth)
+            g = (_observed(truth, lengths, len(labels)) - expected) / len(truth)
             seen_moves += g * g
             moves += 0.3 * g / np.sqrt(seen_moves) - 1e-4 * moves
     return Model(labels, weights, moves)
 
 
-def _move_gradient(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray, truth: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Observed less expected transitions; the expected ones from the two neighbours' marginals and the step between them."""
-    ends = np.cumsum(lengths)
+def pair_marginals(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each word's label probabilities, the expected number of each transition) by forward-backward over short sequences side by side."""
+    n, labels, most = len(lengths), emit.shape[1], int(lengths.max(initial=0))
+    place = np.arange(most) + (np.cumsum(lengths) - lengths)[:, None]
+    real = np.arange(most) < lengths[:, None]
+    e = np.where(real[:, :, None], emit[np.where(real, place, 0)], 1.0)
+    forward, backward = np.empty((n, most, labels)), np.ones((n, most, labels))
+    v = np.ones((n, labels))
+    for k in range(most):
+        v = (v @ step) * e[:, k]
+        v /= v.sum(axis=1, keepdims=True)
+        forward[:, k] = v
+    expected = np.zeros((labels, labels))
+    for k in range(most - 2, -1, -1):
+        inside = real[:, k + 1]
+        ahead = e[:, k + 1] * backward[:, k + 1]
+        v = ahead @ step.T
+        backward[:, k] = np.where(inside[:, None], v / v.sum(axis=1, keepdims=True), 1.0)
+        pair = forward[:, k, :, None] * step * ahead[:, None, :]
+        expected += (pair / pair.sum(axis=(1, 2), keepdims=True))[inside].sum(axis=0)
+    p = (forward * backward)[real]
+    return p / p.sum(axis=1, keepdims=True), expected
+
+
+def _observed(truth: np.ndarray, lengths: np.ndarray, labels: int) -> np.ndarray:
+    """How often each transition stands in the sequences."""
     inner = np.ones(len(truth), bool)
-    inner[ends - 1] = False
+    inner[np.cumsum(lengths) - 1] = False
     a = np.flatnonzero(inner)
-    observed = np.zeros(step.shape)
-    np.add.at(observed, (truth[a], truth[a + 1]), 1)
-    # pair marginals fitted to both word marginals by scaling the step matrix, a few sweeps of iterative fitting
-    pair = np.broadcast_to(step, (len(a), *step.shape)).copy()
-    for _ in range(4):
-        pair *= (p[a] / pair.sum(axis=2))[:, :, None]
-        pair *= (p[a + 1] / pair.sum(axis=1))[:, None, :]
-    return observed - pair.sum(axis=0)
+    return np.bincount(truth[a] * labels + truth[a + 1], minlength=labels * labels).reshape(labels, labels).astype(float)
 
 
 def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, training) -> list[tuple[str, str]]:
@@ -211,31 +255,94 @@ def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, traini
     return [(r["lang"], r["window"]) for r in top.orderBy("lang", "rank").select("lang", "window").collect()]
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where a long text is cut: behind the last white space within SLICE bytes, or within a word that is longer than LONG_WORD."""
+    at = 0
+    while at < len(data):
+        end = min(at + SLICE, len(data))
+        if end < len(data):
+            space = np.flatnonzero(SPACE[data[at:end]])
+            if len(space) and end - at - int(space[-1]) <= LONG_WORD:
+                end = at + int(space[-1]) + 1
+        yield at, end
+        at = end
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Texts:
+    """The texts' words; one of more than LONG_WORD bytes is taken apart."""
+    t = Texts(data, offsets, lower=True)
+    size = t.end - t.start
+    if len(size) and size.max() > LONG_WORD:
+        many = -(-size // LONG_WORD)
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        ends = np.repeat(t.end, many)
+        t.start = np.repeat(t.start, many) + k * LONG_WORD
+        t.end, t.doc = np.minimum(t.start + LONG_WORD, ends), np.repeat(t.doc, many)
+        t.counts = np.bincount(t.doc, minlength=t.n)
+    return t
+
+
+def _inked(t: Texts) -> np.ndarray:
+    """Which words have a byte of a letter, or one beyond ASCII."""
+    inked = np.concatenate(([0], np.cumsum(_ASCII_LETTER[t.data] | (t.data >= 128))))
+    return inked[t.end] > inked[t.start]
+
+
+def _totals(t: Texts, p: np.ndarray) -> np.ndarray:
+    """For each text the sums, over words with letters, of each label's marginal, of the largest one and of 1."""
+    counts = _inked(t)
+    p = p * counts[:, None]
+    return np.stack([np.bincount(t.doc, x, t.n) for x in (*p.T, p.max(axis=1, initial=0), counts)], axis=1)
+
+
+def _long_totals(model: Model, data: np.ndarray) -> np.ndarray:
+    """The same of one long text, piece by piece."""
+    step, cuts = np.exp(model.transitions), list(_pieces(data))
+
+    def emissions(k: int) -> tuple[Texts, np.ndarray]:
+        t = _words(data[slice(*cuts[k])], np.array([0, cuts[k][1] - cuts[k][0]]))
+        return t, _emissions(Features(t).scores(model.weights))
+
+    matrices = [transfer(emissions(k)[1], step) for k in range(len(cuts))]
+    before, after = [np.ones(len(step))], [np.ones(len(step))]
+    for m in matrices[:-1]:
+        before.append((v := before[-1] @ m) / v.max())
+    for m in matrices[:0:-1]:
+        after.append((v := m @ after[-1]) / v.max())
+    out = np.zeros((1, len(step) + 2))
+    for k, (start, end) in enumerate(zip(before, after[::-1], strict=True)):
+        t, emit = emissions(k)
+        out += _totals(t, marginals(emit, step, t.counts, start, end))
+    return out
+
+
 def _predict(model: Model, batch: pa.Array) -> tuple[list[str], list[float], list[float]]:
     """Each text's language, the mean marginal of it over words with letters, and the mean of each word's largest marginal."""
     langs: list[str] = []
     scores: list[float] = []
     certain: list[float] = []
-    for row, end, data, offsets in slices(batch, SLICE):
-        t = Texts(data, offsets, lower=True)
-        inked = np.concatenate(([0], np.cumsum(_ASCII_LETTER[t.data] | (t.data >= 128))))
-        counts = (inked[t.end] > inked[t.start]) if len(t.doc) else np.zeros(0, bool)
-        p = model.word_labels(t) * counts[:, None] if model.labels else np.zeros((len(t.doc), 0))
-        total = np.stack([np.bincount(t.doc, p[:, k], t.n) for k in range(len(model.labels))], axis=1) if model.labels else p
-        n = np.bincount(t.doc, counts, t.n)
-        sure = np.bincount(t.doc, p.max(axis=1, initial=0), t.n)
-        ascii_letters = t.per_text(_ASCII_LETTER[t.data])
-        for k in range(t.n):
-            letter = ascii_letters[k] > 0 or _LETTER.search(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")) is not None
-            if not letter or not model.labels:
+    labels = len(model.labels)
+    for _, _, data, offsets in slices(batch, SLICE):
+        n = len(offsets) - 1
+        if not labels:
+            total = np.zeros((n, 2))
+        elif n == 1 and len(data) > SLICE:
+            total = _long_totals(model, data)
+        else:
+            t = _words(data, offsets)
+            total = _totals(t, model.word_labels(t))
+        for k in range(n):
+            own = data[offsets[k] : offsets[k + 1]]
+            letter = _ASCII_LETTER[own].any() or _LETTER.search(own.tobytes().decode("utf-8", "replace")) is not None
+            if not letter or not labels:
                 langs.append("und")
                 scores.append(0.0)
                 certain.append(0.0)
             else:
-                best = int(np.argmax(total[k]))
+                best, words = int(np.argmax(total[k, :labels])), total[k, -1]
                 langs.append(model.labels[best])
-                scores.append(float(min(1.0, total[k, best] / n[k])))
-                certain.append(float(min(1.0, sure[k] / n[k])))
+                scores.append(float(min(1.0, total[k, best] / words)))
+                certain.append(float(min(1.0, total[k, -2] / words)))
     return langs, scores, certain
 
 
@@ -268,7 +375,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """df without texts in no learned language: those without a letter, and those whose words' largest marginals have a mean below `least`."""
+    """df without texts in no learned language: those without a letter, and those whose words' largest marginals have a mean below `least`.
+
+    A null or empty text goes, as it has no letter; so does every text where nothing was learned. Texts may be of any length. Repeated
+    rows stay or go together, an empty table gives none. Columns may have any names.
+    """
     known = df.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions))
     (text,), names = fresh(df, "lang_text"), df.columns
 
