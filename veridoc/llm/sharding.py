@@ -3,7 +3,11 @@
 Rows are ordered by (hash of the text, id, row). Candidate boundaries (probes) are counted against all rows: each round gives the
 exact bytes and rows below every probe, and the next round's probes go only between the two that enclose a target. When every
 splitter meets the tolerance, the rows are exchanged once. The hash comes first, so equal texts lie side by side: a splitter goes
-between two groups of equal texts where one such edge is near enough, and into a group (by id, then by row) only where none is.
+to the nearest edge between two groups of equal texts, and into a group (by id, then by row) only where that edge lies farther from
+the target than the tolerance and than half of the largest row, by which any splitter between whole rows may be off.
+
+A shard is exchanged as cells, parts of some `CELL` bytes by a hash of id and row, so that no task holds a whole shard; rows are
+numbered by (cell, key) within their shard.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ PROBES = 64
 ROW_BYTES = 8
 #: What a splitter may be off, as a share of a shard's bytes, to fall between two groups.
 TOLERANCE = 0.01
+#: Bytes of a cell, about, and cells of all shards at most (their row counts are broadcast: 1.6 MB).
+CELL, MOST_CELLS = 64 << 20, 100_000
 
 Key = tuple[int, int, int]
 #: Each part of a key is a signed 64-bit value.
@@ -89,8 +95,12 @@ def _between(low: Key, high: Key) -> list[Key]:
     return []
 
 
-def find_splitters(rows: DataFrame, names: list[str], size: str, targets: list[int], slack: int) -> tuple[list[Key], dict[Key, tuple[int, int]]]:
-    """A splitter for each target, and the exact (bytes, rows) below every probe ever counted."""
+def find_splitters(rows: DataFrame, names: list[str], size: str, targets: list[int], slack: int, reach: int) -> list[Key]:
+    """A splitter for each target.
+
+    An edge between groups within `slack` bytes of the target is taken at once; else the group around the target is sought out, and
+    its nearer edge taken if that is within `reach`; else the nearest place inside the group.
+    """
     first, last = (LOW,) * 3, (HIGH,) * 3
     total = rows.agg(F.sum(size), F.count("*")).first()
     known: dict[Key, tuple[int, int]] = {first: (0, 0), last: (total[0] or 0, total[1])}
@@ -104,17 +114,23 @@ def find_splitters(rows: DataFrame, names: list[str], size: str, targets: list[i
                 continue
             at = max(1, bisect.bisect_left(sums, target))
             low, high = order[at - 1], order[at]
-            edges = [k for k in (low, high) if abs(known[k][0] - target) <= slack and k[1:] == (LOW, LOW)]
-            if edges:
-                chosen[target] = min(edges, key=lambda k: abs(known[k][0] - target))
+            # the nearest edges of groups on both sides, and whether nothing but one group lies between them
+            left, right = (low[0], LOW, LOW), high if high[1:] == (LOW, LOW) or high == last else last if high[0] == HIGH else (high[0] + 1, LOW, LOW)
+            edges = [k for k in (left, right) if k in known]
+            near = min(edges, key=lambda k: (abs(known[k][0] - target), k), default=None)
+            alone = len(edges) == 2 and (right[0] - left[0] <= 1 or known[right][1] - known[left][1] <= 1)
+            if near is not None and abs(known[near][0] - target) <= (max(slack, reach) if alone else slack):
+                chosen[target] = near
                 continue
-            inner = _between(low, high) if known[high][1] - known[low][1] > 1 else []
-            if known[high][1] - known[low][1] > 1 and known[high][0] - known[low][0] > 0 and inner:
+            inner = _between(low, high) if known[high][1] - known[low][1] > 1 and known[high][0] > known[low][0] else []
+            if not alone and len(edges) < 2:
+                inner += [k for k in (left, right) if k not in known]
+            if inner:
                 probes.update(inner)
             else:
                 chosen[target] = min((low, high), key=lambda k: (abs(known[k][0] - target), k))
         if not probes:
-            return [chosen[t] for t in targets], known
+            return [chosen[t] for t in targets]
         asked = sorted(probes - known.keys())
         if not asked:
             raise AssertionError("probes between two counted keys are always new")
@@ -124,9 +140,9 @@ def find_splitters(rows: DataFrame, names: list[str], size: str, targets: list[i
 def shard_by_bytes(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """df's rows with shard (0 to shards - 1), slot (gapless from 0 in each shard) and size, after one exchange of whole rows.
 
-    Sizes are the text's UTF-8 bytes plus 8; a null text has none. Shards' sizes differ from an equal share by at most the
-    tolerance, or by half of one row where rows are larger than that, at each end. Equal texts share a shard unless a splitter
-    has no edge of a group within the tolerance. Repeated rows are told apart by their place in the staged table. An empty
+    Sizes are the text's UTF-8 bytes plus 8; a null text has none. Each splitter is off its target by at most the tolerance (a share
+    of a shard's bytes) or half of the largest row, whichever is more. Equal texts share a shard unless all of them together hold
+    more than twice that and a target falls among them. Repeated rows are told apart by their place in the staged table. An empty
     table gives no rows; shards may be empty when there are fewer rows than shards. Null ids count as the smallest id. Column
     names that clash with the new ones get an underscore on the new side.
     """
@@ -135,29 +151,28 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text
     rows = staged(
         df.withColumns({size: F.octet_length(text).cast("long") + ROW_BYTES, key: F.xxhash64(text), ident: F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)), row: F.monotonically_increasing_id()})
     )
-    names = [key, ident, row]
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    targets = sorted({total * i // (shards * parts) for i in range(1, shards * parts)} | {total * i // shards for i in range(1, shards)})
-    mains = {total * i // shards for i in range(1, shards)}
-    split, known = find_splitters(rows, names, size, targets, int(tolerance * total / shards))
-    bounds = sorted({k for k in split})
-    ends = sorted(k for t, k in zip(targets, split, strict=True) if t in mains)
-    while len(ends) < shards - 1:  # targets that fall together, as in an empty table
-        ends.append((HIGH,) * 3)
-    below = {k: known[k][1] for k in [*bounds, (LOW,) * 3]}
-    # each cell between two neighbouring bounds: its shard, and how many rows of that shard stand before it
-    cells = []
-    for start in [(LOW,) * 3, *bounds]:
-        mine = bisect.bisect_right(ends, start)
-        cells.append((mine, below[start] - (below[ends[mine - 1]] if mine else 0)))
+    names, spark = [key, ident, row], rows.sparkSession
+    total, largest = (x or 0 for x in rows.agg(F.sum(size), F.max(size)).first())
+    targets = [total * i // shards for i in range(1, shards)]
+    bounds = sorted(find_splitters(rows, names, size, targets, int(tolerance * total / shards), largest // 2))
+    cells = max(1, min(MOST_CELLS // shards, -(-total // (shards * CELL))))
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("int")
     def place(h: pd.Series, i: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series(_below((h.to_numpy(), i.to_numpy(), r.to_numpy()), bounds) if bounds else np.zeros(len(h), np.int64))
 
-    placed = rows.withColumn(cell, place(key, ident, row))
-    which = F.array(*(F.lit(c[0]) for c in cells))
-    base = F.array(*(F.lit(c[1]).cast("long") for c in cells))
-    ordered = Window.partitionBy(cell).orderBy(*names)
-    return placed.withColumn(slot, F.row_number().over(ordered) - 1 + F.element_at(base, (F.col(cell) + 1).cast("int"))).withColumn(shard, F.element_at(which, (F.col(cell) + 1).cast("int"))).select(*df.columns, size, shard, slot)
+    placed = rows.withColumn(shard, place(key, ident, row)).withColumn(cell, F.pmod(F.xxhash64(ident, row), F.lit(cells)).cast("int"))
+    counts = placed.groupBy(shard, cell).agg(F.count("*").alias("n")) if cells > 1 else placed.groupBy(shard).agg(F.lit(0).alias(cell), F.lit(0).alias("n"))
+    base = np.zeros(shards * cells, np.int64)
+    for r in counts.collect():
+        base[r[0] * cells + r[1]] = r["n"]
+    base = base.reshape(shards, cells)
+    start = spark.sparkContext.broadcast((np.cumsum(base, axis=1) - base).ravel())
+
+    @F.pandas_udf("long")
+    def before(s: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(start.value[s.to_numpy() * cells + c.to_numpy()])
+
+    rank = F.row_number().over(Window.partitionBy(shard, cell).orderBy(*names)) - 1
+    ranked = placed.withColumn(slot, rank.cast("long"))
+    return ranked.withColumn(slot, F.col(slot) + before(shard, cell) if cells > 1 else F.col(slot)).select(*df.columns, size, shard, slot)
