@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Heaviest keys that a skewed join broadcasts. After them, no key holds more than 1/1000 of the rows.
 HOT_KEYS = 1000
@@ -20,11 +21,13 @@ STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; set here only where unset, as in tests."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir; set here only where unset in a session on one machine, as in tests."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
         known = spark.sparkContext.getCheckpointDir()
         if known is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(known := tempfile.mkdtemp(prefix="checkpoint-"))
         return known
     if spark.sparkContext.getCheckpointDir() is None:
@@ -76,6 +79,18 @@ def release() -> None:
         trim(0)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Non-decreasing 64-bit values: differences, byte by byte, compressed."""
+    steps = np.diff(values, prepend=values[:1] * 0).astype("<u8")
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -99,7 +114,9 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, rows: str, payload:
     """
     hot_key, salt, *hot = fresh(left, "hot_key", "hot_salt", *(f"hot_{c}" for c in payload))
     top = right.orderBy(F.desc(rows), F.col(key)).limit(HOT_KEYS).select(F.col(key).alias(hot_key), *(F.col(c).alias(h) for c, h in zip(payload, hot, strict=True)))
-    spread = F.when(F.col(hot_key).isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.lit(1) + F.floor(F.rand(7) * 65536).cast("int"))
+    hashed = [F.col(f.name) for f in left.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    # the same for a row however often its task runs
+    spread = F.when(F.col(hot_key).isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(65536)).cast("int"))
     wide = left.join(F.broadcast(top), F.col(key) == F.col(hot_key), "left").withColumn(salt, spread)
     rest = right.select(F.col(key), F.lit(0).alias(salt), *payload)
     both = wide.join(rest, [key, salt], "left")

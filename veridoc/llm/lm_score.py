@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import cut, staged, texts
+from veridoc.llm.common import cut, pack, staged, texts, unpack
 from veridoc.llm.words import Texts, mix, slices
 
 #: Bytes of text in a chunk, about.
@@ -51,18 +51,6 @@ def _slots(keys: np.ndarray, level: int, bits: int | np.ndarray) -> np.ndarray:
     return np.stack([((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.asarray(bits, np.uint64) for i in range(PROBES)]).astype(np.int64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Non-decreasing 64-bit values: differences, byte by byte, compressed."""
-    steps = np.diff(values, prepend=values[:1] * 0).astype("<u8")
-    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def squeeze(values: np.ndarray) -> bytes:
     return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
