@@ -27,6 +27,8 @@ SEED = 42
 SHORT = 48
 #: Midpoints held at once for a long list.
 MIDPOINTS = 4_000_000
+#: Entries of the index that a task holds, besides those of a longer list.
+FLUSH = 500_000
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -70,6 +72,8 @@ def _postings(k: int) -> list[tuple[int, ...]]:
 
 def _links(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links within posting lists, thinned to a forest: (fingerprint, a smaller index's fingerprint)."""
+    if not len(keys):
+        return fps, fps
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     starts = first_runs(keys)
@@ -88,24 +92,9 @@ def _links(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         s, n = starts[at], lengths[at]
         own = fps[s : s + n]
         free = np.bitwise_or.reduce(own ^ own[0])  # positions on which the list agrees need no flips
-        flips = masks[(masks & ~free) == 0]
-        passes = -(-n * len(flips) // MIDPOINTS)
-        for p in range(passes):
-            mid, who = [], []
-            for block in range(0, n, max(1, MIDPOINTS // len(flips))):
-                m = (own[block : block + max(1, MIDPOINTS // len(flips)), None] ^ flips).ravel()
-                rows = np.repeat(np.arange(block, block + len(m) // len(flips)), len(flips))
-                if passes > 1:
-                    mine = (m * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(passes) == p
-                    m, rows = m[mine], rows[mine]
-                mid.append(m)
-                who.append(rows)
-            mid, who = np.concatenate(mid), np.concatenate(who)
-            by = np.argsort(mid, kind="stable")
-            same = mid[by][1:] == mid[by][:-1]
-            pairs = np.unique(np.stack([who[by][:-1][same], who[by][1:][same]]), axis=1)
-            a.append(s + pairs[0])
-            b.append(s + pairs[1])
+        for x, y in _near_midpoints(own, [(np.arange(n), masks[(masks & ~free) == 0])], free):
+            a.append(s + x)
+            b.append(s + y)
     a, b = np.concatenate(a), np.concatenate(b)
     values, index = np.unique(fps, return_inverse=True)
     root = local_roots(len(values), index[a], index[b])
@@ -113,6 +102,38 @@ def _links(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return values[linked], values[root[linked]]
 
 
+def _near_midpoints(own: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], free: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of fingerprints (as numbers) that share a midpoint, each with the next one that has it.
+
+    parts: numbers and flips whose midpoints are meant. Too many are parted by a free bit of the midpoint: a fingerprint goes with
+    the flips that keep the bit to the side of its own bit, and with those that change it to the other side.
+    """
+    many = sum(len(rows) * len(flips) for rows, flips in parts)
+    if many <= MIDPOINTS or not free:
+        mid = np.concatenate([(own[rows, None] ^ flips).ravel() for rows, flips in parts])
+        who = np.concatenate([np.repeat(rows, len(flips)) for rows, flips in parts])
+        by = np.argsort(mid, kind="stable")
+        same = mid[by][1:] == mid[by][:-1]
+        x, y = who[by][:-1][same], who[by][1:][same]
+        code = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y))
+        yield code >> 32, code & 0xFFFFFFFF
+        return
+    sample = np.concatenate([own[rows[:: max(1, len(rows) // 256)]] for rows, _ in parts])
+    bits = [p for p in range(64) if int(free) >> p & 1]
+    best = min(bits, key=lambda p: (abs(0.5 - float((sample >> np.uint64(p) & np.uint64(1)).mean())), p))
+    bit = np.uint64(1 << best)
+    sides: tuple[list, list] = ([], [])
+    for rows, flips in parts:
+        high, change = (own[rows] & bit) > 0, (flips & bit) > 0
+        for r, up in ((rows[~high], 0), (rows[high], 1)):
+            for f, turned in ((flips[~change], 0), (flips[change], 1)):
+                if len(r) and len(f):
+                    sides[up ^ turned].append((r, f))
+    for side in sides:
+        if side:
+            yield from _near_midpoints(own, side, free & ~bit)
+
+
 def link_fingerprints(distinct: DataFrame, k: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) at k or fewer differing bits, thinned so that components stay."""
     sets = _postings(k)
@@ -127,14 +148,31 @@ def link_fingerprints(distinct: DataFrame, k: int = 4) -> DataFrame:
         return bits.bitwiseOR(F.lit(number << 32).cast("long"))
 
     listed = distinct.select("fp", F.explode(F.array(*(key(n, s) for n, s in enumerate(sets)))).alias("key"))
-    dealt = listed.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.repartition(tasks, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64)) for b in batches if b.num_rows]
-        if held:
-            a, b = _links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), k)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-        del held
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def links(last: bool) -> pa.RecordBatch:
+            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))  # the last list may go on
+            held[:] = [(keys[whole:], fps[whole:])]
+            a, b = _links(keys[:whole], fps[:whole], k)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        waiting, due = 0, FLUSH
+        for b in batches:
+            if b.num_rows:
+                held.append((b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64)))
+                waiting += b.num_rows
+                if waiting >= due:
+                    yield links(last=False)
+                    waiting = len(held[0][0])
+                    due = max(FLUSH, 2 * waiting)
+        if waiting:
+            yield links(last=True)
+        held.clear()
         release()
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -161,7 +199,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """df with one row of each component: that of the smallest id (a null id only where no row has one), the first of repeated rows; all columns as they are."""
+    """df with one row of each component: that of the smallest id (a null id only where no row has one), the first of repeated rows; all columns as they are.
+
+    A null or empty text has fingerprint zero and links like any other; texts may be of any length. An empty table gives no rows.
+    Columns may have any names.
+    """
     (fp, row, low), names = fresh(df, "sim_fp", "sim_row", "sim_text"), df.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
