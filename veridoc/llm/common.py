@@ -49,6 +49,18 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """Write a table to the shared folder in buckets by a column: later groupings by it read it without a shuffle of its rows."""
+    spark = df.sparkSession
+    name, tasks = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.repartition(tasks, column).write.bucketBy(tasks, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    STAGED.append(path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows them by now
+    return out
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that nothing will read again."""
     for path in paths:

@@ -2,8 +2,8 @@
 
 Suffixes are ordered only through their first `WINDOW` bytes, most significant digit first; whatever is alone in its group drops
 out, and the groups left after the last digit are exactly the repeated windows. The first digit of a suffix is its window's
-anchor: the 32-byte string in the window with the least hash. Equal windows have equal anchors at the same place, and
-neighbouring windows mostly share one, so that the first pass moves one key for some 10 suffixes. Only anchors found in two
+anchor: the 16-byte string in the window with the least hash. Equal windows have equal anchors at the same place, and
+neighbouring windows mostly share one, so that the first pass moves one key for some 17 suffixes. Only anchors found in two
 texts go on, with the bytes around them; the further passes split their groups by eight bytes at a time.
 
 Equal texts are brought down to one before that; all but those of the smallest id are repeated as a whole. Within a chunk of
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import as_bytes, cut, fresh, join_skewed, pack, release, unpack
+from veridoc.llm.common import as_bytes, bucketed, cut, fresh, join_skewed, pack, release, unpack
 from veridoc.llm.words import BASE, INVERSE, columns, mix, powers, slices
 
-WINDOW, GRAM = 50, 32
+WINDOW, GRAM = 50, 16
 #: Windows that can share an anchor, and the bytes around an anchor that they cover.
 REACH = WINDOW - GRAM + 1
 AROUND = 2 * WINDOW - GRAM
@@ -417,15 +417,13 @@ def _left_of(df: DataFrame, id_col: str, text_col: str, long_key: int = LONG_KEY
     The texts are dealt into chunks once and stored; each of the three passes over them reads that, exchanges what it found by
     shard, and stores the answers.
     """
-    spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = df.select(F.sum(F.octet_length(text))).first()[0] or 0
     chunks, shards = max(8, size // CHUNK), max(8, size // SHARD)
     each = df.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id")).groupBy("sha", "id").agg(F.count("*").alias("n"))
     lows = cut(each.groupBy("sha").agg(F.min(F.struct("id", "n")).alias("low"), F.sum("n").alias("copies")).select("sha", F.col("low.id").alias("low_id"), F.col("low.n").alias("lows"), "copies"))
     number = F.pmod(F.xxhash64("sha"), F.lit(chunks)).alias("chunk")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = cut(_distinct_texts(df, text_col).select(number, "sha", "text").repartition(tasks, "chunk"))
+    whole = bucketed(_distinct_texts(df, text_col).select(number, "sha", "text"), "chunk")
     ids = lows.select(number, F.lit(0).alias("kind"), "sha", F.col("low_id").alias("doc"), F.lit(None).cast("binary").alias("one"), F.lit(None).cast("binary").alias("two"))
 
     def over_chunks(notes: DataFrame | None, fn, schema: str) -> DataFrame:
