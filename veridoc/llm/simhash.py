@@ -198,12 +198,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return join_skewed(rows, found, "fp", "copies", ["component_id"])
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """df with one row of each component: that of the smallest id (a null id only where no row has one), the first of repeated rows; all columns as they are.
 
     A null or empty text has fingerprint zero and links like any other; texts may be of any length. An empty table gives no rows.
-    Columns may have any names.
+    Columns may have any names. With `similarity` texts link by the share of five-word shingles that they have in common instead, as
+    no bit distance that the index can guarantee holds pairs of 0.8: see veridoc.llm.similar.
     """
+    if similarity is not None:
+        from veridoc.llm.similar import drop_similar
+
+        return drop_similar(df, id_col, text_col, similarity)
     (fp, row, low), names = fresh(df, "sim_fp", "sim_row", "sim_text"), df.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
