@@ -7,10 +7,9 @@ from typing import Any
 
 from pyspark.sql import Column
 
-from veridoc.plans.drafts import IDS
-from veridoc.plans.interp import Interpreter
+from veridoc.plans.drafts import IDS, by_version
 from veridoc.plans.registry import SchemaError
-from veridoc.plans.schema import Validator
+from veridoc.plans.schema import Rules, Validator, judge_document
 
 
 class Engine:
@@ -65,16 +64,23 @@ class Engine:
         self._store(self.metas, root, key)
         return self
 
+    def add_draft(self, version: int) -> Engine:
+        """The published meta-schema of draft 6, 7, 2019 (09) or 2020 (12), with the vocabularies that it refers to."""
+        return self.add_meta_schema(by_version(version)[1])
+
     def get_schema(self, key: str) -> Any | None:
         return self.schemas.get(key.rstrip("#"))
 
     def validate_schema(self, schema: Any) -> bool:
-        """Whether a schema obeys the meta-schema that it names, draft 6 by default; true while none is registered, false for an unknown one."""
+        """Whether a schema obeys the meta-schema that it names, draft 6 by default; true while none is registered, false for an unknown one.
+
+        Meta-schemas are read as JSON Schema has it, in either mode.
+        """
         if not self.metas:
             return True
         name = schema.get("$schema") if isinstance(schema, dict) else None
         meta = self.metas.get((name or IDS[6]).rstrip("#"))
-        return meta is not None and Interpreter(meta, self.schemas, self.mode).valid(schema)
+        return meta is not None and judge_document(Rules(meta, self.schemas, "spec"), schema)
 
     def compile(self, schema: Any, schemas: list[Any] | dict[str, Any] | None = None) -> Validator:
         others = dict(self.schemas)

@@ -11,24 +11,37 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import punycode, scalars
 from veridoc.functions.calc import F64, I32, VEC2, VEC2I, VEC3, cross2, cross3, i32
+from veridoc.plans.drafts import by_version
+from veridoc.plans.registry import BigInt
 from veridoc.plans.schema import Validator
 
 
 class Case(NamedTuple):
     table: str
     key: str
-    document: str
+    #: SQL expressions by key make an object of columns; a text is an expression for JSON text, or for a typed value.
+    document: dict[str, str] | str
     schema: Any
     sql: str
     options: dict[str, Any] = {}
+    typed: bool = False
 
 
-#: JSON documents built from rows, as Spark SQL.
-ORDER = "to_json(named_struct('key', o_orderkey, 'status', o_orderstatus, 'price', o_totalprice, 'day', date_format(o_orderdate, 'yyyy-MM-dd'), 'priority', o_orderpriority, 'late', if(o_orderkey % 3 = 0, true, null)))"
-LINE = "to_json(named_struct('quantity', l_quantity, 'discount', l_discount, 'flag', l_returnflag, 'number', l_linenumber))"
-PART = "to_json(named_struct('name', p_name, 'brand', p_brand, 'size', p_size, 'type', p_type))"
-VEC = "to_json(slice(transform(embedding, x -> cast(x as double)), 1, 1 + vec_id % 6))"
-V_SQL = "list_transform(embedding[1:1 + vec_id % 6], lambda x: x::double)"
+#: Documents made of rows, as Spark SQL.
+ORDER = {"key": "o_orderkey", "status": "o_orderstatus", "price": "o_totalprice", "day": "date_format(o_orderdate, 'yyyy-MM-dd')", "priority": "o_orderpriority", "late": "if(o_orderkey % 3 = 0, true, null)"}
+LINE = {"quantity": "l_quantity", "discount": "l_discount", "flag": "l_returnflag", "number": "l_linenumber"}
+PART = {"name": "p_name", "brand": "p_brand", "size": "p_size", "type": "p_type"}
+VEC = "transform(embedding, x -> cast(x as double))"
+SOME = f"filter({VEC}, x -> x > 0.2)"
+V_SQL = "list_transform(embedding, lambda x: x::double)"
+S_SQL = f"list_filter({V_SQL}, lambda x: x > 0.2)"
+
+
+def as_text(document: dict[str, str] | str) -> str:
+    """The same document as JSON text."""
+    if isinstance(document, str):
+        return f"to_json({document})"
+    return f"to_json(named_struct({', '.join(f"'{k}', {e}" for k, e in document.items())}))"
 
 
 def _order(schema: Any, sql: str) -> Case:
@@ -43,8 +56,8 @@ def _part(schema: Any, sql: str) -> Case:
     return Case("part", "p_partkey", PART, schema, sql)
 
 
-def _vec(schema: Any, sql: str) -> Case:
-    return Case("embeddings", "vec_id", VEC, schema, sql)
+def _vec(schema: Any, sql: str, document: str = VEC) -> Case:
+    return Case("embeddings", "vec_id", document, schema, sql, typed=True)
 
 
 def _event(schema: Any, sql: str) -> Case:
@@ -79,13 +92,13 @@ CASES: dict[str, Case] = {
     "kw_dependent_required": _order({"dependentRequired": {"late": ["key", "missing"]}}, f"NOT ({LATE})"),
     "kw_dependent_schemas": _order({"dependentSchemas": {"late": {"properties": {"status": {"const": "F"}}}}}, f"NOT ({LATE}) OR o_orderstatus = 'F'"),
     "kw_dependencies": _order({"dependencies": {"late": {"properties": {"price": {"minimum": 50000}}}, "key": ["price"]}}, f"NOT ({LATE}) OR o_totalprice >= 50000"),
-    "kw_items": _vec({"items": {"type": "number", "minimum": -1.5}}, f"len(list_filter({V_SQL}, lambda x: x < -1.5)) = 0"),
-    "kw_tuple": _vec({"items": [POSITIVE, POSITIVE], "additionalItems": {"maximum": 1}}, f"coalesce({V_SQL}[1] > 0, true) AND coalesce({V_SQL}[2] > 0, true) AND len(list_filter(({V_SQL})[3:], lambda x: x > 1)) = 0"),
-    "kw_prefix_items": _vec({"prefixItems": [POSITIVE]}, f"({V_SQL})[1] > 0"),
-    "kw_contains": _vec({"contains": {"exclusiveMinimum": 0.5}}, f"len(list_filter({V_SQL}, lambda x: x > 0.5)) >= 1"),
-    "kw_min_max_contains": _vec({"contains": POSITIVE, "minContains": 1, "maxContains": 2}, f"len(list_filter({V_SQL}, lambda x: x > 0)) BETWEEN 1 AND 2"),
-    "kw_min_max_items": _vec({"minItems": 2, "maxItems": 4}, "1 + vec_id % 6 BETWEEN 2 AND 4"),
-    "kw_unique_items": Case("lineitem", "l_orderkey, l_linenumber, l_partkey", "to_json(array(l_quantity, cast(l_linenumber as double), l_tax * 100))", {"uniqueItems": True}, "len(list_distinct([l_quantity, l_linenumber::double, l_tax * 100])) = 3"),
+    "kw_items": _vec({"items": {"type": "number", "minimum": -0.35}}, f"len(list_filter({V_SQL}, lambda x: x < -0.35)) = 0"),
+    "kw_tuple": _vec({"items": [POSITIVE, POSITIVE], "additionalItems": {"maximum": 0.35}}, f"({V_SQL})[1] > 0 AND ({V_SQL})[2] > 0 AND len(list_filter(({V_SQL})[3:], lambda x: x > 0.35)) = 0"),
+    "kw_prefix_items": _vec({"prefixItems": [POSITIVE, {"maximum": 0.1}]}, f"({V_SQL})[1] > 0 AND ({V_SQL})[2] <= 0.1"),
+    "kw_contains": _vec({"contains": {"exclusiveMinimum": 0.3}}, f"len(list_filter({V_SQL}, lambda x: x > 0.3)) >= 1"),
+    "kw_min_max_contains": _vec({"contains": {"exclusiveMinimum": 0.25}, "minContains": 1, "maxContains": 2}, f"len(list_filter({V_SQL}, lambda x: x > 0.25)) BETWEEN 1 AND 2"),
+    "kw_min_max_items": _vec({"minItems": 2, "maxItems": 4}, f"len({S_SQL}) BETWEEN 2 AND 4", SOME),
+    "kw_unique_items": Case("lineitem", "l_orderkey, l_linenumber, l_partkey", "array(l_quantity, cast(l_linenumber as double), l_tax * 100)", {"uniqueItems": True}, "len(list_distinct([l_quantity, l_linenumber::double, l_tax * 100])) = 3", typed=True),
     "kw_all_of": _order({"allOf": [{"properties": {"price": {"minimum": 1000}}}, {"properties": {"status": {"const": "O"}}}]}, "o_totalprice >= 1000 AND o_orderstatus = 'O'"),
     "kw_any_of": _order({"anyOf": [{"properties": {"price": {"minimum": 300000}}}, {"properties": {"status": {"const": "O"}}}]}, "o_totalprice >= 300000 OR o_orderstatus = 'O'"),
     "kw_one_of": _order({"oneOf": [{"properties": {"price": {"minimum": 100000}}}, {"properties": {"status": {"const": "O"}}}]}, "(o_totalprice >= 100000) <> (o_orderstatus = 'O')"),
@@ -103,7 +116,7 @@ CASES: dict[str, Case] = {
 }
 TABLE_FORMATS = {"url": r"(?i)[(http(s)?):/(www\.)?\w\-/=#%&.]{2,}\.[a-z]{2,}[\w\-/=#%&.?]*", "uri": r"(?i)[a-z][a-z0-9+-.]*:(?:/?/)?[^\s]*", "uri-reference": r"(?i)(?:(?:[a-z][a-z0-9+-.]*:)?/?/)?(?:[^\\\s#][^\s#]*)?(?:#[^\\\s]*)?"}
 for _name, _pattern in TABLE_FORMATS.items():
-    CASES[f"fmt_{_name.replace('-', '_')}"] = Case("pages", "page_id", "to_json(named_struct('u', url))", {"properties": {"u": {"format": _name}}}, f"regexp_full_match(url, '{_pattern.replace(chr(39), chr(39) * 2)}')")
+    CASES[f"fmt_{_name.replace('-', '_')}"] = Case("pages", "page_id", {"u": "url"}, {"properties": {"u": {"format": _name}}}, f"regexp_full_match(url, '{_pattern.replace(chr(39), chr(39) * 2)}')")
 
 
 #: Texts made of an order's key, and which of them obey the format.
@@ -156,7 +169,7 @@ FORMATS: dict[str, tuple[str, str]] = {
 }
 for _name, (_text, _sql) in FORMATS.items():
     _made = re.sub(r"\bk\b", "o_orderkey", _text)
-    CASES[f"fmt_{_name.replace('--', '_').replace('-', '_')}"] = Case("orders", "o_orderkey", f"to_json(named_struct('t', {_made}))", {"properties": {"t": {"format": _name}}}, re.sub(r"\bk\b", "o_orderkey", _sql))
+    CASES[f"fmt_{_name.replace('--', '_').replace('-', '_')}"] = Case("orders", "o_orderkey", {"t": _made}, {"properties": {"t": {"format": _name}}}, re.sub(r"\bk\b", "o_orderkey", _sql))
 
 #: A list nested by the order's key, up to 13 objects deep, so that some go beyond what a schema is unrolled to.
 NESTED = """concat(repeat('{"next":', o_orderkey % 14), '{"v":', if(o_orderkey % 3 = 0, '"x"', '1'), '}', repeat('}', o_orderkey % 14))"""
@@ -164,23 +177,45 @@ NODE = {"properties": {"v": {"type": "integer"}, "next": {"$ref": "#"}}, "additi
 CASES |= {
     "kw_required_bool": Case("orders", "o_orderkey", "if(o_orderkey % 3 = 0, null, '1')", {"required": True}, "o_orderkey % 3 <> 0"),
     "kw_boolean_schema": _order({"properties": {"late": False}}, f"NOT ({LATE})"),
-    "kw_enum_deep": Case("orders", "o_orderkey", "to_json(named_struct('a', array(o_orderkey % 4, 1), 'b', o_orderstatus))", {"enum": [{"b": "O", "a": [1, 1]}, {"a": [2.0, 1], "b": "F"}]}, "o_orderkey % 4 = 1 AND o_orderstatus = 'O' OR o_orderkey % 4 = 2 AND o_orderstatus = 'F'"),
+    "kw_enum_deep": Case("orders", "o_orderkey", {"a": "array(o_orderkey % 4, 1)", "b": "o_orderstatus"}, {"enum": [{"b": "O", "a": [1, 1]}, {"a": [2.0, 1], "b": "F"}]}, "o_orderkey % 4 = 1 AND o_orderstatus = 'O' OR o_orderkey % 4 = 2 AND o_orderstatus = 'F'"),
     "kw_ref_remote": Case("orders", "o_orderkey", ORDER, {"properties": {"price": {"$ref": "http://x.example/money#/$defs/price"}}}, "o_totalprice <= 100000", {"others": {"http://x.example/money": {"$defs": {"price": {"maximum": 100000}}}}}),
     "kw_ref_recursive": Case("orders", "o_orderkey", NESTED, NODE, "o_orderkey % 3 <> 0"),
     "kw_unevaluated_properties": Case("orders", "o_orderkey", ORDER, {"allOf": [{"properties": dict.fromkeys(("key", "price", "day", "priority"), True)}], "anyOf": [{"properties": {"status": {"const": "F"}}}, True], "unevaluatedProperties": {"type": "boolean"}}, "o_orderstatus = 'F'", {"mode": "spec"}),
-    "kw_unevaluated_items": Case("embeddings", "vec_id", VEC, {"prefixItems": [True], "contains": {"exclusiveMinimum": 0}, "unevaluatedItems": False}, f"len(list_filter({V_SQL}, lambda x: x > 0)) >= 1 AND len(list_filter(({V_SQL})[2:], lambda x: x <= 0)) = 0", {"mode": "spec"}),
+    "kw_unevaluated_items": _vec({"prefixItems": [True], "contains": {"exclusiveMinimum": 0.3}, "unevaluatedItems": False}, f"len(list_filter({S_SQL}, lambda x: x > 0.3)) >= 1 AND len(list_filter(({S_SQL})[2:], lambda x: x <= 0.3)) = 0", SOME)._replace(options={"mode": "spec"}),
+    "kw_dynamic_ref": Case("orders", "o_orderkey", ORDER, {"$id": "http://x.example/strict", "$dynamicAnchor": "node", "$ref": "http://x.example/open", "properties": {"price": {"maximum": 200000}}}, "o_totalprice <= 200000 AND o_orderstatus <> 'P'", {"mode": "spec", "others": {"http://x.example/open": {"$id": "http://x.example/open", "$dynamicAnchor": "node", "properties": {"status": {"not": {"const": "P"}}}}}}),
+    "kw_strict_format": Case("orders", "o_orderkey", {"t": "if(o_orderkey % 2 = 0, cast(o_orderkey as string), null)", "n": "o_orderkey % 200"}, {"properties": {"t": {"format": "int32", "strictFormat": True}, "n": {"format": "int8", "strictFormat": True}}}, "o_orderkey % 2 = 1 AND o_orderkey % 200 <= 127"),
+    "kw_exact_long": Case("orders", "o_orderkey", {"n": "o_orderkey % 5 + 9007199254740990"}, {"properties": {"n": {"type": "integer", "minimum": 9007199254740993}}}, "o_orderkey % 5 >= 3"),
+    "kw_bigint": Case("orders", "o_orderkey", {"n": "cast(o_orderkey as decimal(38,0)) * 100000000000000000000"}, {"properties": {"n": {"type": "bigint", "minimum": BigInt(3 * 10**20), "exclusiveMaximum": BigInt(5 * 10**23), "multipleOf": BigInt(2 * 10**20), "maximum": 1}}}, "o_orderkey >= 3 AND o_orderkey < 5000 AND o_orderkey % 2 = 0"),
+    "kw_id": Case("orders", "o_orderkey", ORDER, {"$id": "http://x.example/a/root", "properties": {"price": {"$ref": "item#/$defs/p"}}, "$defs": {"i": {"$id": "item", "$defs": {"p": {"maximum": 150000}}}}}, "o_totalprice <= 150000"),
+    "deep_custom_format": Case("orders", "o_orderkey", """concat(repeat('{"next":', o_orderkey % 14), '{"v":', o_orderkey, '}', repeat('}', o_orderkey % 14))""", {"properties": {"v": {"format": "even"}, "next": {"$ref": "#"}}, "additionalProperties": False}, "o_orderkey % 2 = 0", {"custom": {"even": lambda v: F.try_variant_get(v, "$", "long") % 2 == 0}}),
+    "deep_pattern": Case("orders", "o_orderkey", """concat(repeat('{"next":', o_orderkey % 14), '{"v":"', o_orderkey, '"}', repeat('}', o_orderkey % 14))""", {"properties": {"v": {"pattern": "[05]$", "format": "numeric"}, "next": {"$ref": "#"}}}, "o_orderkey % 5 = 0"),
+    "wide_schema": Case("part", "p_partkey", f"to_json(named_struct({', '.join(f"'{k}', {e}" for k, e in PART.items())}))", {"properties": {"name": {"minLength": 8}, "brand": {"pattern": "[1-3]$"}, "size": {"format": "int8"}, **{f"p{k}": {"type": "integer"} for k in range(4000)}}}, "length(p_name) >= 8 AND regexp_matches(p_brand, '[1-3]$')"),
 }
 
+#: Schemas that rows make, good and bad ones by turns, judged against the published meta-schemas.
+MADE = """element_at(array('{"type":"integer","minimum":1}', '{"type":"nothing"}', '{"enum":[]}', '{"enum":[1,1]}', '{"items":{"minLength":-1}}', 'true', '{"properties":{"a":{"required":["x","x"]}}}', '{"allOf":[]}', '{"if":{"type":5}}'), cast(s_suppkey % 9 as int) + 1)"""
+#: Which of them each draft rejects.
+REJECTED = {6: (1, 2, 3, 4, 6, 7), 7: (1, 2, 3, 4, 6, 7, 8), 2019: (1, 4, 6, 7, 8), 2020: (1, 4, 6, 7, 8)}
+for _draft, _bad in REJECTED.items():
+    _root, *_parts = by_version(_draft)[1]
+    CASES[f"meta_draft_{_draft}"] = Case("supplier", "s_suppkey", MADE, _root, f"s_suppkey % 9 NOT IN ({', '.join(map(str, _bad))})", {"mode": "spec", "others": {p["$id"]: p for p in _parts}})
+
 
 def _run(case: Case) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.read.parquet(f"{sf_dir}/{case.table}.parquet")
-        keys = [k.strip() for k in case.key.split(",")]
-        return df.select(*keys, Validator(case.schema, **case.options).valid(F.expr(case.document)).alias("valid"))
+        keys, judge = [k.strip() for k in case.key.split(",")], Validator(case.schema, **case.options)
+        if isinstance(case.document, dict):
+            return judge.mark(df, case.document).select(*keys, "valid")
+        return judge.mark(df.select(*keys, F.expr(case.document).alias("document")), "document").select(*keys, "valid")
 
     return query
 
 
+# The same rules over JSON text.
+CASES |= {f"text_{name[3:]}": case._replace(document=as_text(case.document), typed=False) for name, case in CASES.items() if name.startswith("kw_") and (case.typed or isinstance(case.document, dict)) and name not in ("kw_bigint", "kw_exact_long")}
+
+
 EVENT = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 49}}}
 
 
@@ -204,6 +239,63 @@ def vec_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("vec_id", VEC2.dot(a, b).alias("dot2"), cross2(a, b).alias("cross2"), VEC3.dot(c, d).alias("dot3"), cross3(c, d)["z"].alias("cross_z"), VEC2.add(a, b)["x"].alias("sum_x"))
 
 
+#: Events of which some texts are cut off and some name a key twice.
+CORRUPT = """case when event_id % 5 = 0 then left(props, length(props) - 1) when event_id % 7 = 0 then concat('{"k":1,', substring(props, 2)) else props end"""
+
+
+def _corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.expr(CORRUPT).alias("props"))
+
+
+def corrupt_json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where corrupt texts go: the quarantine, whatever the schema asks."""
+    good, bad = Validator({"properties": {"k": {"minimum": 0}}}).split(_corrupt(spark, sf_dir), "props")
+    return good.select("event_id", F.lit(True).alias("valid")).union(bad.select("event_id", F.lit(False)))
+
+
+def corrupt_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records of corrupt texts say."""
+    told = Validator({"type": "object"}).with_errors(_corrupt(spark, sf_dir), "props")
+    return told.select("event_id", F.inline("errors")).select("event_id", "keyword", "schema_path", "data_path")
+
+
+def corrupt_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Validator(True).report(_corrupt(spark, sf_dir), "props", "event_type")
+
+
+#: A document with an object, a list and a map for records below all keywords.
+NESTED_ORDER = """to_json(named_struct('price', o_totalprice, 'codes', array(o_orderkey % 4, o_orderkey % 3, 7), 'tags', map('a', o_orderstatus, concat('b', o_orderkey % 2), 'x')))"""
+DEEP_RULES = {
+    "properties": {"codes": {"items": {"maximum": 2}}, "price": {"anyOf": [{"minimum": 300000}, {"multipleOf": 2}]}, "tags": {"additionalProperties": {"enum": ["O", "x"]}, "propertyNames": {"pattern": "^(a|b0)$"}}},
+    "not": {"required": ["none"]},
+}
+
+
+def error_records_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records below items, anyOf, additionalProperties and propertyNames, with the places in the documents."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr(NESTED_ORDER).alias("document"))
+    told = Validator(DEEP_RULES).with_errors(orders, "document")
+    return told.select("o_orderkey", F.inline("errors")).select("o_orderkey", "keyword", "schema_path", "data_path")
+
+
+def typed_error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records over typed columns."""
+    told = Validator({"properties": {"quantity": {"maximum": 45}, "flag": {"enum": ["A", "N"]}}}).with_errors(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), LINE)
+    return told.select("l_orderkey", "l_linenumber", "l_partkey", F.inline("errors")).select("l_orderkey", "l_linenumber", "l_partkey", "keyword", "data_path", "value")
+
+
+SOUND_LINE = {"required": ["l_quantity"], "properties": {"l_quantity": {"minimum": 10, "exclusiveMaximum": 40}, "l_returnflag": {"const": "N"}}}
+
+
+def typed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows as documents: the valid ones; the comparisons reach the scan."""
+    return Validator(SOUND_LINE).filter(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+def typed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Validator(SOUND_LINE).report(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), None, "l_returnflag")
+
+
 def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the quarantine: those that the flagship schema rejects."""
     return Validator(EVENT).split(spark.read.parquet(f"{sf_dir}/events.parquet"), "props")[1].select("event_id", "event_type")
@@ -212,7 +304,7 @@ def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each keyword that an event fails."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", F.inline(Validator(EVENT).errors(F.col("props"))))
+    return Validator(EVENT).with_errors(events, "props").select("event_id", F.inline("errors"))
 
 
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,15 +351,16 @@ def punycode_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "error_report": error_report, "f64_scalars": f64_scalars, "f64_ranges": f64_ranges, "i32_scalars": i32_scalars, "vec_products": vec_products, "vec_operations": vec_operations, "scalar_helpers": scalar_helpers, "punycode_hosts": punycode_hosts} | {name: _run(case) for name, case in CASES.items()}
+    made = (corrupt_json_split, corrupt_json_records, corrupt_json_report, error_records_nested, typed_error_records, typed_filter, typed_report)
+    return {f.__name__: f for f in made} | {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "error_report": error_report, "f64_scalars": f64_scalars, "f64_ranges": f64_ranges, "i32_scalars": i32_scalars, "vec_products": vec_products, "vec_operations": vec_operations, "scalar_helpers": scalar_helpers, "punycode_hosts": punycode_hosts} | {name: _run(case) for name, case in CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     good = f"{K} = floor({K}) AND {K} BETWEEN 0 AND 49"
     e = [f"embedding[{k + 1}]::double" for k in range(6)]
     tests = (("type", '"integer"', f"{K} <> floor({K})"), ("minimum", "0", f"{K} < 0"), ("maximum", "49", f"{K} > 49"))
-    failed = (f"SELECT event_id, '{key}' AS keyword, '{expected}' AS expected, '#/properties/k/{key}' AS schema_path, props->>'$.k' AS value FROM events WHERE {test}" for key, expected, test in tests)
-    missing = "SELECT event_id, 'required', '[\"k\"]', '#/required', props FROM events WHERE json_extract(props, '$.k') IS NULL"
+    failed = (f"SELECT event_id, '{key}' AS keyword, '{expected}' AS expected, '#/properties/k/{key}' AS schema_path, '/k' AS data_path, props->>'$.k' AS value FROM events WHERE {test}" for key, expected, test in tests)
+    missing = "SELECT event_id, 'required', '[\"k\"]', '#/required', '', props FROM events WHERE json_extract(props, '$.k') IS NULL"
     records = " UNION ALL ".join((*failed, missing))
     wrap = "((({0}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648".format
     part = f"({wrap('l_partkey::hugeint * 100003')})::double"
@@ -277,7 +370,24 @@ def oracle_sql() -> dict[str, str]:
     while len(fibonacci) < 50:
         fibonacci.append((fibonacci[-1] + fibonacci[-2] + 2**31) % 2**32 - 2**31)
     line = "SELECT l_orderkey, l_linenumber, l_partkey,"
+    corrupt = "event_id % 5 = 0 OR event_id % 7 = 0"
+    codes = " UNION ALL ".join(f"SELECT o_orderkey, 'maximum', '#/properties/codes/items/maximum', '/codes/{k}' FROM orders WHERE {test}" for k, test in enumerate(("o_orderkey % 4 > 2", "false", "true")))
+    dear = "o_totalprice >= 300000 OR o_totalprice % 2 = 0"
+    nested = f"""SELECT o_orderkey, 'anyOf' AS keyword, '#/properties/price/anyOf' AS schema_path, '/price' AS data_path FROM orders WHERE NOT ({dear})
+        UNION ALL SELECT o_orderkey, 'minimum', '#/properties/price/anyOf/0/minimum', '/price' FROM orders WHERE NOT ({dear})
+        UNION ALL SELECT o_orderkey, 'multipleOf', '#/properties/price/anyOf/1/multipleOf', '/price' FROM orders WHERE NOT ({dear})
+        UNION ALL {codes}
+        UNION ALL SELECT o_orderkey, 'enum', '#/properties/tags/additionalProperties/enum', '/tags/a' FROM orders WHERE o_orderstatus <> 'O'
+        UNION ALL SELECT o_orderkey, 'pattern', '#/properties/tags/propertyNames/pattern', '/tags/b1' FROM orders WHERE o_orderkey % 2 = 1"""
+    sound = "l_quantity >= 10 AND l_quantity < 40 AND l_returnflag = 'N'"
     return {
+        "corrupt_json_split": f"SELECT event_id, NOT ({corrupt}) AND {K} >= 0 AS valid FROM events",
+        "corrupt_json_records": f"SELECT event_id, 'parse' AS keyword, '#' AS schema_path, '' AS data_path FROM events WHERE {corrupt}",
+        "corrupt_json_report": f"SELECT event_type, count(*) AS n, count(*) FILTER (NOT ({corrupt})) AS n_valid FROM events GROUP BY event_type",
+        "error_records_nested": nested,
+        "typed_error_records": "SELECT l_orderkey, l_linenumber, l_partkey, 'maximum' AS keyword, '/quantity' AS data_path, l_quantity::varchar AS value FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'enum', '/flag', '\"' || l_returnflag || '\"' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')",
+        "typed_filter": f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE {sound}",
+        "typed_report": f"SELECT l_returnflag, count(*) AS n, count(*) FILTER ({sound}) AS n_valid FROM lineitem GROUP BY l_returnflag",
         "error_records": records,
         "error_report": f"SELECT schema_path, count(*) AS n FROM ({records}) GROUP BY schema_path",
         "f64_ranges": f"{line} l_linenumber * 6 >= l_quantity AND l_quantity + 5 >= 0 AS meets, l_quantity <= 19 AND l_quantity + 3 >= 10 AND l_linenumber <= 5 AND l_linenumber + 1 >= 2 AS rects, gcd(l_quantity::bigint, l_linenumber::bigint * 6)::double AS gcd, 2 * (l_quantity + l_linenumber) AS lerp, l_linenumber + l_quantity * 2 AS lerp_fixed, CASE WHEN {r} < 0 THEN {4 / pi!r} * {r} + {4 / pi**2!r} * {r} * {r} ELSE {4 / pi!r} * {r} - {4 / pi**2!r} * {r} * {r} END AS sine FROM lineitem",

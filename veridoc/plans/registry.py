@@ -18,11 +18,16 @@ class SchemaError(ValueError):
     """The schema can't be compiled."""
 
 
+class BigInt(int):
+    """A whole number in a schema that bounds bigints, and those alone."""
+
+
 class Registry:
     """Schema documents by id and anchor, and references resolved against them."""
 
     def __init__(self, root: Any, others: dict[str, Any] | None = None) -> None:
         self.root, self.ids = root, {}
+        self.dynamic: dict[tuple[str, str], Any] = {}
         for uri, document in {**(others or {}), "": root}.items():
             self._crawl(document, uri.rstrip("#"))
 
@@ -31,8 +36,11 @@ class Registry:
             if isinstance(node.get("$id"), str):
                 base = urljoin(base, node["$id"]).rstrip("#")
             self.ids.setdefault(base, node)
-            if isinstance(node.get("$anchor"), str):
-                self.ids[f"{base}#{node['$anchor']}"] = node
+            for keyword in ("$anchor", "$dynamicAnchor"):
+                if isinstance(node.get(keyword), str):
+                    self.ids[f"{base}#{node[keyword]}"] = node
+            if isinstance(node.get("$dynamicAnchor"), str):
+                self.dynamic[base, node["$dynamicAnchor"]] = node
             for key, value in node.items():
                 if key not in ("enum", "const", "default", "examples"):
                     self._crawl(value, base)
@@ -70,14 +78,14 @@ def pointer(*parts: str | int) -> str:
 
 
 def is_number(x: Any) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool)
+    return isinstance(x, (int, float)) and not isinstance(x, (bool, BigInt))
 
 
-def numberish(x: Any, spec: bool = False) -> float | None:
+def numberish(x: Any, spec: bool = False) -> int | float | None:
     """A keyword's value as a number: by the engine's rules null is 0, false 0, "5" is 5; in spec mode numbers only."""
     if is_number(x):
-        return float(x)
-    if spec:
+        return x
+    if spec or isinstance(x, BigInt):
         return None
     if x is None:
         return 0.0
@@ -128,6 +136,14 @@ def bounds(schema: dict, name: str, exclusive: str, spec: bool) -> list[tuple[fl
     return out + [(bound, False)] if bound is not None and (spec or strict is None) else out
 
 
+def big_bounds(schema: dict, name: str, exclusive: str) -> list[tuple[int, bool]]:
+    """The same of bounds on bigints."""
+    bound, strict = schema.get(name), schema.get(exclusive)
+    if strict is True or isinstance(strict, BigInt):
+        return [(int(bound if strict is True else strict), True)] if isinstance(strict, BigInt) or isinstance(bound, BigInt) else []
+    return [(int(bound), False)] if isinstance(bound, BigInt) else []
+
+
 def limit(schema: dict, name: str, spec: bool) -> int | None:
     """A size keyword; by the engine's rules one below 1 is ignored."""
     n = numberish(schema.get(name, _ABSENT), spec)
