@@ -135,13 +135,8 @@ def test_registered_query_matches_sql(spark, name):
         assert np.allclose(a[c], b[c], rtol=1e-12, atol=1e-12, equal_nan=True) if a[c].dtype.kind == "f" else a[c].tolist() == b[c].tolist()
 
 
-def test_entry_has_sql_for_engine_queries():
-    assert registered.queries().keys() - registered.oracle_sql().keys() == {"punycode_hosts"}
-
-
-def test_punycode_query_gives_texts_back(spark):
-    out = registered.queries()["punycode_hosts"](spark, SF)
-    assert out.where("again <=> host and ascii like 'xn--bcher-kva.x%'").count() == out.count() > 0
+def test_every_query_of_the_engine_has_sql():
+    assert registered.queries().keys() == registered.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("schema,good,bad", VERDICTS, ids=lambda x: json.dumps(x)[:60] if isinstance(x, (dict, bool)) else "")
@@ -193,3 +188,95 @@ def test_errors_below_all_of_and_conditions(spark):
     df = spark.createDataFrame([("-1",), ("4",), (None,)], "doc string")
     found = df.select(F.inline(v.errors(F.col("doc")))).collect()
     assert sorted(r.schema_path for r in found) == ["#/allOf/0/minimum", "#/then/multipleOf"]
+
+
+RULES = [
+    {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "string"], "minimum": 2, "pattern": "^x"}, "b": {"items": {"maximum": 3}, "minItems": 1}}, "patternProperties": {"^p": {"format": "date"}}, "additionalProperties": {"enum": [1, "y"]}},
+    {"anyOf": [{"required": ["a"]}, {"properties": {"b": {"contains": {"const": 2}}}, "required": ["b"]}], "oneOf": [{"minProperties": 2}, {"maxProperties": 1}], "not": {"required": ["z"]}},
+    {"if": {"required": ["a"]}, "then": {"dependentRequired": {"a": ["b"]}, "propertyNames": {"maxLength": 2}}, "else": {"dependentSchemas": {"b": {"properties": {"b": {"uniqueItems": True}}}}}},
+    {"properties": {"b": {"prefixItems": [{"type": "integer"}, {"type": "string"}], "items": {"multipleOf": 2}}, "n": {"$ref": "#"}}, "unevaluatedProperties": {"type": ["integer", "array", "object"]}},
+]
+DOCUMENTS = [
+    *({}, {"a": 1}, {"a": "xy", "b": []}, {"a": 5, "b": [1, 4]}, {"b": [1, "s", 3]}, {"b": [2, "s", 4], "z": 1}, {"p1": "2024-01-01", "a": "q"}, {"p1": "no", "a": 3, "other": 7}),
+    *({"n": {"n": {"n": {"b": ["x"]}}}, "a": 2}, {"b": [1, 1]}, {"abc": 1, "a": 9}, [1], "text", 5, None, {"b": {"a": 1}}),
+]
+
+
+@pytest.mark.parametrize("mode", ["compat", "spec"])
+@pytest.mark.parametrize("rules", range(len(RULES)))
+def test_all_ways_of_judging_agree(spark, rules, mode):
+    """Verdicts and records of one schema as an expression, and with so many more nodes that it is judged over parsed documents."""
+    schema = RULES[rules]
+    wide = schema | {"$defs": {"all": {f"k{k}": {"type": "null"} for k in range(3100)}}, "allOf": [{"properties": {"none": {"properties": {f"k{k}": {"type": "null"} for k in range(3100)}}}}]}
+    texts = [json.dumps(d) for d in DOCUMENTS] + ["{bad", '{"a": 1, "a": 2}', ""]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "k int, doc string")
+    narrow, broad = Validator(schema, mode=mode), Validator(wide, mode=mode)
+    assert broad.rules.shape()[0] and not narrow.rules.shape()[0]
+    told = lambda v: sorted((r.k, r.ok, sorted(map(tuple, r.found), key=str)) for r in df.select("k", v.valid(F.col("doc")).alias("ok"), v.errors(F.col("doc")).alias("found")).collect())
+    a, b = told(narrow), told(broad)
+    assert a == b
+    assert all(ok == (not found) for _, ok, found in a)
+    assert [r[1] for r in a[len(DOCUMENTS) : -1]] == [False] * 3
+    good, bad = narrow.split(df, "doc")
+    assert good.count() == sum(ok for _, ok, _ in a) and bad.count() == sum(not ok for _, ok, _ in a)
+    marked = {r.k: r.valid for r in narrow.mark(df, "doc").collect()}
+    assert marked == {k: ok for k, ok, _ in a}
+
+
+def test_typed_columns_are_judged_as_their_json(spark):
+    rows = [(k, None if k % 4 == 0 else k / 2, "xyz"[: k % 4], [k, None][: k % 3], {"a": k % 3, "bb": None}, (k, "s")) for k in range(24)]
+    df = spark.createDataFrame(rows, "n long, d double, s string, l array<int>, m map<string,int>, o struct<i:int,t:string>")
+    rules = [
+        {"properties": {"d": {"type": "integer"}, "n": {"minimum": 3, "exclusiveMaximum": 20}}},
+        {"properties": {"l": {"items": {"type": "integer"}, "maxItems": 1}}},
+        {"required": ["d"], "properties": {"s": {"minLength": 1, "pattern": "^xy?$"}}},
+        {"properties": {"m": {"additionalProperties": {"type": ["integer", "null"], "maximum": 1}, "propertyNames": {"maxLength": 2}}}},
+        {"properties": {"o": {"properties": {"i": {"multipleOf": 3}}, "additionalProperties": False}}},
+        {"additionalProperties": {"type": ["number", "string", "array", "object"]}, "minProperties": 6},
+        {"properties": {"o": {"const": {"t": "s", "i": 4}}, "l": {"enum": [[], [1, None]]}}},
+    ]
+    for schema in rules:
+        v = Validator(schema)
+        text = df.withColumn("text", F.to_json(F.struct(*df.columns)))
+        a = [r[0] for r in v.mark(df, None).select("valid").collect()]
+        assert a == [r[0] for r in v.mark(text, "text").select("valid").collect()]
+        assert a == [r[0] == 0 for r in v.with_errors(df, None).select(F.size("errors")).collect()]
+        assert v.filter(df).count() == sum(a)
+    assert Validator({"properties": {"n": {"type": "number"}}}).mark(df, None)._jdf.queryExecution().optimizedPlan().toString().count("isnull") == 0
+
+
+def test_plans_parse_once_and_reach_the_scan(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    v = Validator(registered.EVENT)
+    for df in (v.mark(events, "props"), v.report(events, "props", "event_type"), v.filter(events, "props")):
+        assert plan(df).count("parseJson(") <= 2  # once in the plan, and once more in the scan's list of filters
+    assert "GreaterThanOrEqual(l_quantity,10.0)" in plan(registered.queries()["typed_filter"](spark, SF))
+
+
+def test_references_that_lead_back_to_themselves_do_not_compile():
+    for schema in ({"$ref": "#"}, {"allOf": [{"$ref": "#/$defs/a"}], "$defs": {"a": {"anyOf": [{"$ref": "#"}]}}}):
+        with pytest.raises(SchemaError):
+            Rules(schema).shape()
+
+
+def test_meta_schemas_judge_schemas(spark):
+    from veridoc.plans.engine import Engine
+
+    for version, name in ((6, "http://json-schema.org/draft-06/schema#"), (7, "http://json-schema.org/draft-07/schema#"), (2019, "https://json-schema.org/draft/2019-09/schema"), (2020, "https://json-schema.org/draft/2020-12/schema")):
+        engine = Engine().add_draft(version)
+        good = {"$schema": name, "type": "object", "properties": {"a": {"minimum": 1, "pattern": "a+"}}, "required": ["a"]}
+        assert engine.validate_schema(good)
+        for bad in ({"type": "nothing"}, {"properties": {"a": {"minimum": "1"}}}, {"pattern": "("} if version < 2019 else {"pattern": 5}, {"not": {"allOf": []}}):
+            assert not engine.validate_schema({"$schema": name, **bad})
+    assert not Engine().add_draft(6).validate_schema({"enum": []}) and not Engine().add_draft(6).validate_schema({"enum": [1, 1]})
+
+
+def test_quarantine_of_a_stream(spark, tmp_path):
+    from veridoc.streaming.validate import quarantine
+
+    spark.createDataFrame([('{"k": 1}',), ('{"k": 99}',), ("{bad",)], "props string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("props string").parquet(str(tmp_path / "in"))
+    quarantine(stream, "props", Validator(registered.EVENT), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "point")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 1
+    assert sorted(r.errors[0].keyword for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["maximum", "parse"]

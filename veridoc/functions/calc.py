@@ -99,6 +99,11 @@ class F64:
     cos_mp = staticmethod(lambda r: F64.sin_mp(r + math.pi / 2))
     random = staticmethod(F.rand)
 
+    @staticmethod
+    def cos_hp(r: Column) -> Column:
+        """Declared, and not to be had: there is no formula for it."""
+        raise NotImplementedError("cos_hp has no formula")
+
     @staticmethod
     def sin_mp_ex(r: Column) -> Column:
         s = F64.sin_lp_ex(r)

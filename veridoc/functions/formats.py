@@ -72,6 +72,11 @@ PATTERNS: dict[str, str] = {
     "isbn13": r"(?i)ISBN(?:-13)?:? *97[89]([ -]?)(?=\d{1,5}\1?\d{1,7}\1?\d{1,6}\1?\d)(?:\d\1*){9}\d",
     "base64": r"(?:[a-zA-Z0-9+/]{4})*+(?:|[a-zA-Z0-9+/]{3}=|[a-zA-Z0-9+/]{2}==|[a-zA-Z0-9+/]===)",
 }
+#: A web address with a public host: user, an address outside the private ranges or a name with a top domain, port, path.
+_NO_SPACE, _NAME = rf"[^{SPACE}\x0B]", r"[a-z0-9\u00A1-\uFFFF]"
+_PUBLIC = r"(?!(?:10|127)(?:\.\d{1,3}){3})(?!(?:169\.254|192\.168)(?:\.\d{1,3}){2})(?!172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})(?:[1-9]\d?|1\d\d|2[01]\d|22[0-3])(?:\.(?:1?\d{1,2}|2[0-4]\d|25[0-5])){2}\.(?:[1-9]\d?|1\d\d|2[0-4]\d|25[0-4])"
+_LABELS = rf"{_NAME}++(?:-{_NAME}++)*+"
+URL_FULL = rf"(?i)(?:https?|ftp)://(?:{_NO_SPACE}+(?::{_NO_SPACE}*)?@)?(?:{_PUBLIC}|{_LABELS}(?:\.{_LABELS})*?\.[a-z\u00A1-\uFFFF]{{2,}})(?::\d{{2,5}})?(?:/{_NO_SPACE}*)?"
 #: Found anywhere from the start on, not over the whole string; an IBAN has to be followed by a dollar sign.
 IBAN = r"(?i)\A[A-Z]{2}[ '+\\-]?[0-9]{2}(?=(?:[ '+\\-]?[A-Z0-9]){9,30}\$)(?:[ '+\\-]?[A-Z0-9]{3,5}){2,7}(?:[ '+\\-]?[A-Z0-9]{1,3})?\$"
 #: A host name in its ASCII form; at least one dot.
@@ -120,6 +125,11 @@ def countries() -> list[str]:
     return sorted({"XK", *context._jvm.java.util.Locale.getISOCountries()})
 
 
+def is_url_full(s: Column) -> Column:
+    """A whole address with a public host."""
+    return whole(s, URL_FULL)
+
+
 def is_country(s: Column) -> Column:
     """Starts with a two-letter country code, in any case."""
     return F.coalesce(F.upper(F.substring(s, 1, 2)).isin(*countries()), F.lit(False))

@@ -46,6 +46,29 @@ def is_boolish(v: Column) -> Column:
     return (_tag(v) == "BOOLEAN") | (_tag(v) == "STRING") & F.coalesce(F.try_variant_get(v, "$", "string").isin("true", "false"), F.lit(False))
 
 
+def boolish(v: Column) -> Column:
+    """The value where it is boolish, as it is (a text stays one); null else."""
+    return F.when(is_boolish(v), v)
+
+
+def intish(v: Column) -> Column:
+    """The whole number that the value counts as; null else."""
+    return F.when(is_intish(v), js_number(v))
+
+
+def whole_number(x: Column) -> Column:
+    """A bigint: a DECIMAL without fraction; null for fractions."""
+    return F.when(x % 1 == 0, x.cast("decimal(38,0)"))
+
+
+def value_of(v: Column, kind: str) -> Column:
+    """The value if it is of the JSON type (string, boolean, number, integer, object, array), null else."""
+    tests = {"string": _tag(v) == "STRING", "boolean": _tag(v) == "BOOLEAN", "object": _tag(v).startswith("OBJECT"), "array": _tag(v).startswith("ARRAY")}
+    number = _tag(v).rlike(r"\A(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    tests |= {"number": number, "integer": number & F.coalesce(F.try_variant_get(v, "$", "double") % 1 == 0, F.lit(False))}
+    return F.when(tests[kind], v)
+
+
 def is_scalar(v: Column) -> Column:
     return _tag(v).rlike(r"\A(STRING|BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT)")
 

@@ -9,8 +9,9 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions import punycode, scalars
+from veridoc.functions import scalars
 from veridoc.functions.calc import F64, I32, VEC2, VEC2I, VEC3, cross2, cross3, i32
+from veridoc.plans import catalog
 from veridoc.plans.drafts import by_version
 from veridoc.plans.registry import BigInt
 from veridoc.plans.schema import Validator
@@ -343,16 +344,9 @@ def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", k.alias("k"), scalars.is_intish(v).alias("whole"), scalars.is_valid_int(k, 8).alias("int8"), scalars.is_leap_year(F.year("ts")).alias("leap"), scalars.is_unique(F.array(k, F.lit(1.0))).alias("distinct_one"))
 
 
-def punycode_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host names to their ASCII form and back."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr("concat('b\u00fccher.x', o_orderkey, '.example')").alias("host"))
-    coded = orders.withColumn("ascii", punycode.to_ascii(F.col("host")))
-    return coded.withColumn("again", punycode.to_unicode(F.col("ascii")))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (corrupt_json_split, corrupt_json_records, corrupt_json_report, error_records_nested, typed_error_records, typed_filter, typed_report)
-    return {f.__name__: f for f in made} | {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "error_report": error_report, "f64_scalars": f64_scalars, "f64_ranges": f64_ranges, "i32_scalars": i32_scalars, "vec_products": vec_products, "vec_operations": vec_operations, "scalar_helpers": scalar_helpers, "punycode_hosts": punycode_hosts} | {name: _run(case) for name, case in CASES.items()}
+    return {f.__name__: f for f in made} | {"quality_by_group": flagship, "quarantine_split": quarantine_split, "error_records": error_records, "error_report": error_report, "f64_scalars": f64_scalars, "f64_ranges": f64_ranges, "i32_scalars": i32_scalars, "vec_products": vec_products, "vec_operations": vec_operations, "scalar_helpers": scalar_helpers} | {name: _run(case) for name, case in CASES.items()} | catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -398,4 +392,4 @@ def oracle_sql() -> dict[str, str]:
         "quarantine_split": f"SELECT event_id, event_type FROM events WHERE NOT coalesce({good}, false)",
         "f64_scalars": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * l_quantity - l_tax * l_discount AS \"cross\", l_quantity * l_quantity + l_tax * l_tax AS mag2, (l_quantity - 1) / 49 AS norm, greatest(10.0, least(l_quantity, 30.0)) AS clamp, l_quantity BETWEEN 5 AND 9 AS inside FROM lineitem",
         "vec_products": f"SELECT vec_id, 0.0::double + {e[0]} * {e[2]} + {e[1]} * {e[3]} AS dot2, {e[0]} * {e[3]} - {e[1]} * {e[2]} AS cross2, 0.0::double + {e[0]} * {e[3]} + {e[1]} * {e[4]} + {e[2]} * {e[5]} AS dot3, {e[0]} * {e[4]} - {e[1]} * {e[3]} AS cross_z, {e[0]} + {e[2]} AS sum_x FROM embeddings",
-    } | {name: f"SELECT {case.key}, coalesce({case.sql}, true) AS valid FROM {case.table}" for name, case in CASES.items()}
+    } | {name: f"SELECT {case.key}, coalesce({case.sql}, true) AS valid FROM {case.table}" for name, case in CASES.items()} | catalog.oracle_sql()

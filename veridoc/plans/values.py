@@ -381,7 +381,8 @@ class Measured:
     def item_records(self, found: Any, at: Any, judge: Callable[[Any, Any, Any], Any], start: int = 0) -> None:
         judge(self, self.missing, None)
 
-    entry_records = item_records
+    def entry_records(self, found: Any, at: Any, judge: Callable[[Any, Any, Any], Any]) -> None:
+        judge(self, self, None)
 
     @staticmethod
     def root() -> None:
