@@ -243,15 +243,22 @@ def _observed(truth: np.ndarray, lengths: np.ndarray, labels: int) -> np.ndarray
 
 
 def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, training) -> list[tuple[str, str]]:
-    """The bounded sample: rows of every language under the condition `training` with a language and a text."""
-    h = F.xxhash64(F.col(id_col))
-    where = F.lit(1) + F.pmod(F.shiftright(h, 8), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)).cast("int")
+    """The bounded sample: rows of every language under the condition `training` with a language and a text.
+
+    Those of the least hashes of id and text. Rows beyond a hash that some four times as many reach are left out before the shuffle,
+    by each language's count (broadcast: a row for each language, of which the model holds 1 MB), so that no task gets more than a few
+    times the sample of its languages; repeated rows count once.
+    """
     labelled = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    languages = labelled.agg(F.count_distinct(lang_col)).first()[0]
-    most = min(SAMPLE_ROWS, max(1, ALL_ROWS // max(1, languages)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "window"))
-    windows = labelled.select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).substr(where, F.lit(SAMPLE_CHARS)).alias("window"))
-    top = windows.withColumn("rank", rank).where(F.col("rank") <= most)
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    most = min(SAMPLE_ROWS, max(1, ALL_ROWS // max(1, counts.count())))
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
+    where = F.lit(1) + F.pmod(F.shiftright(h, 8), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS)).cast("int")
+    hashed = labelled.select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).substr(where, F.lit(SAMPLE_CHARS)).alias("window"))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(4.0 * most + 40) / F.col("n")).alias("share"))
+    near = hashed.join(F.broadcast(share), "lang").where(F.col("h") <= F.lit(-(2.0**63)) + F.col("share") * 2.0**64).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    top = near.withColumn("rank", rank).where(F.col("rank") <= most)
     return [(r["lang"], r["window"]) for r in top.orderBy("lang", "rank").select("lang", "window").collect()]
 
 
