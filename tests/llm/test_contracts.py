@@ -266,3 +266,13 @@ def test_stages_on_odd_tables(spark, tmp_path, name):
 def test_a_column_may_be_named_like_the_text(spark):
     df = spark.createDataFrame([(1, "a", "q"), (2, "a ", "q")], "doc_id long, text string, __text string")
     assert exact_dedup.drop_exact_duplicates(df).count() == 1
+
+
+def test_long_strings_of_one_polynomial_differ():
+    """Thue-Morse strings and their complements, which agree under every polynomial modulo 2^64."""
+    a = b"a"
+    for _ in range(12):
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(a + b" " + a.translate(bytes.maketrans(b"ab", b"ba")) + b" " + a, np.uint8)
+    first, other, again = Texts(data, np.array([0, len(data)])).words().tolist()
+    assert first == again != other

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,24 @@ from pyspark.sql import types as T
 #: Heaviest keys that a skewed join broadcasts. After them, no key holds more than 1/1000 of the rows.
 HOT_KEYS = 1000
 
-#: Tables that this driver has staged, in order.
-STAGED: list[str] = []
+#: Where a thread notes the tables that it stages, if anybody asks.
+_noted = threading.local()
+
+
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """The paths of the tables that this thread stages meanwhile."""
+    before, paths = getattr(_noted, "paths", None), []
+    _noted.paths = paths
+    try:
+        yield paths
+    finally:
+        _noted.paths = before
+
+
+def _note(path: str) -> None:
+    if getattr(_noted, "paths", None) is not None:
+        _noted.paths.append(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +63,7 @@ def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: columnar, so that later passes read only what they need."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    STAGED.append(path)
+    _note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,7 +73,7 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     name, tasks = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     df.repartition(tasks, column).write.bucketBy(tasks, column).option("path", path).option("compression", "zstd").saveAsTable(name)
-    STAGED.append(path)
+    _note(path)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows them by now
     return out
