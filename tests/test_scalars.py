@@ -65,7 +65,7 @@ def test_punycode(spark):
     assert one(spark, punycode.decode(L("ü")), F.size(punycode.code_points(L("a\U0001f600\n")))) == (None, 3)
 
 
-def test_drafts_judge_schemas():
+def test_drafts_judge_schemas(spark):
     engine = Engine()
     assert engine.validate_schema({"type": 5})
     for version in (6, 7):
@@ -75,7 +75,8 @@ def test_drafts_judge_schemas():
     assert not engine.validate_schema({"$schema": drafts.IDS[7] + "#", "if": 5})
     assert engine.validate_schema({"if": 5})
     assert not engine.validate_schema({"$schema": "http://x.example/none"})
-    assert all(engine.validate_schema({**drafts.by_version(v)[1]}) for v in (6, 7))
+    assert all(engine.validate_schema(drafts.by_version(v)[1][0]) for v in (6, 7))
+    assert all(Engine().add_draft(v).validate_schema(d) for v in (2019, 2020) for d in drafts.by_version(v)[1])
     assert drafts.by_name("draft-07") == drafts.by_id(drafts.IDS[7].upper()) == drafts.by_version(7)
     for call in (lambda: drafts.by_version(5), lambda: drafts.by_name("x"), lambda: drafts.by_id("x")):
         with pytest.raises(SchemaError):

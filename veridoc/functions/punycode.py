@@ -16,6 +16,12 @@ from pyspark.sql.types import StringType
 #: Dots that separate labels (RFC 3490), and the prefix of coded labels.
 DOTS = r"[.\u3002\uFF0E\uFF61]"
 PREFIX = "xn--"
+#: What can be wrong with a text; such texts give null.
+ERRORS = {
+    "overflow": "Overflow: input needs wider integers to process",
+    "not-basic": "Illegal input >= 0x80 (not a basic code point)",
+    "invalid-input": "Invalid input",
+}
 
 
 def encode_text(s: str) -> str:

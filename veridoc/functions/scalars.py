@@ -9,10 +9,11 @@ from veridoc.functions.formats import FLOATS, INTEGERS, SPACE, in_range
 
 INF = float("inf")
 # Smallest normal number, distance from 1 to the next, exponent bits and fraction bits of each width.
-FLOAT_MIN = {16: 2.0**-14, 32: 2.0**-126, 64: 2.0**-1022}
-FLOAT_EPS = {16: 2.0**-10, 32: 2.0**-23, 64: 2.0**-52}
+# Of 128 bits only the widths are known; the other three are 0.
+FLOAT_MIN = {16: 2.0**-14, 32: 2.0**-126, 64: 2.0**-1022, 128: 0.0}
+FLOAT_EPS = {16: 2.0**-10, 32: 2.0**-23, 64: 2.0**-52, 128: 0.0}
 FLOAT_BITS = {16: (5, 10), 32: (8, 23), 64: (11, 52), 128: (15, 112)}
-FLOAT_MAX = {16: FLOATS["float16"], 32: FLOATS["float32"], 64: FLOATS["float64"]}
+FLOAT_MAX = {16: FLOATS["float16"], 32: FLOATS["float32"], 64: FLOATS["float64"], 128: 0.0}
 _SPACE = rf"[{SPACE}\x0B]"
 TICKS_SECOND, TICKS_HOUR, TICKS_DAY = 1_000, 3_600_000, 86_400_000
 
