@@ -30,7 +30,7 @@ ROW_BYTES = 8
 #: What a splitter may be off, as a share of a shard's bytes, to fall between two groups.
 TOLERANCE = 0.01
 #: Bytes of a cell, about, and cells of all shards at most (their row counts are broadcast: 1.6 MB).
-CELL, MOST_CELLS = 64 << 20, 100_000
+CELL, MOST_CELLS = 8 << 20, 100_000
 
 Key = tuple[int, int, int]
 #: Each part of a key is a signed 64-bit value.
