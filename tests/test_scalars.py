@@ -95,6 +95,19 @@ def test_engine_registers_schemas_and_formats(spark):
             call()
 
 
+def test_engine_of_options(spark):
+    from veridoc.plans.engine import ValidationOptions, ValidatorOptions
+
+    options = ValidatorOptions(formats={"even": lambda c: F.try_variant_get(c, "$", "long") % 2 == 0}, schemas=({"$id": "http://x.example/a", "minimum": 1},), validation=ValidationOptions(skip_errors=False))
+    df = spark.createDataFrame([("2",), ("3",), ("0",)], "d string")
+    rows = Engine.of(options).mark(df, {"$ref": "http://x.example/a", "format": "even"}, "d").collect()
+    assert [(r.valid, [e.keyword for e in r.errors]) for r in rows] == [(True, []), (False, ["format"]), (False, ["minimum"])]
+    timed = Engine.of(options).compile({"minimum": 1}).with_errors(df, "d", timed=True).where("d = '0'").first()
+    assert timed.errors[0].time is not None
+    with pytest.raises(NotImplementedError):
+        Engine().compile_async({})
+
+
 def test_pointers_and_references():
     assert pointer("a/b", "~1", 0) == "/a~1b/~01/0" and pointer_parts("/a~1b/~01/0") == ["a/b", "~1", "0"]
     inner = {"$id": "sub/", "$defs": {"x": {"$id": "x.json", "type": "integer"}}}

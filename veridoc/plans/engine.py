@@ -3,25 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
 from veridoc.plans.drafts import IDS, by_version
+from veridoc.plans.pointers import TraverseOptions
 from veridoc.plans.registry import SchemaError
 from veridoc.plans.schema import Rules, Validator, judge_document
 
 
+class ValidationOptions(NamedTuple):
+    """skip_errors: records are made only where they are asked for. Without it `Engine.mark` adds them to every table."""
+
+    skip_errors: bool = True
+
+
+class ValidatorOptions(NamedTuple):
+    """What an engine starts with."""
+
+    formats: dict[str, Callable[[Column], Column]] = {}
+    schemas: tuple[Any, ...] = ()
+    validation: ValidationOptions = ValidationOptions()
+    traverse: TraverseOptions = TraverseOptions()
+    mode: str = "compat"
+
+
 class Engine:
     """Registered schemas, meta-schemas and formats. Ids are compared without a trailing `#`."""
 
     def __init__(self, schemas: list[Any] | None = None, formats: dict[str, Callable[[Column], Column]] | None = None, mode: str = "compat") -> None:
         self.schemas: dict[str, Any] = {}
         self.metas: dict[str, Any] = {}
-        self.formats, self.mode = dict(formats or {}), mode
+        self.formats, self.mode, self.validation = dict(formats or {}), mode, ValidationOptions()
         for schema in schemas or ():
             self.add_schema(schema)
 
+    @classmethod
+    def of(cls, options: ValidatorOptions) -> Engine:
+        out = cls(list(options.schemas), options.formats, options.mode)
+        out.validation = options.validation
+        return out
+
+    def mark(self, df: DataFrame, schema: Any, column: str | dict[str, str] | None = None) -> DataFrame:
+        """df with the verdict on each row, and with its records unless the options skip them."""
+        judge = self.compile(schema)
+        marked = judge.mark(df, column)
+        return marked if self.validation.skip_errors else judge.with_errors(marked, column if column is not None else {c: f"`{c}`" for c in df.columns})
+
+    def compile_async(self, schema: Any) -> Validator:
+        """Declared, and not to be had: a schema compiles at once."""
+        raise NotImplementedError("compile")
+
     def add_format(self, name: str, predicate: Callable[[Column], Column]) -> Engine:
         """A format as a predicate on a VARIANT Column."""
         return self.add_formats({name: predicate})

@@ -745,14 +745,18 @@ class Validator:
         judged = self._judged(df, name, "veridoc_valid").select(*by, "veridoc_valid")
         return judged.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("veridoc_valid").alias("n_valid"))
 
-    def with_errors(self, df: DataFrame, name: str | dict[str, str] | None = None, into: str = "errors") -> DataFrame:
-        """df with the records of each row."""
+    def with_errors(self, df: DataFrame, name: str | dict[str, str] | None = None, into: str = "errors", timed: bool = False) -> DataFrame:
+        """df with the records of each row; `timed` adds the time of the query (of the batch, on a stream) to each record."""
         if not isinstance(name, str):
-            return df.withColumn(into, self.rules.records(self._row(df, name)).all())
-        kind = df.schema[name].dataType
-        if isinstance(kind, T.StringType):
-            return df.withColumn(into, self.errors(F.col(name)))
-        return df.withColumn(into, self.errors_variant(F.col(name)) if isinstance(kind, T.VariantType) else self.errors_typed(F.col(name), kind))
+            found = self.rules.records(self._row(df, name)).all()
+        elif isinstance(kind := df.schema[name].dataType, T.StringType):
+            found = self.errors(F.col(name))
+        else:
+            found = self.errors_variant(F.col(name)) if isinstance(kind, T.VariantType) else self.errors_typed(F.col(name), kind)
+        if timed:
+            names = ("keyword", "expected", "schema_path", "data_path", "value")
+            found = F.transform(found, lambda e: F.struct(*(e[n].alias(n) for n in names), F.current_timestamp().alias("time")))
+        return df.withColumn(into, found)
 
 
 class _Row(Typed):
