@@ -14,7 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from veridoc.llm import exact_dedup, html_extract, language_id, lm_score, packing, quality, sharding, simhash, window_dedup
+from veridoc.llm import bpe, exact_dedup, html_extract, language_id, lm_score, packing, quality, sharding, simhash, window_dedup
 from veridoc.llm.words import Texts, mix
 
 SF = "/root/testdata/sf0.001"
@@ -276,3 +276,19 @@ def test_long_strings_of_one_polynomial_differ():
     data = np.frombuffer(a + b" " + a.translate(bytes.maketrans(b"ab", b"ba")) + b" " + a, np.uint8)
     first, other, again = Texts(data, np.array([0, len(data)])).words().tolist()
     assert first == again != other
+
+
+def test_documents_are_encoded_and_decoded(spark):
+    import tiktoken
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(1, None, "x"), (1, "", "x"), (None, "ä there 中\n", "x"), (3, "word " * 2000, "x"), (3, "word " * 2000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    coded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.byte_pairs(ranks, public_tokenizers.PATTERN).ranks, special_tokens={})
+    assert sorted(map(str, (r.ids for r in coded.collect()))) == sorted(str(library.encode_ordinary(t or "")) for _, t, _ in rows)
+    again = bpe.decode_documents(coded, ranks, public_tokenizers.PATTERN).collect()
+    assert sorted(bytes(r.data) for r in again) == sorted((t or "").encode() for _, t, _ in rows)
+    none = docs.where("false")
+    assert bpe.encode_documents(none, ranks, public_tokenizers.PATTERN).count() == 0 == bpe.decode_documents(coded.where("false"), ranks, public_tokenizers.PATTERN).count()
+    assert bytes(bpe.decode_documents(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), ranks, public_tokenizers.PATTERN).first().data) == b""

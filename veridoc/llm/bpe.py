@@ -163,7 +163,11 @@ def byte_pairs(path: str, pattern: str) -> BytePairs:
 
 
 def encode_documents(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int): the encoding of every whole text. A null text counts as empty and has no ids."""
+    """doc_id, ids (array of int): the encoding of every whole text, in one pass and without a shuffle.
+
+    A null text counts as empty and has no ids; texts may be of any length. Repeated rows each give a row, an empty table none; other
+    columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_pairs(ranks, pattern)
@@ -175,7 +179,11 @@ def encode_documents(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc
 
 
 def decode_documents(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, data (binary): the bytes of every list of ids. A null list decodes to nothing."""
+    """doc_id, data (binary): the bytes of every list of ids.
+
+    A null or empty list decodes to no bytes; an unknown or null id fails the query. Repeated rows each give a row, an empty table none;
+    other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_pairs(ranks, pattern)
