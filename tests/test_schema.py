@@ -39,6 +39,7 @@ VERDICTS = [
     ({"required": ["a"], "additionalProperties": {"type": "integer"}, "properties": {"a": {}}}, [{"a": "x", "b": 1}], [{"b": 1}, {"a": 1, "b": "x"}]),
     ({"patternProperties": {"^n": {"type": "integer"}}}, [{"n1": 1, "m": "x"}], [{"n1": "x"}]),
     ({"propertyNames": {"maxLength": 2}}, [{"ab": 1}, 5], [{"abc": 1}]),
+    ({"propertyNames": {"type": "map"}, "type": ["object", "set"]}, [{}], [{"a": 1}, [1]]),
     ({"dependencies": {"a": ["b"]}}, [{"b": 1}, {"a": 1, "b": 1}], [{"a": 1}]),
     ({"oneOf": [{"type": "integer"}, {"minimum": 2}]}, [1, 2.5], [3, 1.5]),
     ({"not": {"type": "integer"}}, ["a", None], [1]),

@@ -428,7 +428,9 @@ class Typed(OverColumns):
             if not fits["number"]:
                 return False
             return self._here() if isinstance(self.kind, T.IntegralType) else F.coalesce(self.whole(), F.lit(False))
-        return self._here() if fits[name] else False if name in fits else _never(name)
+        if name not in fits:
+            return _never(name)
+        return self._here() if fits[name] else False
 
     def fits(self, names: Iterable[str]) -> Truth:
         names = list(names)
