@@ -252,6 +252,8 @@ class Rules:
         return [], None if isinstance(items, list) else items, "", "items"
 
     def _arrays(self, schema: dict, v: Any, where: Where) -> Truth:
+        if (is_array := v.is_("array")) is False:
+            return True
         inside, tests = where.inside(), list(self._sizes(schema, v, "minItems", "maxItems", v.size))
         if schema.get("uniqueItems") is True:
             tests.append(lambda: v.unique(self.spec))
@@ -274,7 +276,7 @@ class Rules:
         left = schema.get("unevaluatedItems")
         if self.spec and isinstance(left, (dict, bool)) and left is not True:
             tests.append(lambda: v.all_items(lambda x, i: any_of([lambda: self._seen_item(schema, v, x, i, where), lambda: self._schema(left, x, inside)])))
-        return implies(v.is_("array"), lambda: all_of(tests)) if tests else True
+        return implies(is_array, lambda: all_of(tests)) if tests else True
 
     def _sizes(self, schema: dict, v: Any, low: str, high: str, size: Callable[[], Any]) -> Iterator[Callable[[], Truth]]:
         least, most = limit(schema, low, self.spec), limit(schema, high, self.spec)
@@ -286,11 +288,13 @@ class Rules:
             yield lambda: size() <= most
 
     def _objects(self, schema: dict, v: Any, where: Where) -> Truth:
+        if (is_object := v.is_("object")) is False:
+            return True
         inside, tests = where.inside(), list(self._sizes(schema, v, "minProperties", "maxProperties", v.n_keys))
         if isinstance(schema.get("required"), list):
             tests += [lambda k=k: v.has(k) for k in schema["required"]]
         properties, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
-        tests += [lambda k=k, s=s: implies(v.has(k), lambda: self._schema(s, v.get(k), inside)) for k, s in properties.items()]
+        tests += [lambda k=k, s=s: implies(v.has(k), lambda: self._schema(s, v.get(k), inside)) for k, s in v.among(properties)]
         names = schema.get("propertyNames")
         if isinstance(names, (dict, bool)) and names is not True:
             tests.append(lambda: v.all_entries(lambda k, x: self._schema(names, k, inside)))
@@ -307,7 +311,7 @@ class Rules:
             for key, rule in (schema.get(name) or {}).items():
                 then = (lambda rule=rule: all_of([v.has(k) for k in rule])) if isinstance(rule, list) else (lambda rule=rule: self._schema(rule, v, where))
                 tests.append(lambda key=key, then=then: implies(v.has(key), then))
-        return implies(v.is_("object"), lambda: all_of(tests)) if tests else True
+        return implies(is_object, lambda: all_of(tests)) if tests else True
 
     def _named(self, schema: dict, key: Any) -> Truth:
         """Whether properties or patternProperties have the key."""
@@ -451,7 +455,7 @@ class Rules:
 
             v.entry_records(found, at, one)
 
-        for key, s in (schema.get("properties") or {}).items():
+        for key, s in v.among(schema.get("properties") or {}):
             if (has := v.has(key)) is not False:
                 found.under(has, self._records(s, v.get(key), inside, f"{path}/properties/{_part(key)}", v.below(at, key)))
         if isinstance(names := schema.get("propertyNames"), (dict, bool)) and names is not True:

@@ -188,6 +188,10 @@ class OverColumns:
     def is_any(self, names: Iterable[str]) -> Truth:
         return any_of([self.is_(n) for n in names])
 
+    def among(self, properties: dict[str, Any]) -> Iterable[tuple[str, Any]]:
+        """Those of the properties that may be there."""
+        return properties.items()
+
     def fits(self, names: Iterable[str]) -> Truth:
         """Missing or of one of the types."""
         return any_of([self.missing, self.is_any(names)])
@@ -353,6 +357,9 @@ class Measured:
     def one_of(self, names: Iterable[str]) -> Truth:
         return self.missing
 
+    def among(self, properties: dict[str, Any]) -> Iterable[tuple[str, Any]]:
+        return properties.items()
+
     def get(self, key: Any) -> Measured:
         return self
 
@@ -698,6 +705,9 @@ class Plain:
     def has(self, key: str) -> bool:
         return isinstance(self.value, dict) and key in self.value
 
+    def among(self, properties: dict[str, Any]) -> Iterable[tuple[str, Any]]:
+        return [(k, properties[k]) for k in self.value if k in properties] if len(self.value) < len(properties) else properties.items()
+
     def all_entries(self, judge: Callable[[Any, Any], Truth]) -> Truth:
         return all_of([lambda k=k, x=x: judge(self._of(k), self._of(x)) for k, x in self.value.items()])
 
