@@ -395,6 +395,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
         for b in batches:
             langs, _, certain = _predict(model, b[text])
             keep = pa.array([lang != "und" and s >= least for lang, s in zip(langs, certain, strict=True)], pa.bool_())
+            release()
             yield b.select(names).filter(keep)
         release()
 
