@@ -122,7 +122,9 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def release_heaps(spark: SparkSession) -> None:
-    """Have executors give freed heap back to the system, two small tasks a core: what a JVM keeps is missing to the Python workers beside it."""
+    """Have driver and executors give freed memory back to the system, by two small tasks a core: what a JVM keeps is missing to the Python beside it."""
+    release()
+    spark._jvm.System.gc()
     tasks = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 

@@ -359,7 +359,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    return train(sample_rows(df, id_col, text_col, lang_col, ~held_out(id_col)))
+    model = train(sample_rows(df, id_col, text_col, lang_col, ~held_out(id_col)))
+    release()
+    return model
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
