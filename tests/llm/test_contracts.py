@@ -99,6 +99,26 @@ def test_quality_against_brute_force(spark):
     assert np.mean([got[k].kept == bool(k % 2) for k in unused]) > 0.95
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(50_000).selectExpr("id as doc_id", "if(id < 49990, 'word', 'other') as text")
+    labels = spark.range(50_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    n = docs.where(quality.quarter(docs.doc_id).isin(*quality.TARGET) & (docs.text == "word")).count()
+    others = docs.where(quality.quarter(docs.doc_id).isin(*quality.TARGET) & (docs.text == "other")).count()
+    got = quality.quality(docs, labels).where("doc_id = 0").first().score
+    assert n > 20_000 and abs(got - (np.log((n + 1) / (n + others + quality.BUCKETS)) - np.log(49_991 / (50_000 + quality.BUCKETS)))) < 1e-9
+
+
+def test_threshold_is_the_best_of_all_scores(spark):
+    rng = random.Random(6)
+    rows = [(round(rng.gauss(0.6 if ok else -0.6, 0.4), 2), ok) for ok in rng.choices([True, False], k=3_000)]
+    cuts, good, bad = sorted({s for s, _ in rows}), [s for s, ok in rows if ok], [s for s, ok in rows if not ok]
+    gain = [sum(s < c for s in bad) * len(good) - 10 * sum(s < c for s in good) * len(bad) for c in cuts]
+    best = max(range(len(cuts)), key=lambda k: (gain[k], -k))
+    seen = spark.createDataFrame(rows, "score double, good boolean").repartition(5)
+    assert gain[best] > 0 and quality._threshold(seen) == (cuts[best] + cuts[best - 1]) / 2
+    assert quality._threshold(seen.where("good")) == -np.inf and quality._threshold(seen.select("score", (~seen.good).alias("good"))) == -np.inf
+
+
 def test_shards_are_even_and_keep_groups_of_equal_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = sharding.shard_by_bytes(docs, 24).collect()

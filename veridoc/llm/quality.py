@@ -2,10 +2,11 @@
 
 Word unigrams and bigrams fall into a fixed number of buckets. Two multinomials over the buckets, one of trusted documents and
 one of all documents, give each bucket a log ratio; a document's score is the mean over its n-grams. The raw counts cover every
-document and are summed in fixed-size tables, one per task. The trusted documents and the rejected ones that the threshold is
-set by are a bounded sample of labelled rows, parted by a hash of the id: two quarters of the trusted ones make the target, one
-quarter of both kinds sets the threshold, and one is used for neither, so that the separation can be measured on it. No random
-draw decides: a document is kept if its score reaches the threshold.
+document and are summed in fixed-size tables, one per task. The labelled rows, all of them, are parted by a hash of the id: two
+quarters of the trusted ones make the target, one quarter of trusted and rejected ones sets the threshold, and one is used for
+neither, so that the separation can be measured on it. A Bloom filter of bounded size takes the target's documents out of the
+corpus, which isn't shuffled; what it passes wrongly goes by the join. The best threshold is found range by range of the scores, and
+only one row of each range comes to the driver. No random draw decides: a document is kept if its score reaches the threshold.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import cut, texts
+from veridoc.llm.common import cut, join_skewed, over_batches, staged, texts
+from veridoc.llm.exact_dedup import BITS_A_KEY, MOST_BITS, _bloom, _slots
 from veridoc.llm.words import Texts, mix, slices
 
 BUCKETS = 1 << 18
-#: Labelled rows of each kind and use, at most: trusted (quality 1, not toxic) and rejected (quality 0); by order of a hash of the id.
-SAMPLE = 20_000
 #: What the quarters of the labelled rows serve for, by a hash of the id modulo 4; the one not named is held out.
 TARGET, THRESHOLD = (0, 1), (2,)
 #: Added to each bucket's count.
@@ -87,63 +87,108 @@ def quarter(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(29)), F.lit(4))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, set[int], set[int]]:
-    """Each bucket's log ratio, and the ids of trusted and rejected documents that set the threshold."""
-    spark = df.sparkSession
-    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("quality", F.lit(-1)).alias("q"), F.coalesce("toxic", F.lit(0)).alias("x"))
+def _known(labels: DataFrame, quarters: tuple[int, ...]) -> DataFrame:
+    """doc_id, good: one row for each labelled id of the quarters that is trusted (quality 1, not toxic) or rejected (quality 0) by some label.
+
+    good is null where an id is both.
+    """
+    q, x = F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(0))
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ((q == 1) & (x == 0)).alias("trusted"), (q == 0).alias("rejected"))
+    some = known.where(quarter(F.col("doc_id")).isin(*quarters)).groupBy("doc_id").agg(F.bool_or("trusted").alias("trusted"), F.bool_or("rejected").alias("rejected"))
+    return some.where("trusted or rejected").select("doc_id", "trusted", F.when(F.col("trusted") != F.col("rejected"), F.col("trusted")).alias("good"))
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among `ids` (doc_id, good), with good; an id may be that of any share of the rows."""
+    counts = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(ids, "doc_id"))
+    return join_skewed(rows, counts, "doc_id", "n", ["good"]).where("good is not null")
+
+
+def _documents_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the rows that `ids` names; the other texts aren't moved."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_KEY * ids.count()).bit_length()))
+    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(ids.select(F.xxhash64("doc_id").alias("prefix"), F.lit(0).cast("long").alias("length")), bits))
+
+    def passing(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys = b["key"].to_numpy()
+        at = _slots(keys, np.zeros(len(keys), np.int64), bits)
+        kept = ((bloom.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+        return b.select(["doc_id", "text"]).filter(pa.array(kept, pa.bool_()))
+
+    passed = staged(over_batches(rows.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), "text"), passing, "doc_id long, text string"))
+    return _marked(passed, ids).select("doc_id", "text")
 
-    def sample(rule: str, quarters: tuple[int, ...]) -> set[int]:
-        some = known.where(F.expr(rule) & quarter(F.col("doc_id")).isin(*quarters))
-        return {r[0] for r in some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
 
-    trusted, rejected = sample("q = 1 and x = 0", THRESHOLD), sample("q = 0", THRESHOLD)
-    ids = spark.sparkContext.broadcast(np.array(sorted(sample("q = 1 and x = 0", TARGET)), np.int64))
+def _counts(rows: DataFrame) -> np.ndarray:
+    """How often the rows' texts have each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        found = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            ours = np.isin(b["doc_id"].to_numpy(zero_copy_only=False), ids.value)
-            for row, end, data, offsets in slices(b["text"]):
-                bucket, doc = _grams(Texts(data, offsets))
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[ours[row:end][doc]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
-
-    found = texts(df, id_col, text_col).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = found["bucket"].to_numpy()
-    raw[at], target[at] = found["raw"].to_numpy(), found["target"].to_numpy()
+            for _, _, data, offsets in slices(b["text"]):
+                found += np.bincount(_grams(Texts(data, offsets))[0], minlength=BUCKETS)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["bucket", "n"])
+
+    found = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Each bucket's log ratio."""
+    rows = texts(df, id_col, text_col)
+    ids = cut(_known(labels, TARGET).where("trusted").select("doc_id", F.lit(True).alias("good")))
+    raw, target = _counts(rows), _counts(_documents_of(rows, ids))
     if not target.any():  # nothing trusted: no document differs from the corpus
-        return np.zeros(BUCKETS), trusted, rejected
-    ratio = np.log((target + PRIOR) / (target.sum() + PRIOR * BUCKETS)) - np.log((raw + PRIOR) / (raw.sum() + PRIOR * BUCKETS))
-    return ratio, trusted, rejected
+        return np.zeros(BUCKETS)
+    return np.log((target + PRIOR) / (target.sum() + PRIOR * BUCKETS)) - np.log((raw + PRIOR) / (raw.sum() + PRIOR * BUCKETS))
 
 
-def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score that parts the sample best: most rejected rows below it, less ten times the share of trusted rows there."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    at = np.unique(np.concatenate((good, bad)))
-    gain = np.searchsorted(np.sort(bad), at) / len(bad) - 10 * np.searchsorted(np.sort(good), at) / len(good)
-    best = int(np.argmax(gain))
-    if gain[best] <= 0:
+def _threshold(seen: DataFrame) -> float:
+    """The score that parts the rows (score, good) best: most rejected rows below it, less ten times the share of trusted rows there.
+
+    The scores are dealt into ranges; each range tells its counts and the best cut inside it, in whole numbers.
+    """
+    good, bad = seen.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not good or not bad:
         return -np.inf
-    return float(at[best] if best == 0 else (at[best] + at[best - 1]) / 2)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, first, last, top = 0, None, None, None
+        for b in batches:
+            if b.num_rows:
+                at, step = b["score"].to_numpy(), b["bad"].to_numpy() * good - 10 * b["good"].to_numpy() * bad
+                below = gain + np.cumsum(step) - step
+                k = int(np.argmax(below))
+                if top is None or below[k] > top[0]:
+                    top = (int(below[k]), float(at[k]), float(at[k - 1]) if k else last)
+                gain, first, last = gain + int(step.sum()), float(at[0]) if first is None else first, float(at[-1])
+        if top is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((first, last, gain, *top), [pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)], ["first", "last", "gain", "top", "at", "before"])
+
+    counts = seen.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    ranges = counts.repartitionByRange("score").sortWithinPartitions("score").mapInArrow(best, "first double, last double, gain long, top long, at double, before double")
+    total, most, least, last = 0, 0, -np.inf, None
+    for r in sorted(ranges.collect()):
+        if total + r.top > most:
+            most, least = total + r.top, (r.at + (last if r.before is None else r.before)) / 2
+        total, last = total + r.gain, r.last
+    return float(least)
 
 
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, and the
-    score (mean log ratio, 0 for a text without words) reaches the threshold fitted on the labelled sample; without labels of
+    score (mean log ratio, 0 for a text without words) reaches the threshold fitted on the labelled rows; without labels of
     both kinds every other document is kept. A null text counts as empty. Repeated rows each give a row and count as often.
     labels: doc_id, quality (0 or 1, null is neither), toxic (null is 0); of an id labelled twice, both labels hold. Other
     columns are ignored, whatever their names. An empty table gives no rows.
     """
     spark = df.sparkSession
-    ratio, trusted, rejected = fit(df, labels, id_col, text_col)
-    table = spark.sparkContext.broadcast(ratio)
+    table = spark.sparkContext.broadcast(fit(df, labels, id_col, text_col))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +204,6 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = cut(texts(df, id_col, text_col).mapInArrow(score, f"doc_id long, {', '.join(f'{c} long' for c in names)}, score double"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    sampled = spark.createDataFrame([(i, i in trusted) for i in sorted(trusted ^ rejected)], "sample_id long, good boolean")
-    seen = rows.where(~failed).join(F.broadcast(sampled), F.col("doc_id") == F.col("sample_id")).select("good", "score").toArrow()
-    good = seen["good"].to_numpy().astype(bool)
-    scores = seen["score"].to_numpy()
-    least = _threshold(scores[good], scores[~good])
+    known = cut(_known(labels, THRESHOLD).where("good is not null").select("doc_id", "good"))
+    least = _threshold(cut(_marked(rows.where(~failed).select("doc_id", "score"), known).select("score", "good")))
     return rows.select("doc_id", *names, failed.alias("base_failed"), "score", (~failed & (F.col("score") >= F.lit(least))).alias("kept"))
