@@ -5,6 +5,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
+
+from veridoc.llm import similar
+from veridoc.llm.words import Texts
 
 SCHEMA = "doc_id long, text string, near_row string"
 
@@ -39,3 +44,46 @@ def test_near_stage_links_lightly_edited_copies(spark):
     assert got == sorted((i, t) for _, i, t in best.values())
     assert len(got) < 100 < len(rows)
     assert corpus_pipeline.near(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_simhash_bits_are_those_of_most_shingles():
+    texts = ["", "one", " ".join(f"w{k % 700}" for k in range(1_300)), "a b c d e f"]
+    data = "".join(texts).encode()
+    found, many = similar.shingles(Texts(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)])))
+    got = np.unpackbits(similar.simhashes(found, many), axis=1)
+    for k, end in enumerate(np.cumsum(many).tolist()):
+        words = similar.mix(found[end - many[k] : end, None] * similar._FACTORS)
+        ones = sum((np.unpackbits(w.view(np.uint8)).astype(int) for w in words), np.zeros(similar.BITS, int))
+        assert np.array_equal(got[k], 2 * ones > many[k])
+
+
+@pytest.mark.parametrize("short", [similar.SHORT, 3])
+def test_posting_lists_bring_all_pairs_of_different_roots_together(spark, monkeypatch, short):
+    """The near stage's candidates are the pairs with two equal positional bytes in a band, whose first bits are close: each once."""
+    monkeypatch.setattr(similar, "SHORT", short)
+    monkeypatch.setattr(similar, "FLUSH", 500)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, (6, similar.BITS)).repeat(20, axis=0)
+    bits = np.packbits(base ^ (rng.random(base.shape) < rng.uniform(0, 0.15, (len(base), 1))), axis=1)
+    root = np.arange(120) // 40 * 40 + np.where(np.arange(120) % 5 == 0, np.arange(120) % 40, 0)
+    nodes = spark.createDataFrame([(k, int(root[k]), 100 + k % 40, bits[k].tobytes()) for k in range(120)], "node long, root long, size long, sketch binary").repartition(3)
+    want = set()
+    for a in range(120):
+        for b in range(a):
+            front = np.unpackbits(bits[a, : similar.FRONT // 8] ^ bits[b, : similar.FRONT // 8]).sum()
+            sizes = sorted((100 + a % 40, 100 + b % 40))
+            if root[a] != root[b] and (bits[a].view("<u2") == bits[b].view("<u2")).any() and sizes[0] >= 0.8 * sizes[1] and front <= similar._limit(similar.FRONT, np.array(sizes[0]), 0.8):
+                want.add((a, b))
+    got = [(r.a, r.b) for r in similar._pairs(nodes, 0.8, every=True).collect()]
+    assert len(got) == len(set(got)) > 300 and set(got) == want
+    assert {(r.a, r.b) for r in similar._pairs(nodes, 0.8, every=False).collect()} <= want
+
+
+def test_few_and_many_links_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(2)
+    links = spark.createDataFrame([(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(140)] + [(k, k + 1) for k in range(1_000, 1_040)], "a long, b long").repartition(3)
+    few = {tuple(r) for r in similar._joined(links).collect()}
+    monkeypatch.setattr(similar, "LINKS", 0)
+    assert few == {tuple(r) for r in similar._joined(links).collect()} and len(few) > 100
+    monkeypatch.setattr(similar, "LINKS", 10)
+    assert similar._joined(links.where("a > 5000")).count() == 0

@@ -1,41 +1,52 @@
 """Near duplicates by the Jaccard similarity of word shingles: the similarity mode of op10.
 
-SimHash can't serve at a similarity of 0.8: such pairs differ in some ten of 64 bits, so that no positional byte need be shared.
-Here MinHash bands give candidates, and whole shingle sets decide. Texts with equal shingle sets are one node. A pair of nodes of
-similarity s shares one of the bands with a probability of 1 - (1 - s^BAND)^BANDS: 0.99995 at 0.8.
-
-No posting list is paired up as a whole. First each member of a list is held against one node, that with the most copies, which
-joins large groups in linear work. Then, in lists that still hold several components, the nodes outside the largest one are held
-against those of other components, block by block and by their minima: a pair whose estimated similarity comes within `MARGIN` of
-the least one, in the first band that the two share, is a candidate. At 0.8 the estimate falls below that for one pair in 700.
-Verification reads both whole sets; those of a block's candidates are brought together once, however many pairs they are in.
+The method is that of op10, a SimHash under a byte-position inverted index with count filtering, at a width that holds pairs of 0.8:
+of 64 bits such pairs differ in some ten, so that no positional byte need be shared; of `BITS` they differ in 15 %, each positional
+byte is shared with a probability of 0.27, and each `BAND` of two with 0.072. A posting list is a band with its two bytes, so that
+two nodes meet where their tally of shared bytes in a band is full: a pair at 0.8 in one band or more with a probability of 0.9993.
+Of those that meet, the first `FRONT` bits, which the lists carry, are counted, then all bits; whole shingle sets decide. Texts with
+equal shingle sets are one node.
+
+No posting list is paired up as a whole. First each member of a list is held against the list's first node and its own neighbour,
+which joins large groups in linear work. Then all pairs of a list that still lie in different components are held against each other.
+Both times each pair is verified once, in blocks of pairs from the same lists, so that a set is brought to a block once, however many
+of its pairs the node is in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.common import components, cut, first_of_each, fresh, join_skewed, over_batches, staged
+from veridoc.llm.common import components, cut, first_of_each, first_runs, fresh, join_skewed, local_roots, over_batches, release, release_heaps, staged
 from veridoc.llm.exact_dedup import BITS_A_KEY, MOST_BITS, _bloom, _slots
 from veridoc.llm.words import Texts, mix, slices
 
 #: Words of a shingle and least similarity.
 WORDS, LEAST = 5, 0.8
-#: Bands, and minima in each.
-BANDS, BAND = 25, 5
-#: Bytes of text, and pairs, that are worked on at once, about.
-SLICE, PAIRS = 1 << 18, 500
+#: Bits of a SimHash, of its front that the posting lists carry, and of a band (two positional bytes).
+BITS, FRONT, BAND = 1536, 128, 16
+BANDS = BITS // BAND
+#: Bytes of text that are worked on at once, about; nodes that are listed at once; entries of the lists that a task holds, besides those of a longer list.
+SLICE, LISTED, FLUSH = 1 << 18, 2_000, 300_000
+#: Lists up to this length are compared outright, one distance in the list after the other.
+SHORT = 512
+#: Block's bytes of shingle sets, counted for each pair, about.
+BLOCK = 8 << 20
 #: Pairs that one copy of a node's set serves in a join.
 SERVED = 256
-#: What an estimate from all minima may lie below the least similarity: three standard deviations at 0.8.
-MARGIN = 0.11
-#: Nodes of a block on either side.
-FEW, MANY = 256, 1_024
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Links up to this many are joined into components by one task, which holds some 50 MB; more of them by rounds of joins.
+LINKS = 500_000
+#: Standard deviations that a count of differing bits may lie above its mean at the least similarity.
+DEVIATIONS = 4.2
+#: What sets of few shingles may differ in beside that, as a share of the bits and over the shingles: their bits are often tied.
+FEW = 0.2
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(t: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -57,67 +68,138 @@ def shingles(t: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return out[new], np.bincount(doc[new], minlength=t.n)
 
 
+def simhashes(found: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The SimHash of each text as bytes: the bits that more than half of its distinct shingles have. found, many: as of `shingles`."""
+    out = np.zeros((len(many), BITS // 8), np.uint8)
+    ends = np.cumsum(many)
+    for doc in np.flatnonzero(many).tolist():
+        ones, end = np.zeros(BITS, np.int64), int(ends[doc])
+        for k in range(end - int(many[doc]), end, 255):  # so many fit a byte's sum
+            ones += np.unpackbits(mix(found[k : min(k + 255, end), None] * _FACTORS).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+        out[doc] = np.packbits(2 * ones > many[doc])
+    return out
+
+
 def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, size, 16 bits of each minimum) of each text; a text without words is node 0."""
-    nodes, sizes, minima = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS * BAND), np.uint16)]
+    """(node, size, SimHash) of each text; a text without words is node 0."""
+    nodes, sizes, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, BITS // 8), np.uint8)]
     for _, _, data, offsets in slices(column, SLICE):
         found, many = shingles(Texts(data, offsets, lower=True))
         some = np.flatnonzero(many)
-        starts = (np.cumsum(many) - many)[some]
-        node, least = np.zeros(len(many), np.uint64), np.zeros((len(many), BANDS * BAND), np.uint16)
+        node = np.zeros(len(many), np.uint64)
         if len(some):
-            node[some] = np.add.reduceat(mix(found), starts)
-            for k, factor in enumerate(_FACTORS):
-                least[some, k] = (mix(np.minimum.reduceat(found * factor, starts)) & np.uint64(0xFFFF)).astype(np.uint16)
+            node[some] = np.add.reduceat(mix(found), (np.cumsum(many) - many)[some])
         nodes.append(node)
         sizes.append(many)
-        minima.append(least)
-    return np.concatenate(nodes), np.concatenate(sizes), np.concatenate(minima)
+        bits.append(simhashes(found, many))
+    return np.concatenate(nodes), np.concatenate(sizes), np.concatenate(bits)
+
+
+def _limit(bits: int, low: np.ndarray, least: float) -> np.ndarray:
+    """Bits of so many that sets of similarity `least`, the smaller one of `low` shingles, may differ in."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return bits * (p + FEW / low) + DEVIATIONS * np.sqrt(bits * p * (1 - p))
 
 
-def _keys(sketch: Column) -> Column:
-    """A key for each band: its minima's bits and its number."""
-    return F.array(*(F.xxhash64(F.substring(sketch, 2 * BAND * k + 1, 2 * BAND), F.lit(k)) for k in range(BANDS)))
+def _listed(nodes: DataFrame) -> DataFrame:
+    """An entry for each band of each node: key (the band and its bytes), node, root, size, front, back (the first bits). nodes: node, root, size, sketch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, LISTED):
+                b = batch.slice(low, LISTED)
+                sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                key = sketch.view("<u2").T.astype(np.int32) | (np.arange(BANDS, dtype=np.int32) << BAND)[:, None]
+                front = np.ascontiguousarray(sketch[:, : FRONT // 8]).view(np.int64)
+                rest = [b["node"].to_numpy(), b["root"].to_numpy(), b["size"].to_numpy(), front[:, 0], front[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.tile(x, BANDS)) for x in rest)], ["key", "node", "root", "size", "front", "back"])
+            release()
 
-def _candidates(key: tuple, table: pa.Table, least: float) -> pa.Table:
-    """A block's candidates as one row: nodes, how many partners each has, the partners, and all nodes that occur.
+    return nodes.select("node", "root", "size", "sketch").mapInArrow(run, "key int, node long, root long, size long, front long, back long")
 
-    Candidates are nodes of different components, by their estimated similarity, in the first band they share.
+
+def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, front: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, ...]:
+    """(a, b, key, shingles of both) of nodes in one list and of different roots, whose sizes and first bits let them be similar.
+
+    every: all such pairs, but each only in the first band of the front that it shares, if any; else those with the list's first
+    node and those of neighbours.
     """
-    band, node, size, root = (table[c].to_numpy() for c in ("band", "node", "size", "root"))
-    minima = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, BANDS * BAND)
-    few, rest = np.flatnonzero(table["few"].to_numpy()), np.flatnonzero(~table["few"].to_numpy())
-    core, inner = (table["core"].to_numpy(zero_copy_only=False)[rest], minima[rest])
-    own, many, partners = [], [], [np.zeros(0, np.int64)]
-    for x in few.tolist():
-        alike = np.minimum(size[x], size[rest]) >= least * np.maximum(size[x], size[rest]) - 1e-9
-        y = np.flatnonzero((root[rest] != root[x]) & (core | (node[x] < node[rest])) & alike)
-        same = inner[y] == minima[x]
-        near = np.flatnonzero(same.sum(axis=1) >= (least - MARGIN) * BANDS * BAND)
-        bands = same[near].reshape(-1, BANDS, BAND).all(axis=2)
-        y = y[near[bands.argmax(axis=1) == band[x]]]
-        if len(y):
-            own.append(node[x])
-            many.append(len(y))
-            partners.append(node[rest[y]])
-    partners = np.concatenate(partners)
-    lists = [np.array(own, np.int64), np.array(many, np.int64), partners, np.unique(np.concatenate([np.array(own, np.int64), partners]))]
-    rows = int(len(own) > 0)
-    return pa.Table.from_arrays([*(pa.array([k.as_py()] * rows, k.type) for k in key), *(pa.array([x] * rows, pa.list_(pa.int64())) for x in lists)], ["key", "x", "y", "own", "many", "partners", "nodes"])
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """The pairs with the set of one side's node; a node in many pairs has its set copied, so that no task serves it alone."""
-    degrees = cut(pairs.groupBy(side).agg(F.count("*").alias("degree")))
-    copies = F.ceil(F.col("degree") / SERVED).cast("long")
-    left = join_skewed(pairs, degrees, side, "degree", ["degree"]).withColumn("salt", F.pmod(F.xxhash64(other), copies)).drop("degree")
-    right = sets.join(degrees, sets.node == degrees[side]).select(side, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"), F.col("set").alias(f"{side}_set"))
-    return left.join(right, [side, "salt"]).drop("salt")
+    order = np.lexsort((node, key))
+    key, node, root, size, front = key[order], node[order], root[order], size[order], front[order]
+    starts = first_runs(key)
+    lengths = np.diff(np.append(starts, len(key)))
+    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        some = (root[i] != root[j]) & (low >= least * high - 1e-9)
+        i, j, low = i[some], j[some], low[some]
+        differ = front[i] ^ front[j]
+        near = np.bitwise_count(differ).sum(axis=1) <= _limit(FRONT, low, least)
+        if every:
+            same = np.ascontiguousarray(differ).view(np.uint16).reshape(-1, FRONT // BAND) == 0
+            near &= ~same.any(axis=1) | (same.argmax(axis=1) >= key[i] >> BAND)
+        i, j = i[near], j[near]
+        for at, x in enumerate((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), key[i].astype(np.int64), size[i] + size[j])):
+            out[at].append(x)
+
+    if not every:
+        first = np.repeat(starts, lengths)
+        take(first, np.arange(len(key)))
+        beside = np.flatnonzero(key[1:] == key[:-1])
+        take(beside, beside + 1)
+    else:
+        short = np.flatnonzero((lengths > 1) & (lengths <= SHORT))
+        for d in range(1, int(lengths[short].max(initial=1))):
+            own = short[lengths[short] > d]
+            n = lengths[own] - d
+            i = np.repeat(starts[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            take(i, i + d)
+        for at in np.flatnonzero(lengths > SHORT).tolist():
+            span = np.arange(starts[at], starts[at] + lengths[at])
+            roots, many = np.unique(root[span], return_counts=True)
+            largest = root[span] == roots[many.argmax()]
+            for i in span[~largest].tolist():
+                j = span[largest | (span > i)]
+                take(np.full(len(j), i), j)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _pairs(nodes: DataFrame, least: float, every: bool) -> DataFrame:
+    """The pairs (a, b) of nodes that meet in posting lists, each once, with the lowest key of these and weight (shingles of both)."""
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _listed(nodes).repartition(tasks, "key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def met(last: bool) -> pa.RecordBatch:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            whole = len(parts[0]) if last else int(np.searchsorted(parts[0], parts[0][-1]))  # the last list may go on
+            held[:] = [tuple(x[whole:] for x in parts)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _meet(*(x[:whole] for x in parts), least, every)], ["a", "b", "key", "weight"])
+
+        waiting, due = 0, FLUSH
+        for b in batches:
+            if b.num_rows:
+                front = np.stack([b["front"].to_numpy(), b["back"].to_numpy()], axis=1).view(np.uint64)
+                held.append((*(b[c].to_numpy() for c in ("key", "node", "root", "size")), front))
+                waiting += b.num_rows
+                if waiting >= due:
+                    yield met(last=False)
+                    waiting = len(held[0][0])
+                    due = max(FLUSH, 2 * waiting)
+        if waiting:
+            yield met(last=True)
+        held.clear()
+        release()
+
+    found = dealt.mapInArrow(run, "a long, b long, key long, weight long")
+    return cut(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.min("weight").alias("weight")))
 
 
 def _sets(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """node, set (sorted hashes) of the rows (node, own_row, text) that `heads` (own_row) names.
+    """node, set (sorted hashes), sketch of the rows (node, own_row, sketch, text) that `heads` (own_row) names.
 
     A Bloom filter of bounded size takes them out of the texts, which aren't shuffled; what it passes wrongly goes by the join.
     """
@@ -132,103 +214,97 @@ def _sets(rows: DataFrame, heads: DataFrame) -> DataFrame:
         for _, _, data, offsets in slices(b["text"], SLICE):
             found, many = shingles(Texts(data, offsets, lower=True))
             sets += [x.tobytes() for x in np.split(found, np.cumsum(many)[:-1])]
-        return pa.RecordBatch.from_arrays([b["node"], b["own_row"], pa.array(sets, pa.binary())], ["node", "own_row", "set"])
-
-    passed = over_batches(rows.select("node", "own_row", F.xxhash64("own_row").alias("key"), "text"), collect, "node long, own_row long, set binary")
-    return staged(passed.join(heads, "own_row", "left_semi").select("node", "set"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is `least` or more."""
-
-    def compare(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for low in range(0, b.num_rows, PAIRS):
-            some = b.slice(low, PAIRS)
-            for x, y in zip(some["a_set"].to_pylist(), some["b_set"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-        return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return cut(over_batches(_with_sets(_with_sets(pairs, sets, "a", "b"), sets, "b", "a").select("a", "b", "a_set", "b_set"), compare, "a long, b long"))
-
-
-def _alike(found: pa.Table, members: pa.Table, least: float) -> pa.Table:
-    """The pairs of a block whose sets are similar enough; members: each node's set."""
-    sets = {n: np.frombuffer(x, np.uint64) for n, x in zip(members["node"].to_pylist(), members["set"].to_pylist(), strict=True)}
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for nodes, many, partners in zip(*(found[c].to_pylist() for c in ("own", "many", "partners")), strict=True):
-        at = 0
-        for x, n in zip(nodes, many, strict=True):
-            own, ys = sets[x], partners[at : at + n]
-            at += n
-            others = [sets[y] for y in ys]
-            sizes = np.array([len(y) for y in others])
-            joined = np.concatenate(others)
+        return pa.RecordBatch.from_arrays([b["node"], b["own_row"], pa.array(sets, pa.binary()), b["sketch"]], ["node", "own_row", "set", "sketch"])
+
+    passed = over_batches(rows.select("node", "own_row", F.xxhash64("own_row").alias("key"), "sketch", "text"), collect, "node long, own_row long, set binary, sketch binary")
+    return staged(passed.join(heads, "own_row", "left_semi").select("node", "set", "sketch"))
+
+
+def _alike(pairs: pa.Table, members: pa.Table, least: float) -> pa.Table:
+    """The pairs (a, b) of a block that are similar enough: by all their bits, then by their sets. members: each node's set and SimHash."""
+    node = members["node"].to_numpy()
+    order = np.argsort(node)
+    bits = np.frombuffer(b"".join(members["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    sets = [np.frombuffer(x, np.uint64) for x in members["set"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    a, b = (order[np.searchsorted(node[order], pairs[c].to_numpy())] for c in ("a", "b"))
+    near = [np.zeros(0, bool)]
+    for k in range(0, len(a), 4096):
+        x, y = a[k : k + 4096], b[k : k + 4096]
+        near.append(np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= _limit(BITS, np.minimum(sizes[x], sizes[y]), least))
+    near = np.concatenate(near)
+    a, b = a[near], b[near]
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    good = [np.zeros(0, bool)]
+    for ys in np.split(np.arange(len(a)), first_runs(a)[1:]) if len(a) else []:
+        for some in np.split(ys, range(256, len(ys), 256)):
+            own, many = sets[a[some[0]]], sizes[b[some]]
+            joined = np.concatenate([sets[y] for y in b[some]])
             hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-            good = np.array(ys)[both >= least * (len(own) + sizes - both) - 1e-9]
-            a.append(np.maximum(x, good))
-            b.append(np.minimum(x, good))
-    return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(many) - many)
+            good.append(both >= least * (len(own) + many - both) - 1e-9)
+    good = np.concatenate(good)
+    return pa.Table.from_arrays([pa.array(node[a[good]]), pa.array(node[b[good]])], ["a", "b"])
+
 
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, every: bool) -> DataFrame:
+    """The pairs (a, b) whose similarity is `least` or more. pairs: as of `_pairs`.
 
-def _verified_blocks(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is `least` or more. found: blocks with their candidates."""
-    block = ["key", "x", "y"]
-    members = found.select(*block, F.explode("nodes").alias("node"))
+    Pairs of one list go to one block, those of a heavy list to several: by a, as the first pass has one b for many a, or by both.
+    """
+    weight = pairs.agg(F.sum("weight")).first()[0] or 0
+    heavy = cut(pairs.groupBy("key").agg(F.sum("weight").alias("heavy")).where(F.lit(8) * F.col("heavy") > BLOCK))
+    parts = F.ceil(F.lit(8) * F.coalesce("heavy", F.lit(1)) / BLOCK).cast("long")
+    side = F.ceil(F.sqrt(parts)).cast("long")
+    y = F.pmod(F.xxhash64("a"), side) * side + F.pmod(F.xxhash64("b"), side) if every else F.pmod(F.xxhash64("a"), parts)
+    dealt = cut(join_skewed(pairs, heavy, "key", "heavy", ["heavy"]).select("a", "b", F.pmod(F.xxhash64("key"), F.lit(8 * weight // BLOCK + 1)).alias("x"), y.alias("y")))
+    members = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
     degrees = cut(members.groupBy("node").agg(F.count("*").alias("degree")))
+    sets = _sets(rows, cut(nodes.join(degrees, "node", "left_semi").select("own_row")))
     copies = F.ceil(F.col("degree") / SERVED).cast("long")
-    left = join_skewed(members, degrees, "node", "degree", ["degree"]).withColumn("salt", F.pmod(F.xxhash64(*block), copies))
-    right = sets.join(degrees, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"), "set")
-    own = [f"held_{c}" for c in block]
-    held = left.join(right, ["node", "salt"]).select(*(F.col(c).alias(o) for c, o in zip(block, own, strict=True)), "node", "set")
-    pairs = found.select(*block, "own", "many", "partners")
-    return cut(pairs.groupBy(*block).cogroup(held.groupBy(*own)).applyInArrow(lambda found, members: _alike(found, members, least), "a long, b long"))
+    left = join_skewed(members, degrees, "node", "degree", ["degree"]).withColumn("salt", F.pmod(F.xxhash64("x", "y"), copies))
+    right = sets.join(degrees, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"), "set", "sketch")
+    held = left.join(right, ["node", "salt"]).select(F.col("x").alias("held_x"), F.col("y").alias("held_y"), "node", "set", "sketch")
 
+    def compare(some: pa.Table, members: pa.Table) -> pa.Table:
+        out = _alike(some, members, least)
+        release()
+        return out
 
-def _ordered(a, b):
-    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+    return cut(dealt.groupBy("x", "y").cogroup(held.groupBy("held_x", "held_y")).applyInArrow(compare, "a long, b long"))
 
 
-def _roots(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """(node, root) of the nodes that are linked to others. nodes: node, size, sketch, copies, own_row (one of it); rows: node, own_row, text."""
-    listed = nodes.where("size > 0").select("node", "size", "copies", F.posexplode(_keys(F.col("sketch"))).alias("band", "key"))
-    lists = listed.groupBy("key").agg(F.max(F.struct("copies", "node", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(join_skewed(listed, cut(lists), "key", "n", ["pivot"]).where("pivot is not null"))
-    alike = F.least("size", "pivot.size") >= F.lit(least) * F.greatest("size", "pivot.size") - 1e-9
-    sets = _sets(rows, cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("own_row")))
-    first = cut(shared.where((F.col("node") != F.col("pivot.node")) & alike).select(*_ordered(F.col("node"), F.col("pivot.node"))).distinct())
-    roots = components(_verified(first, sets, least))
-    known = roots.withColumnRenamed("node", "known")
-    rooted = cut(shared.join(known, shared.node == known.known, "left").select("key", "band", "node", "size", F.coalesce("root", "node").alias("root")))
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("members"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("members", "root")).alias("most"), F.count("*").alias("roots"), F.sum("members").alias("n")).where("roots > 1")
-    mixed = cut(mixed.select("key", F.col("most.root").alias("largest"), (F.col("n") - F.col("most.members")).alias("few"), "n"))
-    inside = join_skewed(rooted, mixed, "key", "n", ["largest", "few", "n"]).where("largest is not null")
-    links = _verified_blocks(cut(_across(inside, nodes, least)), sets, least)
-    if links.isEmpty():
-        return roots
-    return components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that the links (a, b) join to a smaller one."""
+    if links.count() > LINKS:
+        return components(links)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([b["a"].to_numpy(), b["b"].to_numpy()]) for b in batches)], axis=1)
+        nodes, at = np.unique(ends, return_inverse=True)
+        root = local_roots(len(nodes), *at.reshape(2, -1))
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["node", "root"])
 
-def _across(inside: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Blocks (key, x, y) with their candidates across components. inside: key, band, node, size, root, and of the list its largest root, nodes outside that, nodes.
+    return cut(links.coalesce(1).mapInArrow(run, "node long, root long"))
 
-    A list goes to tasks as blocks: each of some FEW nodes outside its largest component against each of some MANY of all its nodes.
-    """
-    high, wide = F.ceil(F.col("few") / FEW).cast("int"), F.ceil(F.col("n") / MANY).cast("int")
-    own = F.xxhash64("node", F.lit(3))
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    core = (F.col("root") == F.col("largest")).alias("core")
-    columns = ["key", "band", "node", "size", "root"]
-    left = inside.where("root <> largest").select(*columns, core, F.lit(True).alias("few"), F.pmod(own, high).cast("int").alias("x"), F.explode(every(wide)).alias("y"))
-    right = inside.select(*columns, core, F.lit(False).alias("few"), F.pmod(own, wide).cast("int").alias("y"), F.explode(every(high)).alias("x"))
-    both = cut(left.unionByName(right))
-    heavy = cut(both.groupBy("node").agg(F.count("*").alias("blocks")))
-    found = join_skewed(both, heavy.join(nodes.select("node", "sketch"), "node"), "node", "blocks", ["sketch"])
-    return found.groupBy("key", "x", "y").applyInArrow(lambda key, table: _candidates(key, table, least), "key long, x int, y int, own array<long>, many array<long>, partners array<long>, nodes array<long>")
+
+def _roots(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the nodes that are linked to others. nodes: node, size, sketch, own_row (one of it); rows: node, own_row, sketch, text."""
+    spark, some = nodes.sparkSession, nodes.where("size > 0")
+
+    def links(rooted: DataFrame, every: bool) -> DataFrame:
+        pairs = _pairs(rooted, least, every)
+        release_heaps(spark)
+        found = _verified(pairs, nodes, rows, least, every)
+        release_heaps(spark)
+        return found
+
+    roots = _joined(links(some.withColumn("root", F.col("node")), every=False))
+    known = roots.withColumnRenamed("node", "known")
+    more = links(some.join(known, some.node == known.known, "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root")), every=True)
+    return _joined(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -249,7 +325,7 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = staged(over_batches(wide, run, T.StructType([*df.schema.fields, *added])).withColumn(row, F.monotonically_increasing_id()))
     own = rows.select(F.col(id_col).alias("own_id"), F.col(node).alias("node"), F.col(row).alias("own_row"))
     nodes = cut(rows.groupBy(F.col(node).alias("node")).agg(F.min(size).alias("size"), F.min(sketch).alias("sketch"), F.min(row).alias("own_row"), F.count("*").alias("copies")))
-    own_texts = rows.select(F.col(node).alias("node"), F.col(row).alias("own_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own_texts = rows.select(F.col(node).alias("node"), F.col(row).alias("own_row"), F.col(sketch).alias("sketch"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     roots = _roots(nodes, own_texts, least).withColumnRenamed("node", "linked")
     labelled = cut(nodes.join(roots, nodes.node == roots.linked, "left").select("node", "copies", F.coalesce("root", "node").alias("root")))
     kept = first_of_each(join_skewed(own, labelled, "node", "copies", ["root"]))
