@@ -15,7 +15,7 @@ of its pairs the node is in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +102,7 @@ def _limit(bits: int, low: np.ndarray, least: float) -> np.ndarray:
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """An entry for each band of each node: key (the band and its bytes), node, root, size, front, back (the first bits). nodes: node, root, size, sketch."""
+    """An entry for each band of each node: key (the band and its bytes), node, size, front, back (the first bits). nodes: node, size, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,11 +111,76 @@ def _listed(nodes: DataFrame) -> DataFrame:
                 sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
                 key = sketch.view("<u2").T.astype(np.int32) | (np.arange(BANDS, dtype=np.int32) << BAND)[:, None]
                 front = np.ascontiguousarray(sketch[:, : FRONT // 8]).view(np.int64)
-                rest = [b["node"].to_numpy(), b["root"].to_numpy(), b["size"].to_numpy(), front[:, 0], front[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.tile(x, BANDS)) for x in rest)], ["key", "node", "root", "size", "front", "back"])
+                rest = [b["node"].to_numpy(), b["size"].to_numpy(), front[:, 0], front[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.tile(x, BANDS)) for x in rest)], ["key", "node", "size", "front", "back"])
             release()
 
-    return nodes.select("node", "root", "size", "sketch").mapInArrow(run, "key int, node long, root long, size long, front long, back long")
+    return nodes.select("node", "size", "sketch").mapInArrow(run, "key int, node long, size long, front long, back long")
+
+
+def _close(size: np.ndarray, front: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether sizes and first bits let entries i and j be similar."""
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    return (low >= least * high - 1e-9) & (np.bitwise_count(front[i] ^ front[j]).sum(axis=1) <= _limit(FRONT, low, least))
+
+
+def _steps(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within each short list, one distance in the list after the other."""
+    short = np.flatnonzero((lengths > 1) & (lengths <= SHORT))
+    for d in range(1, int(lengths[short].max(initial=1))):
+        own = short[lengths[short] > d]
+        n = lengths[own] - d
+        i = np.repeat(starts[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield i, i + d
+
+
+def _by_list(entries: DataFrame, work: Callable[[list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """work over whole posting lists, many at once, in the order of their keys. entries: key first; front and back become one."""
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = entries.columns[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done(last: bool) -> pa.RecordBatch:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            whole = len(parts[0]) if last else int(np.searchsorted(parts[0], parts[0][-1]))  # the last list may go on
+            held[:] = [tuple(x[whole:] for x in parts)]
+            return work([x[:whole] for x in parts])
+
+        waiting, due = 0, FLUSH
+        for b in batches:
+            if b.num_rows:
+                front = np.stack([b["front"].to_numpy(), b["back"].to_numpy()], axis=1).view(np.uint64)
+                held.append((*(b[c].to_numpy() for c in names), front))
+                waiting += b.num_rows
+                if waiting >= due:
+                    yield done(last=False)
+                    waiting = len(held[0][0])
+                    due = max(FLUSH, 2 * waiting)
+        if waiting:
+            yield done(last=True)
+        held.clear()
+        release()
+
+    return cut(entries.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, schema))
+
+
+def _live(nodes: DataFrame, least: float) -> DataFrame:
+    """The entries that have another one in their list that they may be similar to, and all of long lists: the others serve no more."""
+
+    def work(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, size, front = parts
+        starts = first_runs(key)
+        lengths = np.diff(np.append(starts, len(key)))
+        live = np.repeat(lengths > SHORT, lengths)
+        for i, j in _steps(starts, lengths):
+            near = _close(size, front, i, j, least)
+            live[i[near]] = live[j[near]] = True
+        words = front[live].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[live], node[live], size[live], words[:, 0], words[:, 1])], ["key", "node", "size", "front", "back"])
+
+    return _by_list(_listed(nodes), work, "key int, node long, size long, front long, back long")
 
 
 def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, front: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, ...]:
@@ -131,15 +196,14 @@ def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
     out = [[np.zeros(0, np.int64)] for _ in range(4)]
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        some = (root[i] != root[j]) & (low >= least * high - 1e-9)
-        i, j, low = i[some], j[some], low[some]
-        differ = front[i] ^ front[j]
-        near = np.bitwise_count(differ).sum(axis=1) <= _limit(FRONT, low, least)
-        if every:
-            same = np.ascontiguousarray(differ).view(np.uint16).reshape(-1, FRONT // BAND) == 0
-            near &= ~same.any(axis=1) | (same.argmax(axis=1) >= key[i] >> BAND)
+        some = root[i] != root[j]
+        i, j = i[some], j[some]
+        near = _close(size, front, i, j, least)
         i, j = i[near], j[near]
+        if every:
+            same = np.ascontiguousarray(front[i] ^ front[j]).view(np.uint16).reshape(-1, FRONT // BAND) == 0
+            new = ~same.any(axis=1) | (same.argmax(axis=1) >= key[i] >> BAND)
+            i, j = i[new], j[new]
         for at, x in enumerate((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), key[i].astype(np.int64), size[i] + size[j])):
             out[at].append(x)
 
@@ -149,12 +213,8 @@ def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
         beside = np.flatnonzero(key[1:] == key[:-1])
         take(beside, beside + 1)
     else:
-        short = np.flatnonzero((lengths > 1) & (lengths <= SHORT))
-        for d in range(1, int(lengths[short].max(initial=1))):
-            own = short[lengths[short] > d]
-            n = lengths[own] - d
-            i = np.repeat(starts[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            take(i, i + d)
+        for i, j in _steps(starts, lengths):
+            take(i, j)
         for at in np.flatnonzero(lengths > SHORT).tolist():
             span = np.arange(starts[at], starts[at] + lengths[at])
             roots, many = np.unique(root[span], return_counts=True)
@@ -165,36 +225,23 @@ def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
     return tuple(np.concatenate(x) for x in out)
 
 
-def _pairs(nodes: DataFrame, least: float, every: bool) -> DataFrame:
-    """The pairs (a, b) of nodes that meet in posting lists, each once, with the lowest key of these and weight (shingles of both)."""
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _listed(nodes).repartition(tasks, "key").sortWithinPartitions("key")
+def _pairs(entries: DataFrame, roots: DataFrame | None, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes that meet in posting lists, each once, with the lowest key of these and weight (shingles of both).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    roots: (node, root) of joined nodes, whose pairs of different roots are all meant; None: the first pass.
+    """
+    if roots is None:
+        rooted = entries.withColumn("root", F.col("node"))
+    else:
+        counts = cut(entries.groupBy("node").agg(F.count("*").alias("lists")).join(roots, "node"))
+        rooted = join_skewed(entries, counts, "node", "lists", ["root"]).withColumn("root", F.coalesce("root", "node"))
 
-        def met(last: bool) -> pa.RecordBatch:
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            whole = len(parts[0]) if last else int(np.searchsorted(parts[0], parts[0][-1]))  # the last list may go on
-            held[:] = [tuple(x[whole:] for x in parts)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _meet(*(x[:whole] for x in parts), least, every)], ["a", "b", "key", "weight"])
+    every = roots is not None
 
-        waiting, due = 0, FLUSH
-        for b in batches:
-            if b.num_rows:
-                front = np.stack([b["front"].to_numpy(), b["back"].to_numpy()], axis=1).view(np.uint64)
-                held.append((*(b[c].to_numpy() for c in ("key", "node", "root", "size")), front))
-                waiting += b.num_rows
-                if waiting >= due:
-                    yield met(last=False)
-                    waiting = len(held[0][0])
-                    due = max(FLUSH, 2 * waiting)
-        if waiting:
-            yield met(last=True)
-        held.clear()
-        release()
+    def work(parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _meet(*parts, least, every)], ["a", "b", "key", "weight"])
 
-    found = dealt.mapInArrow(run, "a long, b long, key long, weight long")
+    found = _by_list(rooted.select("key", "node", "root", "size", "front", "back"), work, "a long, b long, key long, weight long")
     return cut(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.min("weight").alias("weight")))
 
 
@@ -292,19 +339,14 @@ def _joined(links: DataFrame) -> DataFrame:
 
 def _roots(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(node, root) of the nodes that are linked to others. nodes: node, size, sketch, own_row (one of it); rows: node, own_row, sketch, text."""
-    spark, some = nodes.sparkSession, nodes.where("size > 0")
+    spark, entries = nodes.sparkSession, _live(nodes.where("size > 0"), least)
 
-    def links(rooted: DataFrame, every: bool) -> DataFrame:
-        pairs = _pairs(rooted, least, every)
-        release_heaps(spark)
-        found = _verified(pairs, nodes, rows, least, every)
+    def links(roots: DataFrame | None) -> DataFrame:
         release_heaps(spark)
-        return found
+        return _verified(_pairs(entries, roots, least), nodes, rows, least, roots is not None)
 
-    roots = _joined(links(some.withColumn("root", F.col("node")), every=False))
-    known = roots.withColumnRenamed("node", "known")
-    more = links(some.join(known, some.node == known.known, "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root")), every=True)
-    return _joined(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = _joined(links(None))
+    return _joined(links(roots).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
