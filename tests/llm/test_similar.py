@@ -88,3 +88,30 @@ def test_few_and_many_links_give_the_same_components(spark, monkeypatch):
     assert few == {tuple(r) for r in similar._joined(links).collect()} and len(few) > 100
     monkeypatch.setattr(similar, "LINKS", 10)
     assert similar._joined(links.where("a > 5000")).count() == 0
+
+
+@pytest.mark.parametrize("part", [similar.PART, 30_000])
+def test_sets_are_brought_to_a_group_once_and_not_for_each_list(spark, monkeypatch, part):
+    """A large group whose members are often just below the least similarity: sets travel with its size, not with its pairs; parts lose no link."""
+    monkeypatch.setattr(similar, "PART", part)
+    dealt, deal = [], similar._dealt
+    monkeypatch.setattr(similar, "_dealt", lambda members: dealt.append(deal(members)) or dealt[-1])
+    rng = random.Random(3)
+    base, texts = [f"w{rng.randrange(3_000)}" for _ in range(150)], []
+    for _ in range(120):
+        words = base.copy()
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(3_000)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"u{rng.randrange(3_000)}" for _ in range(100)) for _ in range(10)]
+    own, root = [sets(t) for t in texts], list(range(130))
+    for a in range(130):
+        for b in range(a):
+            if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    got = similar.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root)) and 11 < len(got) < 100
+    times = [r["count"] for r in dealt[0].groupBy("own_row").count().collect()]
+    parts = -(-8 * sum(len(x) for x in own[:120]) // part)
+    assert len(times) == 120 and set(times) == {max(1, parts - 1)}

@@ -8,9 +8,10 @@ Of those that meet, the first `FRONT` bits, which the lists carry, are counted,
 equal shingle sets are one node.
 
 No posting list is paired up as a whole. First each member of a list is held against the list's first node and its own neighbour,
-which joins large groups in linear work. Then all pairs of a list that still lie in different components are held against each other.
-Both times each pair is verified once, in blocks of pairs from the same lists, so that a set is brought to a block once, however many
-of its pairs the node is in.
+which joins large groups in linear work; then all pairs of a list that still lie in different groups are held against each other. So
+the groups are the components of all pairs that meet, and no two nodes of different groups do. Each node's set is brought to its group
+once, and there all bits and sets decide, over a search that holds a node only against those not reached yet. A group too large for
+one task is cut into parts, each two of which meet.
 """
 
 from __future__ import annotations
@@ -36,10 +37,8 @@ BANDS = BITS // BAND
 SLICE, LISTED, FLUSH = 1 << 18, 2_000, 300_000
 #: Lists up to this length are compared outright, one distance in the list after the other.
 SHORT = 512
-#: Block's bytes of shingle sets, counted for each pair, about.
-BLOCK = 8 << 20
-#: Pairs that one copy of a node's set serves in a join.
-SERVED = 256
+#: Bytes of shingle sets in small groups that are compared by one task, and in a part of a larger group, about.
+BLOCK, PART = 1 << 20, 4 << 20
 #: Links up to this many are joined into components by one task, which holds some 50 MB; more of them by rounds of joins.
 LINKS = 500_000
 #: Standard deviations that a count of differing bits may lie above its mean at the least similarity.
@@ -184,7 +183,7 @@ def _live(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, front: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, ...]:
-    """(a, b, key, shingles of both) of nodes in one list and of different roots, whose sizes and first bits let them be similar.
+    """(a, b) of nodes in one list and of different roots, whose sizes and first bits let them be similar.
 
     every: all such pairs, but each only in the first band of the front that it shares, if any; else those with the list's first
     node and those of neighbours.
@@ -193,7 +192,7 @@ def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
     key, node, root, size, front = key[order], node[order], root[order], size[order], front[order]
     starts = first_runs(key)
     lengths = np.diff(np.append(starts, len(key)))
-    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+    out = [[np.zeros(0, np.int64)] for _ in range(2)]
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
         some = root[i] != root[j]
@@ -204,7 +203,7 @@ def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
             same = np.ascontiguousarray(front[i] ^ front[j]).view(np.uint16).reshape(-1, FRONT // BAND) == 0
             new = ~same.any(axis=1) | (same.argmax(axis=1) >= key[i] >> BAND)
             i, j = i[new], j[new]
-        for at, x in enumerate((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), key[i].astype(np.int64), size[i] + size[j])):
+        for at, x in enumerate((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]))):
             out[at].append(x)
 
     if not every:
@@ -225,10 +224,19 @@ def _meet(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
     return tuple(np.concatenate(x) for x in out)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that the links (a, b) of one task join to a smaller one."""
+    nodes, at = np.unique(np.stack([a, b]), return_inverse=True)
+    root = local_roots(len(nodes), *at.reshape(2, -1))
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[linked], nodes[root[linked]]
+
+
 def _pairs(entries: DataFrame, roots: DataFrame | None, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes that meet in posting lists, each once, with the lowest key of these and weight (shingles of both).
+    """The pairs (a, b) of nodes that meet in posting lists, each once.
 
-    roots: (node, root) of joined nodes, whose pairs of different roots are all meant; None: the first pass.
+    roots: (node, root) of joined nodes, whose pairs of different roots are all meant; None: the first pass, whose pairs are thinned
+    so that components stay.
     """
     if roots is None:
         rooted = entries.withColumn("root", F.col("node"))
@@ -239,17 +247,42 @@ def _pairs(entries: DataFrame, roots: DataFrame | None, least: float) -> DataFra
     every = roots is not None
 
     def work(parts: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in _meet(*parts, least, every)], ["a", "b", "key", "weight"])
+        found = _meet(*parts, least, every)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (found if every else _forest(*found))], ["a", "b"])
+
+    found = _by_list(rooted.select("key", "node", "root", "size", "front", "back"), work, "a long, b long")
+    return cut(found.distinct())
+
+
+def _groups(entries: DataFrame, least: float) -> DataFrame:
+    """(node, root) of each node that meets another one: the components of all pairs that meet, their roots too."""
+    first = _joined(_pairs(entries, None, least))
+    found = _joined(_pairs(entries, first, least).union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """own_row, root and block (x, y, z) of each node of a group (node, root, size, own_row).
 
-    found = _by_list(rooted.select("key", "node", "root", "size", "front", "back"), work, "a long, b long, key long, weight long")
-    return cut(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.min("weight").alias("weight")))
+    Small groups share blocks. Groups of more than `PART` are cut into parts by a hash; a block is two parts of one group, and a node
+    goes to one for each other part.
+    """
+    weights = cut(members.groupBy("root").agg(F.sum("size").alias("weight")))
+    blocks = F.lit(8 * (weights.agg(F.sum("weight")).first()[0] or 0) // BLOCK + 1)
+    parts = F.ceil(F.lit(8) * F.col("weight") / PART).cast("long")
+    wide = join_skewed(members, weights, "root", "weight", ["weight"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    whole = F.col("parts") == 1
+    others = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where(whole | (F.col("other") != F.col("part")))
+    x, y, z = F.pmod(F.xxhash64("root"), blocks), F.least("part", "other"), F.greatest("part", "other")
+    return cut(others.select("own_row", "root", F.when(whole, x).otherwise(F.col("root")).alias("x"), F.when(whole, -1).otherwise(y).alias("y"), F.when(whole, -1).otherwise(z).alias("z")))
 
 
-def _sets(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """node, set (sorted hashes), sketch of the rows (node, own_row, sketch, text) that `heads` (own_row) names.
+def _held(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """root, x, y, z, node, set (sorted hashes), sketch of the rows (node, own_row, sketch, text) that `dealt` names.
 
     A Bloom filter of bounded size takes them out of the texts, which aren't shuffled; what it passes wrongly goes by the join.
     """
+    heads = dealt.select("own_row").distinct()
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_KEY * heads.count()).bit_length()))
     bloom = rows.sparkSession.sparkContext.broadcast(_bloom(heads.select(F.xxhash64("own_row").alias("prefix"), F.lit(0).cast("long").alias("length")), bits))
 
@@ -264,62 +297,61 @@ def _sets(rows: DataFrame, heads: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b["node"], b["own_row"], pa.array(sets, pa.binary()), b["sketch"]], ["node", "own_row", "set", "sketch"])
 
     passed = over_batches(rows.select("node", "own_row", F.xxhash64("own_row").alias("key"), "sketch", "text"), collect, "node long, own_row long, set binary, sketch binary")
-    return staged(passed.join(heads, "own_row", "left_semi").select("node", "set", "sketch"))
-
-
-def _alike(pairs: pa.Table, members: pa.Table, least: float) -> pa.Table:
-    """The pairs (a, b) of a block that are similar enough: by all their bits, then by their sets. members: each node's set and SimHash."""
-    node = members["node"].to_numpy()
-    order = np.argsort(node)
-    bits = np.frombuffer(b"".join(members["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    sets = [np.frombuffer(x, np.uint64) for x in members["set"].to_pylist()]
-    sizes = np.array([len(x) for x in sets])
-    a, b = (order[np.searchsorted(node[order], pairs[c].to_numpy())] for c in ("a", "b"))
-    near = [np.zeros(0, bool)]
-    for k in range(0, len(a), 4096):
-        x, y = a[k : k + 4096], b[k : k + 4096]
-        near.append(np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= _limit(BITS, np.minimum(sizes[x], sizes[y]), least))
-    near = np.concatenate(near)
-    a, b = a[near], b[near]
-    by = np.argsort(a, kind="stable")
-    a, b = a[by], b[by]
-    good = [np.zeros(0, bool)]
-    for ys in np.split(np.arange(len(a)), first_runs(a)[1:]) if len(a) else []:
-        for some in np.split(ys, range(256, len(ys), 256)):
-            own, many = sets[a[some[0]]], sizes[b[some]]
-            joined = np.concatenate([sets[y] for y in b[some]])
-            hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(many) - many)
-            good.append(both >= least * (len(own) + many - both) - 1e-9)
-    good = np.concatenate(good)
-    return pa.Table.from_arrays([pa.array(node[a[good]]), pa.array(node[b[good]])], ["a", "b"])
+    return passed.join(dealt, "own_row").drop("own_row")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """The pairs (a, b) whose similarity is `least` or more. pairs: as of `_pairs`.
-
-    Pairs of one list go to one block, those of a heavy list to several: by a, as the first pass has one b for many a, or by both.
-    """
-    weight = pairs.agg(F.sum("weight")).first()[0] or 0
-    heavy = cut(pairs.groupBy("key").agg(F.sum("weight").alias("heavy")).where(F.lit(8) * F.col("heavy") > BLOCK))
-    parts = F.ceil(F.lit(8) * F.coalesce("heavy", F.lit(1)) / BLOCK).cast("long")
-    side = F.ceil(F.sqrt(parts)).cast("long")
-    y = F.pmod(F.xxhash64("a"), side) * side + F.pmod(F.xxhash64("b"), side) if every else F.pmod(F.xxhash64("a"), parts)
-    dealt = cut(join_skewed(pairs, heavy, "key", "heavy", ["heavy"]).select("a", "b", F.pmod(F.xxhash64("key"), F.lit(8 * weight // BLOCK + 1)).alias("x"), y.alias("y")))
-    members = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
-    degrees = cut(members.groupBy("node").agg(F.count("*").alias("degree")))
-    sets = _sets(rows, cut(nodes.join(degrees, "node", "left_semi").select("own_row")))
-    copies = F.ceil(F.col("degree") / SERVED).cast("long")
-    left = join_skewed(members, degrees, "node", "degree", ["degree"]).withColumn("salt", F.pmod(F.xxhash64("x", "y"), copies))
-    right = sets.join(degrees, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"), "set", "sketch")
-    held = left.join(right, ["node", "salt"]).select(F.col("x").alias("held_x"), F.col("y").alias("held_y"), "node", "set", "sketch")
-
-    def compare(some: pa.Table, members: pa.Table) -> pa.Table:
-        out = _alike(some, members, least)
+def _alike(own: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the sets are similar enough to one of them."""
+    good = [np.zeros(0, bool)]
+    for low in range(0, len(others), 256):
+        some = others[low : low + 256]
+        many = np.array([len(x) for x in some])
+        joined = np.concatenate(some)
+        hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(many) - many)
+        good.append(both >= least * (len(own) + many - both) - 1e-9)
+    return np.concatenate(good)
+
+
+def _search(bits: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Links (a, b) within a group, by number, that give its components: a node that is reached is held against those that aren't yet, by all bits, then by the sets."""
+    sizes, rest, a, b = np.array([len(x) for x in sets]), np.arange(len(sets)), [], []
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            x = reached.pop()
+            low = np.minimum(sizes[rest], sizes[x])
+            at = np.flatnonzero(low >= least * np.maximum(sizes[rest], sizes[x]) - 1e-9)
+            at = at[np.bitwise_count(bits[rest[at]] ^ bits[x]).sum(axis=1, dtype=np.int64) <= _limit(BITS, low[at], least)]
+            at = at[_alike(sets[x], [sets[y] for y in rest[at].tolist()], least)]
+            found = rest[at].tolist()
+            a += [x] * len(found)
+            b += found
+            reached += found
+            rest = np.delete(rest, at)
+    return a, b
+
+
+def _verified(held: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of nodes whose similarity is `least` or more, thinned so that components stay. held: as of `_held`."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        root = block["root"].to_numpy()
+        order = np.argsort(root, kind="stable")
+        block = block.take(pa.array(order))
+        node = block["node"].to_numpy()
+        bits = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        sets = [np.frombuffer(x, np.uint64) for x in block["set"].to_pylist()]
+        starts = first_runs(root[order]).tolist()
+        a, b = [], []
+        for low, high in zip(starts, [*starts[1:], len(node)], strict=True):
+            x, y = _search(bits[low:high], sets[low:high], least)
+            a += [low + k for k in x]
+            b += [low + k for k in y]
         release()
-        return out
+        return pa.Table.from_arrays([pa.array(node[np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
 
-    return cut(dealt.groupBy("x", "y").cogroup(held.groupBy("held_x", "held_y")).applyInArrow(compare, "a long, b long"))
+    return cut(held.groupBy("x", "y", "z").applyInArrow(compare, "a long, b long"))
 
 
 def _joined(links: DataFrame) -> DataFrame:
@@ -329,24 +361,19 @@ def _joined(links: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([b["a"].to_numpy(), b["b"].to_numpy()]) for b in batches)], axis=1)
-        nodes, at = np.unique(ends, return_inverse=True)
-        root = local_roots(len(nodes), *at.reshape(2, -1))
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(*ends)], ["node", "root"])
 
     return cut(links.coalesce(1).mapInArrow(run, "node long, root long"))
 
 
 def _roots(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(node, root) of the nodes that are linked to others. nodes: node, size, sketch, own_row (one of it); rows: node, own_row, sketch, text."""
-    spark, entries = nodes.sparkSession, _live(nodes.where("size > 0"), least)
-
-    def links(roots: DataFrame | None) -> DataFrame:
-        release_heaps(spark)
-        return _verified(_pairs(entries, roots, least), nodes, rows, least, roots is not None)
-
-    roots = _joined(links(None))
-    return _joined(links(roots).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    entries = _live(nodes.where("size > 0"), least)
+    release_heaps(nodes.sparkSession)  # the index's shuffle goes, too
+    members = cut(nodes.select("node", "size", "own_row").join(_groups(entries, least), "node"))
+    del entries
+    release_heaps(nodes.sparkSession)
+    return _joined(_verified(_held(rows, _dealt(members)), least))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
