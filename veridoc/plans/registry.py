@@ -28,6 +28,7 @@ class Registry:
     def __init__(self, root: Any, others: dict[str, Any] | None = None) -> None:
         self.root, self.ids = root, {}
         self.dynamic: dict[tuple[str, str], Any] = {}
+        self._found: dict[tuple[str, str], tuple[Any, str]] = {}
         for uri, document in {**(others or {}), "": root}.items():
             self._crawl(document, uri.rstrip("#"))
 
@@ -50,6 +51,11 @@ class Registry:
 
     def find(self, ref: str, base: str) -> tuple[Any, str]:
         """The schema that a reference names, and the base of what it holds."""
+        if (ref, base) not in self._found:
+            self._found[ref, base] = self._find(ref, base)
+        return self._found[ref, base]
+
+    def _find(self, ref: str, base: str) -> tuple[Any, str]:
         full = urljoin(base, ref)
         uri, _, fragment = full.partition("#")
         if full in self.ids:
