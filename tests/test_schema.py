@@ -333,3 +333,18 @@ def test_a_schema_is_read_once_for_all_documents():
         assert judge_document(rules, json.loads('{"next":' * n + '{"v":1}' + "}" * n))
         told.append(Counting.n)
     assert told[1] <= 14 * 4, told
+
+
+def test_records_are_made_once(spark):
+    """inline brings a filter on the number of records along; it must not be worked out from the text again, nor below an exchange."""
+    plan = registered.queries()["error_records_nested"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 1 and registered.queries()["error_records_nested"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for name in ("error_records", "corrupt_json_records"):
+        assert registered.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("parseJson(") == 1
+
+
+def test_objects_and_arrays_are_told_apart_from_all_else(spark):
+    texts = ["{}", '{"a":{"b":[1]}}', "[]", '[1,"a",null,{"a":2},[1]]', "1", '"{}"', "null", "true", "1.5", '{"struct":null}', "[[]]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = Validator({"type": "object"}).mark(df, "t", "o").select("t", "o", Validator({"type": "array"}).valid(F.col("t")).alias("a")).collect()
+    assert all((r.o, r.a) == (r.t[0] == "{", r.t[0] == "[") for r in rows)

@@ -282,7 +282,7 @@ DEEP_RULES = {
 
 def error_records_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records below items, anyOf, additionalProperties and propertyNames, with the places in the documents."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr(NESTED_ORDER).alias("document"))
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus")).select("o_orderkey", F.expr(NESTED_ORDER).alias("document"))
     told = Validator(DEEP_RULES).with_errors(orders, "document")
     return told.select("o_orderkey", F.inline("errors")).select("o_orderkey", "keyword", "schema_path", "data_path")
 

@@ -763,7 +763,9 @@ class Validator:
         A record is (keyword, expected, schema_path, data_path, value); expected and value are JSON, the paths JSON pointers. value is
         null where the document is missing.
         """
-        v = self.parse(text)
+        return self._errors(self.parse(text), text)
+
+    def _errors(self, v: Column, text: Column) -> Column:
         lost = F.array(F.struct(F.lit("parse").alias("keyword"), F.lit('"JSON"').alias("expected"), F.lit("#").alias("schema_path"), F.lit("").alias("data_path"), F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2).alias("value")))
         return F.when(text.isNotNull() & v.isNull(), lost).otherwise(self._found(v, text))
 
@@ -778,14 +780,18 @@ class Validator:
     def _judged(self, df: DataFrame, name: str | dict[str, str] | None, into: str) -> DataFrame:
         """df with the verdict; a text is parsed in a projection of its own."""
         if isinstance(name, str) and isinstance(df.schema[name].dataType, T.StringType):
-            held = "veridoc_parsed"
-            while held in df.columns:
-                held += "_"
-            parsed = df.withColumn(held, self.parse(F.col(name)))
+            parsed, held = self._held(df, name)
             ok = (F.col(name).isNull() | F.col(held).isNotNull()) & self._verdict(F.col(held), F.col(name), once=False)
             return parsed.select(*(F.col(f"`{c}`") for c in df.columns if c != into), ok.alias(into))
         return df.withColumn(into, self._predicate(df, name))
 
+    def _held(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """df with the parsed text in a projection of its own, and the name of that column."""
+        held = "veridoc_parsed"
+        while held in df.columns:
+            held += "_"
+        return df.withColumn(held, self.parse(F.col(name))), held
+
     @staticmethod
     def _row(df: DataFrame, name: dict[str, str] | None) -> _Row:
         if name is None:
@@ -821,16 +827,22 @@ class Validator:
 
     def with_errors(self, df: DataFrame, name: str | dict[str, str] | None = None, into: str = "errors", timed: bool = False) -> DataFrame:
         """df with the records of each row; `timed` adds the time of the query (of the batch, on a stream) to each record."""
+        columns = None
         if not isinstance(name, str):
             found = self.rules.records(self._row(df, name)).all()
         elif isinstance(kind := df.schema[name].dataType, T.StringType):
-            found = self.errors(F.col(name))
+            columns = [c for c in df.columns if c != into]
+            df, held = self._held(df, name)
+            found = self._errors(F.col(held), F.col(name))
         else:
             found = self.errors_variant(F.col(name)) if isinstance(kind, T.VariantType) else self.errors_typed(F.col(name), kind)
         if timed:
             names = ("keyword", "expected", "schema_path", "data_path", "value")
             found = F.transform(found, lambda e: F.struct(*(e[n].alias(n) for n in names), F.current_timestamp().alias("time")))
-        return df.withColumn(into, found)
+        # Held for non-deterministic, so that the filter on their number, which inline brings along, isn't worked out again from the text
+        # for all rows before these records are made, and below any exchange at that.
+        found = F.when(F.spark_partition_id() >= 0, found).otherwise(nothing())
+        return df.withColumn(into, found) if columns is None else df.select(*(F.col(f"`{c}`") for c in columns), found.alias(into))
 
 
 class _Row(Typed):
