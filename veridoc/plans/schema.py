@@ -134,7 +134,9 @@ class Rules:
     def _references(self, schema: dict, where: Where) -> Iterator[tuple[str, Any, str]]:
         """(keyword, target, base of what it holds) of each reference."""
         for keyword in READ["_referred"] if self.spec else ("$ref",):
-            ref = schema.get(keyword)
+            if keyword not in schema:
+                continue
+            ref = schema[keyword]
             if not (isinstance(ref, str) and ref.strip()):
                 continue
             target, to = self.registry.find(ref, where.base)
@@ -163,7 +165,8 @@ class Rules:
             raise SchemaError("a schema is an object or a boolean")
         where = self._entered(schema, v, where)
 
-        return all_of([lambda f=f: f(schema, v, where) for f in self._asked(schema)])
+        asked = self._asked(schema)
+        return asked[0](schema, v, where) if len(asked) == 1 else all_of([lambda f=f: f(schema, v, where) for f in asked])
 
     def _asked(self, schema: dict) -> tuple[Callable[..., Truth], ...]:
         """The groups of rules that the schema has keywords of."""
@@ -181,7 +184,7 @@ class Rules:
                 return v.beyond()
             return self._schema(target, v, self._followed(target, to, where))
 
-        return all_of([lambda t=t, to=to: follow(t, to) for _, t, to in self._references(schema, where)])
+        return all_of(follow(t, to) for _, t, to in self._references(schema, where))
 
     @_conjunction
     def _basic(self, schema: dict, v: Any, where: Where) -> Iterator[Truth]:
@@ -327,9 +330,10 @@ class Rules:
     def _objects(self, schema: dict, v: Any, where: Where) -> Truth:
         if (is_object := v.is_("object")) is False:
             return True
-        inside = where.inside()
-        tests = [lambda t=t: t(v, where, inside) for t in self._object_tests(schema)]
-        return implies(is_object, lambda: all_of(tests)) if tests else True
+        inside, tests = where.inside(), self._object_tests(schema)
+        if is_object is True and len(tests) == 1:
+            return tests[0](v, where, inside)
+        return implies(is_object, lambda: all_of([lambda t=t: t(v, where, inside) for t in tests])) if tests else True
 
     def _object_tests(self, schema: dict) -> list[Callable[[Any, Where, Where], Truth]]:
         """What the schema asks of an object: functions of the value, the place and the place inside; made once."""
@@ -342,7 +346,7 @@ class Rules:
             tests += [lambda v, where, inside, k=k: v.has(k) for k in schema["required"]]
         properties, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
         if properties:
-            tests.append(lambda v, where, inside: all_of(implies(v.has(k), lambda: self._schema(s, v.get(k), inside)) for k, s in v.among(properties)))  # noqa: B023
+            tests.append(lambda v, where, inside: self._properties(properties, v, inside))
         names = schema.get("propertyNames")
         if isinstance(names, (dict, bool)) and names is not True:
             tests.append(lambda v, where, inside: v.all_entries(lambda k, x: self._schema(names, k, inside)))
@@ -364,6 +368,11 @@ class Rules:
         self._tests[id(schema)] = schema, tests
         return tests
 
+    def _properties(self, properties: dict[str, Any], v: Any, inside: Where) -> Truth:
+        if not isinstance(v, Plain):
+            return all_of([lambda k=k, s=s: implies(v.has(k), lambda: self._schema(s, v.get(k), inside)) for k, s in properties.items()])
+        return all_of(self._schema(s, v.get(k), inside) for k, s in v.among(properties) if v.has(k))
+
     def _named(self, schema: dict, key: Any) -> Truth:
         """Whether properties or patternProperties have the key."""
         return any_of([key.one_of(schema.get("properties") or {}), *(lambda p=p: key.matches(p) for p in schema.get("patternProperties") or {})])

@@ -32,11 +32,12 @@ def all_of(parts: Iterable[Any]) -> Truth:
     """Conjunction; parts may be functions, which are called one after another until one is false."""
     out: Truth = True
     for p in parts:
-        p = p() if isinstance(p, LambdaType) else p
-        if p is False:
-            return False
+        if isinstance(p, LambdaType):
+            p = p()
         if p is True:
             continue
+        if p is False:
+            return False
         out = p if out is True or p is None or out is None else out & p
     return out
 
